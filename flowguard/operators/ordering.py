@@ -23,6 +23,18 @@ from pyspark.sql import types as T
 _LOCAL_MASK = (1 << 33) - 1
 
 
+def _materialize(x: DataFrame) -> DataFrame:
+    """The numbered frame is read twice (per-partition counts and the rows).
+    A range exchange samples its bounds with a seed tied to the RDD id, so two
+    evaluations can place a row in different partitions; a reliable
+    checkpoint (shared ``spark.checkpoint.dir``) fixes one placement for both
+    readers and cuts the lineage (survives executor loss)."""
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(x.sparkSession)
+    return x.checkpoint(eager=True)
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
@@ -89,6 +101,7 @@ def positions(
         with_pid = ranged.withColumn("_pid", F.spark_partition_id().cast("long"))
         schema = T.StructType(with_pid.schema.fields + [T.StructField("_lrank", T.LongType(), False)])
         x = with_pid.mapInPandas(_local_rank_fn(keys), schema=schema)
+    x = _materialize(x)
 
     counts = x.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     if not keys:
@@ -97,13 +110,13 @@ def positions(
         per_pid = counts.select(
             "_pid",
             F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-            F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
+            F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
         )
         res = x.join(F.broadcast(per_pid), on="_pid", how="left")
         res = res.withColumn(out, F.col("_lrank") + F.col("_off"))
         if count_out:
-            res = res.withColumn(count_out, F.col("_total"))
-        return res.drop("_pid", "_lrank", "_off", "_total")
+            res = res.withColumn(count_out, F.col("__total"))
+        return res.drop("_pid", "_lrank", "_off", "__total")
 
     w_key = Window.partitionBy(*keys).orderBy("_pid")
     offsets = counts.withColumn(
@@ -178,6 +191,7 @@ def running_sums(
     with_pid = ranged.withColumn("_pid", F.spark_partition_id().cast("long"))
     fields = with_pid.schema.fields + [T.StructField(f"{out_prefix}{v}", T.DoubleType(), True) for v in vals]
     x = with_pid.mapInPandas(_local_cumsum_fn(keys, vals, out_prefix), schema=T.StructType(fields))
+    x = _materialize(x)
     totals = x.groupBy("_pid", *keys).agg(*[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"_t_{v}") for v in vals])
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("_pid", *keys, F.count(F.lit(1)).over(w).alias("_earlier"), *[F.sum(f"_t_{v}").over(w).alias(f"_o_{v}") for v in vals])

@@ -135,14 +135,15 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
                     label_cols: Sequence[str] = ("class1", "class2", "class3"), split_col: str = "split",
                     key: str = "sample_id", extra_identifiers: Sequence[str] = ("sample_id", "ts"),
                     relevance: float = features.RELEVANCE_MIN, redundancy: float = features.REDUNDANCY_MAX,
-                    quantile_method: str = "sort") -> tuple[Preparation, DataFrame]:
+                    quantile_method: str = "sort", carry: Sequence[str] = ("ts",)) -> tuple[Preparation, DataFrame]:
     """Returns the decisions and the typed frame (all splits, key + labels +
-    split + candidate features)."""
+    split + carried identifiers such as the event time + candidate features)."""
     meta = [split_col]
     t, plan = typed(df, label_cols, meta, train_filter=F.col(split_col) == "train")
     ids = clean.identifier_matches(t, list(clean.IDENTIFIER_COLUMNS) + list(extra_identifiers))
     cand = [c for c in t.columns if c not in set(ids) | set(label_cols) | set(meta)]
-    typed_df = t.select(*([key] if key in ids else []), *label_cols, split_col, *cand)
+    carried = [c for c in carry if c in ids and c != key]
+    typed_df = t.select(*([key] if key in ids else []), *label_cols, split_col, *carried, *cand)
     train = typed_df.filter(F.col(split_col) == "train")
     dtypes = dict(typed_df.dtypes)
     num = [c for c in cand if dtypes[c] == "double"]

@@ -12,7 +12,8 @@ from ..session import prepare
 from ..sources import fixtures
 from ..sources.fixtures import with_views
 from .registry import query
-from .sqlkit import CATEGORICAL, NUMERIC_CANDIDATES, flows_sql, is_num, parse_num, sig, tok
+from .sqlkit import CATEGORICAL, NUMERIC_CANDIDATES, flows_sql, is_num, parse_num, tok
+from .sqlkit import sig as ssig
 from .sqlkit import r6 as s6
 
 _PREP_CACHE: dict[tuple, tuple] = {}
@@ -463,7 +464,7 @@ def _union_rows(cols, row_sql):
         "select * from ("
         + _union_rows(
             NUMERIC_CANDIDATES,
-            lambda c: f"select '{c}' as feature, {sig(f'var_samp({c})')} as variance, count({c})::bigint as n from typed where split = 'train'",
+            lambda c: f"select '{c}' as feature, {ssig(f'var_samp({c})')} as variance, count({c})::bigint as n from typed where split = 'train'",
         )
         + ") v"
     ),
@@ -699,7 +700,7 @@ def _final_sql(where: str) -> str:
 
 def final_features(spark: SparkSession, sf_dir: str) -> tuple[transforms.Preparation, DataFrame]:
     prep, typed = prepared(spark, sf_dir)
-    out = transforms.transform(typed, prep.params, keep=["sample_id", "split", "class1", "class2", "class3"])
+    out = transforms.transform(typed, prep.params, keep=["sample_id", "split", "class1", "class2", "class3", "ts", "service"])
     return prep, out
 
 
