@@ -37,6 +37,10 @@ def prepare(spark: SparkSession) -> None:
     checkpoint folder exists. The cluster's ``spark.checkpoint.dir`` wins;
     a private folder is only created for local sessions that have none."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Wide feature frames alias one source column many times (one-hot
+    # columns, flags); constraint propagation then grows combinatorially in
+    # the optimizer (and checkpointed plans keep those constraints).
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     checkpoint_dir(spark)
 
 
