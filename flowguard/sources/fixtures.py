@@ -363,6 +363,8 @@ def with_views(sql: str, *views: str) -> str:
                 order.append(d)
     ctes = ",\n".join(f"{v} as (\n{VIEW_SQL[v].strip()}\n)" for v in order)
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
