@@ -146,13 +146,15 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECON
         ctx, ids, evs = _chunk_groups(pdf)
         first, last = c * K, c * K + K - 1
         entries = [None] + [int(v) for v in ctx]
-        rows = []
         if not ids:
-            return pd.DataFrame({"k": [], "_chunk": [], "entry": [], "exit": []})
-        for en in entries:
-            ex, _ = _replay(evs, ids, en, first, last, C, emit=False)
-            rows.append((k, c, en, ex))
-        return pd.DataFrame(rows, columns=["k", "_chunk", "entry", "exit"])
+            entries = []
+        outs = [_replay(evs, ids, en, first, last, C, emit=False)[0] for en in entries]
+        return pd.DataFrame({
+            "k": pd.Series([k] * len(entries), dtype=pdf["k"].dtype),
+            "_chunk": pd.Series([c] * len(entries), dtype="int64"),
+            "entry": pd.Series(entries, dtype="Int64"),
+            "exit": pd.Series(outs, dtype="Int64"),
+        })
 
     tschema = f"k {kt}, _chunk long, entry long, exit long"
     trans = x.groupBy("k", "_chunk").applyInPandas(transfer, schema=tschema)
@@ -167,9 +169,13 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECON
             entry = state if prev_c is not None and c == prev_c + 1 else None
             if entry not in table[c]:
                 entry = None
-            out.append((pdf["k"].iloc[0], c, entry))
+            out.append((c, entry))
             state, prev_c = table[c].get(entry), c
-        return pd.DataFrame(out, columns=["k", "_chunk", "entry"])
+        return pd.DataFrame({
+            "k": pd.Series([pdf["k"].iloc[0]] * len(out), dtype=pdf["k"].dtype),
+            "_chunk": pd.Series([c for c, _ in out], dtype="int64"),
+            "entry": pd.Series([e for _, e in out], dtype="Int64"),
+        })
 
     entries = trans.groupBy("k").applyInPandas(compose, schema=f"k {kt}, _chunk long, entry long")
 
@@ -177,10 +183,10 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECON
         k, c = pdf["k"].iloc[0], int(pdf["_chunk"].iloc[0])
         en = pdf["entry"].iloc[0]
         ctx, ids, evs = _chunk_groups(pdf)
-        if not ids:
-            return pd.DataFrame({"k": [], "t": []})
-        _, sends = _replay(evs, ids, None if pd.isna(en) else int(en), c * K, c * K + K - 1, C, emit=True)
-        return pd.DataFrame({"k": [k] * len(sends), "t": sends})
+        sends = []
+        if ids:
+            _, sends = _replay(evs, ids, None if pd.isna(en) else int(en), c * K, c * K + K - 1, C, emit=True)
+        return pd.DataFrame({"k": pd.Series([k] * len(sends), dtype=pdf["k"].dtype), "t": pd.Series(sends, dtype="int64")})
 
     joined = x.join(entries, ["k", "_chunk"], "left")
     sends = joined.groupBy("k", "_chunk").applyInPandas(emit, schema=f"k {kt}, t long")

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from .ordering import positions
 
 CHUNK = 100  # aggregate expressions per agg() (codegen method size)
+# Below this many rows the built-in exact ``percentile`` aggregate (whose final
+# merge holds one column's distinct values in one task) is cheaper than the
+# distributed sort; above it the sort-based method is used.
+AGG_MAX_ROWS = 5_000_000
 
 
 def batched_agg(df: DataFrame, exprs: Sequence[Column]) -> list[DataFrame]:
@@ -34,11 +38,14 @@ def unpivot_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], long: DataFrame | None = None,
-              feature: str = "feature", value: str = "value", method: str = "sort") -> DataFrame:
+              feature: str = "feature", value: str = "value", method: str = "auto") -> DataFrame:
     """One row per column: ``feature``, ``n`` (non-null count) and one
     column ``q_<i>`` per probability (NULL when the column has no values).
-    NULLs (and NaN) are ignored."""
+    NULLs (and NaN) are ignored. ``method``: "sort" (distributed, any size),
+    "agg" (built-in percentile, small inputs) or "auto" (by row count)."""
     probs = [float(p) for p in probs]
+    if method == "auto":
+        method = "agg" if df.limit(AGG_MAX_ROWS + 1).count() <= AGG_MAX_ROWS else "sort"
     if long is None:
         long = unpivot_long(df, columns, name=feature, value=value)
     long = long.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
@@ -47,7 +54,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], lon
             F.count(F.lit(1)).alias("n"),
             F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_qs"),
         )
-        return g.select(feature, "n", *[F.col("_qs")[i].alias(f"q_{i}") for i in range(len(probs))])
+        res = g.select(feature, "n", *[F.col("_qs")[i].alias(f"q_{i}") for i in range(len(probs))])
+        return _all_features(df, columns, res, feature, len(probs))
     pos = positions(long.select(feature, value), order_by=[value], partition_by=[feature], out="_pos", count_out="n")
     # ranks needed per probability: floor and ceil of (n-1)*p
     need = []
@@ -67,14 +75,18 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], lon
         frac = F.max(h - F.floor(h))
         outs.append((lo + (hi - lo) * frac).alias(f"q_{i}"))
     res = picked.groupBy(feature).agg(F.max("n").alias("n"), *outs)
-    # features without any value still get a row
+    return _all_features(df, columns, res, feature, len(probs))
+
+
+def _all_features(df: DataFrame, columns: Sequence[str], res: DataFrame, feature: str, k: int) -> DataFrame:
+    """Features without any value still get a row (n = 0, NULL quantiles)."""
     allf = df.sparkSession.createDataFrame([(c,) for c in columns], f"{feature} string")
     return allf.join(res, feature, "left").select(
-        feature, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), *[f"q_{i}" for i in range(len(probs))]
+        feature, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), *[f"q_{i}" for i in range(k)]
     )
 
 
-def scalar_quantiles(df: DataFrame, column: str, probs: Sequence[float], method: str = "sort") -> DataFrame:
+def scalar_quantiles(df: DataFrame, column: str, probs: Sequence[float], method: str = "auto") -> DataFrame:
     """Quantiles of one column as a one-row frame (q_0, q_1, ...)."""
     q = quantiles(df, [column], probs, method=method)
     return q.drop("feature")

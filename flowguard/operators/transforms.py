@@ -51,7 +51,7 @@ class Params:
         return json.dumps(self.__dict__)
 
 
-def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], quantile_method: str = "sort") -> Params:
+def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], quantile_method: str = "auto") -> Params:
     p = Params(list(numeric), list(categorical))
     if p.numeric:
         row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(p.numeric)]).first()
@@ -135,7 +135,7 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
                     label_cols: Sequence[str] = ("class1", "class2", "class3"), split_col: str = "split",
                     key: str = "sample_id", extra_identifiers: Sequence[str] = ("sample_id", "ts"),
                     relevance: float = features.RELEVANCE_MIN, redundancy: float = features.REDUNDANCY_MAX,
-                    quantile_method: str = "sort", carry: Sequence[str] = ("ts",)) -> tuple[Preparation, DataFrame]:
+                    quantile_method: str = "auto", carry: Sequence[str] = ("ts",)) -> tuple[Preparation, DataFrame]:
     """Returns the decisions and the typed frame (all splits, key + labels +
     split + carried identifiers such as the event time + candidate features)."""
     meta = [split_col]
