@@ -282,3 +282,15 @@ def drift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_drift_rising_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, _ = rolled(spark, sf_dir)
     return dr.rising_edges(r)
+
+
+@query("drift_stream", group="D")
+def q_drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured Streaming run of the keyed monitor (parity with
+    ``rolling_drift_keyed``); stateful, so rows-only."""
+    from ..streaming import drift_stream as ds
+
+    prep, fin, ref = reference(spark, sf_dir)
+    src = fin.filter(F.col("split") == "test").select("sample_id", "ts", "service", *ref.features)
+    out = ds.run(spark, src, ref, key="service")
+    return out.select("sample_id", "service", "pos", "rolling_score", "window_observations")
