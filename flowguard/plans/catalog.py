@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import drift_queries, eval_queries, model_queries, ops_queries, prep_queries  # noqa: F401  (registration)
+from . import drift_queries, eval_queries, io_queries, model_queries, ops_queries, prep_queries  # noqa: F401  (registration)
 from .registry import Query, all_queries
 
 __all__ = ["Query", "all_queries", "queries", "oracle_sql"]

@@ -554,3 +554,44 @@ def q_active_model_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import registry as rg
 
     return rg.active_flags(_registry(spark, sf_dir), _audit(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# per-source request windows: batch (with oracle) and streaming (parity)
+# ---------------------------------------------------------------------------
+
+
+@query(
+    "error_rate_window_keyed",
+    group="L",
+    oracle=with_views(
+        """with r as (select * from requests where endpoint not in ('/metrics', '/health')),
+w as (select seq, source_id, count(*) over w as window_n, sum(case when http_status >= 400 then 1 else 0 end) over w as errors,
+  list_sort(list(duration) over w) as durs from r window w as (partition by source_id order by seq rows between 49 preceding and current row))
+select seq, source_id, window_n::bigint as window_n, errors::bigint as errors, errors::double / window_n as error_rate,
+  case when window_n >= 10 then durs[cast(round_even((window_n - 1) * 0.95, 0) as integer) + 1] end as p95_latency from w""",
+        "requests",
+    ),
+)
+def q_error_rate_window_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = al.request_windows(fixtures.requests(spark, sf_dir), partition_by=["source_id"])
+    return w.select("seq", "source_id", F.col("window_n").cast("long").alias("window_n"), F.col("errors").cast("long").alias("errors"),
+                    "error_rate", "p95_latency")
+
+
+@query("alert_stream", group="L")
+def q_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaming per-source request windows (stateful; rows-only, parity
+    with ``error_rate_window_keyed``)."""
+    from ..streaming import alert_stream as ast
+
+    return ast.alert_stream(spark, fixtures.requests(spark, sf_dir))
+
+
+@query("request_rate_stream", group="O")
+def q_request_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per minute on a watermarked stream (windows still open at the
+    end of the input are not emitted: rows-only)."""
+    from ..streaming import alert_stream as ast
+
+    return ast.rate_stream(spark, fixtures.requests(spark, sf_dir))
