@@ -73,8 +73,8 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, th
     cols = list(columns)
     y = target.cast("double")
     outs = []
-    for lo in range(0, len(cols), 50):
-        chunk = cols[lo : lo + 50]
+    for lo in range(0, len(cols), 16):  # moment aggregates are wide: small chunks keep codegen
+        chunk = cols[lo : lo + 16]
         wide = df.agg(*[F.abs(_pair_corr(F.col(c).cast("double"), y)).alias(f"r{i}") for i, c in enumerate(chunk)])
         outs.append(_stack(wide, chunk, [], ["r"], ["feature", "abs_corr"]))
     t = reduce(DataFrame.unionByName, outs)

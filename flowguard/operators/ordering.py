@@ -4,11 +4,18 @@
 key into one task; a key holding a third of the rows then becomes one task
 holding a third of the data, and a window without keys is a single task.
 ``positions`` range-partitions on ``(keys, order)`` instead, so a hot key is
-spread over many partitions, sorts inside each partition, numbers rows
-locally and adds, per partition, the number of rows of the same key that sit
-in earlier partitions. Only the first key of a partition can have rows in an
-earlier partition, so the offset table has at most one row per partition and
-is broadcast with that bound.
+spread over many partitions, sorts inside each partition and numbers rows
+locally (``monotonically_increasing_id``). A per-partition offset table (one
+row per partition, broadcast with that bound) turns local numbers into
+global positions. With keys, rows of a key are contiguous in that order, so
+the position inside the key is the global position minus the key's first
+one: the per-key table is broadcast when a count shows at most
+``BROADCAST_KEYS`` keys; with more keys, rows are ranked inside each
+partition instead and only the first key of a partition carries an offset
+from earlier partitions (again one row per partition).
+
+The numbered rows are read by several consumers; they are materialised once
+with a reliable checkpoint so that all of them see one range placement.
 """
 
 from __future__ import annotations
@@ -72,6 +79,12 @@ def _local_rank_fn(keys: list[str]):
     return fn
 
 
+# Keyed positions broadcast a per-key table (start position and size) when it
+# has at most this many rows; beyond it, keys are ranked inside each sorted
+# partition instead (no table of keys is shipped anywhere).
+BROADCAST_KEYS = 100_000
+
+
 def positions(
     df: DataFrame,
     order_by: Sequence[str | Column],
@@ -84,52 +97,63 @@ def positions(
     ``order_by`` order (``order_by`` must make the order total), and
     optionally ``count_out`` = number of rows of its group.
 
-    Cost: one range shuffle and a small aggregate of at most
-    (partitions + groups) rows."""
+    Cost: one range shuffle, one materialisation of the numbered rows and
+    small aggregates of at most (partitions + groups) rows."""
     keys = list(partition_by)
     order = list(order_by)
     n_part = _num_partitions(df, num_partitions)
     sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = df.repartitionByRange(n_part, *sort_cols).sortWithinPartitions(*sort_cols)
-
-    if not keys:
-        # monotonically_increasing_id = partition id << 33 | index in the partition
-        x = ranged.withColumn("_mid", F.monotonically_increasing_id())
-        x = x.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_lrank", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)))
-        x = x.drop("_mid")
-    else:
-        with_pid = ranged.withColumn("_pid", F.spark_partition_id().cast("long"))
-        schema = T.StructType(with_pid.schema.fields + [T.StructField("_lrank", T.LongType(), False)])
-        x = with_pid.mapInPandas(_local_rank_fn(keys), schema=schema)
-    x = _materialize(x)
-
-    counts = x.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    # monotonically_increasing_id = partition id << 33 | index in the partition
+    x = _materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    x = x.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_lrank", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))).drop("_mid")
+
+    # global position: one offset per partition (a table bounded by n_part)
+    per_pid = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w_all = Window.orderBy("_pid")
+    per_pid = per_pid.select(
+        "_pid",
+        F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
+    )
+    g = x.join(F.broadcast(per_pid), on="_pid", how="left").withColumn("_gpos", F.col("_lrank") + F.col("_off"))
     if not keys:
-        # one row per partition: a table bounded by n_part, safe to broadcast
-        w_all = Window.orderBy("_pid")
-        per_pid = counts.select(
-            "_pid",
-            F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-            F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
-        )
-        res = x.join(F.broadcast(per_pid), on="_pid", how="left")
-        res = res.withColumn(out, F.col("_lrank") + F.col("_off"))
+        res = g.withColumn(out, F.col("_gpos"))
         if count_out:
             res = res.withColumn(count_out, F.col("__total"))
-        return res.drop("_pid", "_lrank", "_off", "__total")
-
+        return res.drop("_pid", "_lrank", "_off", "__total", "_gpos")
+
+    # keyed: rows of a key are contiguous in the global order, so the position
+    # inside the key is the global position minus the key's first one
+    key_stats = g.groupBy(*keys).agg(F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("_kn"))
+    n_keys = key_stats.count()
+    if n_keys <= BROADCAST_KEYS:
+        res = g.join(F.broadcast(key_stats), on=keys, how="left")
+        res = res.withColumn(out, F.col("_gpos") - F.col("_start"))
+        if count_out:
+            res = res.withColumn(count_out, F.col("_kn"))
+        return res.drop("_pid", "_lrank", "_off", "__total", "_gpos", "_start", "_kn")
+    return _positions_by_partition(x.drop("_lrank"), keys, out, count_out)
+
+
+def _positions_by_partition(x: DataFrame, keys: list[str], out: str, count_out: str | None) -> DataFrame:
+    """Many keys: rank rows inside each sorted partition (pandas over Arrow
+    batches), then add the rows of the same key held by earlier partitions.
+    Only the first key of a partition can continue from earlier partitions,
+    so the carry table has at most one row per partition."""
+    schema = T.StructType(x.schema.fields + [T.StructField("_lrank", T.LongType(), False)])
+    x = _materialize(x.mapInPandas(_local_rank_fn(keys), schema=schema))
+    counts = x.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     w_key = Window.partitionBy(*keys).orderBy("_pid")
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(w_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    # only the first key of a partition can continue from earlier partitions:
-    # at most one row per partition, so the broadcast is bounded by n_part.
     carry = offsets.filter(F.col("_off") > 0).select("_pid", *keys, "_off")
     res = x.join(F.broadcast(carry), on=["_pid", *keys], how="left")
     res = res.withColumn(out, F.col("_lrank") + F.coalesce(F.col("_off"), F.lit(0)))
     if count_out:
-        # one row per group; the planner broadcasts it when it is small and
-        # falls back to a (skew-split) sort-merge join otherwise.
+        # one row per group: the planner broadcasts it when small, otherwise a
+        # sort-merge join whose skewed partitions AQE splits
         totals = counts.groupBy(*keys).agg(F.sum("_n").alias(count_out))
         res = res.join(totals, on=keys, how="left")
     return res.drop("_pid", "_lrank", "_off")

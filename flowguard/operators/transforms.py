@@ -135,7 +135,8 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
                     label_cols: Sequence[str] = ("class1", "class2", "class3"), split_col: str = "split",
                     key: str = "sample_id", extra_identifiers: Sequence[str] = ("sample_id", "ts"),
                     relevance: float = features.RELEVANCE_MIN, redundancy: float = features.REDUNDANCY_MAX,
-                    quantile_method: str = "auto", carry: Sequence[str] = ("ts",)) -> tuple[Preparation, DataFrame]:
+                    quantile_method: str = "auto", carry: Sequence[str] = ("ts",),
+                    materialize: bool = True) -> tuple[Preparation, DataFrame]:
     """Returns the decisions and the typed frame (all splits, key + labels +
     split + carried identifiers such as the event time + candidate features)."""
     meta = [split_col]
@@ -144,6 +145,16 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
     cand = [c for c in t.columns if c not in set(ids) | set(label_cols) | set(meta)]
     carried = [c for c in carry if c in ids and c != key]
     typed_df = t.select(*([key] if key in ids else []), *label_cols, split_col, *carried, *cand)
+    if materialize:
+        # every statistic below scans the typed rows; write them once (parsing
+        # and token rules run once per row, later scans are columnar, and the
+        # lineage is cut for executor loss)
+        from ..session import scratch_path
+
+        path = scratch_path(df.sparkSession, "typed")
+        typed_df.write.mode("overwrite").partitionBy(split_col).parquet(path)
+        back = df.sparkSession.read.parquet(path)
+        typed_df = back.select(*typed_df.columns)
     train = typed_df.filter(F.col(split_col) == "train")
     dtypes = dict(typed_df.dtypes)
     num = [c for c in cand if dtypes[c] == "double"]

@@ -27,6 +27,18 @@ def test_positions_global_and_keyed_match_row_number(spark):
     assert k.join(ref2.select("id", "rn"), "id").filter(F.col("pos") != F.col("rn")).count() == 0
 
 
+def test_positions_many_keys_path(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BROADCAST_KEYS", 0)
+    rows = [(i, f"k{i % 37}", (i * 7919) % 101) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, k string, v long")
+    k = ordering.positions(df, ["v", "id"], partition_by=["k"], out="pos", count_out="n", num_partitions=6)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")) - 1).withColumn(
+        "rc", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    j = k.join(ref.select("id", "rn", "rc"), "id")
+    assert j.count() == 2000
+    assert j.filter((F.col("pos") != F.col("rn")) | (F.col("n") != F.col("rc"))).count() == 0
+
+
 def test_running_sums_match_window(spark):
     rows = [(i, "x" if i % 3 else "y", float(i % 7)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, v double")
