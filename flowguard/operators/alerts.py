@@ -156,8 +156,11 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECON
             "exit": pd.Series(outs, dtype="Int64"),
         })
 
+    # explicit partition counts: the Python stages stay spread over all tasks
+    # (AQE would merge small shuffles into one task); grouping reuses them
+    n_part = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tschema = f"k {kt}, _chunk long, entry long, exit long"
-    trans = x.groupBy("k", "_chunk").applyInPandas(transfer, schema=tschema)
+    trans = x.repartition(n_part, "k", "_chunk").groupBy("k", "_chunk").applyInPandas(transfer, schema=tschema)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
@@ -177,7 +180,7 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECON
             "entry": pd.Series([e for _, e in out], dtype="Int64"),
         })
 
-    entries = trans.groupBy("k").applyInPandas(compose, schema=f"k {kt}, _chunk long, entry long")
+    entries = trans.repartition(n_part, "k").groupBy("k").applyInPandas(compose, schema=f"k {kt}, _chunk long, entry long")
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         k, c = pdf["k"].iloc[0], int(pdf["_chunk"].iloc[0])
@@ -189,7 +192,7 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECON
         return pd.DataFrame({"k": pd.Series([k] * len(sends), dtype=pdf["k"].dtype), "t": pd.Series(sends, dtype="int64")})
 
     joined = x.join(entries, ["k", "_chunk"], "left")
-    sends = joined.groupBy("k", "_chunk").applyInPandas(emit, schema=f"k {kt}, t long")
+    sends = joined.repartition(n_part, "k", "_chunk").groupBy("k", "_chunk").applyInPandas(emit, schema=f"k {kt}, t long")
     return sends.withColumnRenamed("k", key)
 
 

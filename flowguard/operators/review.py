@@ -70,11 +70,14 @@ def apply_labels(subs: DataFrame, queue: DataFrame, validated: DataFrame, classe
     v = validated.select("sample_id").filter(F.col("sample_id").isNotNull()).distinct().withColumn("_in_v", F.lit(True))
     c = classes.select(F.col("label").alias("_lbl")).distinct().withColumn("_ok", F.lit(True))
     s = subs.withColumn("_lbl", F.lower(F.trim("validated_label")))
-    s = s.withColumn("_rn", F.row_number().over(Window.partitionBy("sample_id").orderBy("submit_seq")))
+    # first submission per id wins: an aggregate (partial per task, so an id
+    # submitted very often is not one task) joined back on (id, seq)
+    first = subs.groupBy("sample_id").agg(F.min("submit_seq").alias("submit_seq")).withColumn("_first", F.lit(True))
+    s = s.join(first, ["sample_id", "submit_seq"], "left")
     j = s.join(q, "sample_id", "left").join(v, "sample_id", "left").join(c, "_lbl", "left")
     verdict = (
         F.when(F.col("_in_q").isNull(), "unknown_id")
-        .when((F.col("_rn") > 1) | F.col("_in_v").isNotNull(), "already_validated")
+        .when(F.col("_first").isNull() | F.col("_in_v").isNotNull(), "already_validated")
         .when(F.col("_ok").isNull(), "unknown_label")
         .otherwise("approved")
     )
