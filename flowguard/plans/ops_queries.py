@@ -595,3 +595,18 @@ def q_request_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import alert_stream as ast
 
     return ast.rate_stream(spark, fixtures.requests(spark, sf_dir))
+
+
+@query("retrain_run", group="R")
+def q_retrain_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate → merge → train → register → archive over the validated labels
+    (model fitting: rows-only)."""
+    from ..operators import registry as rg
+    from ..operators import retrain
+    from ..session import scratch_path
+    from . import prep_queries as pq
+
+    prep, fin = pq.final_features(spark, sf_dir)
+    nv = rg.next_version(_registry(spark, sf_dir)).first()["next_version"]
+    return retrain.run(spark, fin.filter(F.col("split") == "train"), fin.filter(F.col("split") == "test"), prep.features,
+                       fixtures.validated(spark, sf_dir), nv, scratch_path(spark, "retrain"))
