@@ -1,227 +1,151 @@
-"""Row positions in a total order, computed without sending a group to one task.
+"""Row positions and prefix sums in a total order, without a single task.
 
 ``Window.partitionBy(k).orderBy(o)`` with ``row_number`` moves every row of a
 key into one task; a key holding a third of the rows then becomes one task
 holding a third of the data, and a window without keys is a single task.
-``positions`` range-partitions on ``(keys, order)`` instead, so a hot key is
-spread over many partitions, sorts inside each partition and numbers rows
-locally (``monotonically_increasing_id``). A per-partition offset table (one
-row per partition, broadcast with that bound) turns local numbers into
-global positions. With keys, rows of a key are contiguous in that order, so
-the position inside the key is the global position minus the key's first
-one: the per-key table is broadcast when a count shows at most
-``BROADCAST_KEYS`` keys; with more keys, rows are ranked inside each
-partition instead and only the first key of a partition carries an offset
-from earlier partitions (again one row per partition).
-
-The numbered rows are read by several consumers; they are materialised once
-with a reliable checkpoint so that all of them see one range placement.
+Here rows are cut into range buckets over (keys, order) whose bounds come
+from a seeded sample and are compiled into the plan as literals, so a hot
+key spans many buckets and the placement is a pure function of the row
+(every consumer and every retried task sees the same buckets). Rows are
+ranked (or summed) inside their bucket with an ordinary window, and offsets
+from earlier buckets come from per-bucket count tables: one row per bucket,
+or per (bucket, key) where only the bucket's first key can carry rows from
+earlier buckets — at most one carry row per bucket, broadcast with that
+bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL_MASK = (1 << 33) - 1
-
-
-def _materialize(x: DataFrame) -> DataFrame:
-    """The numbered frame is read twice (per-partition counts and the rows).
-    A range exchange samples its bounds with a seed tied to the RDD id, so two
-    evaluations can place a row in different partitions; a reliable
-    checkpoint (shared ``spark.checkpoint.dir``) fixes one placement for both
-    readers and cuts the lineage (survives executor loss)."""
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(x.sparkSession)
-    return x.checkpoint(eager=True)
-
-
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _local_rank_fn(keys: list[str]):
-    """Per sorted partition: 0-based rank of each row inside its key run."""
-
-    def fn(batches):
-        prev_key = None
-        prev_count = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                yield pdf.assign(_lrank=pd.Series([], dtype="int64"))
-                continue
-            kf = pdf[keys].astype(object).where(pdf[keys].notna(), "\x00null")
-            shifted = kf.shift(1)
-            if prev_key is not None:
-                shifted.iloc[0] = list(prev_key)
-            change = (kf != shifted).any(axis=1)
-            if prev_key is None:
-                change.iloc[0] = True
-            run = change.cumsum()
-            rank = pdf.groupby(run.values).cumcount().astype("int64")
-            if prev_key is not None and not change.iloc[0]:
-                first_run = run.iloc[0]
-                rank = rank + (run == first_run).astype("int64") * prev_count
-            last_run = run.iloc[-1]
-            tail_count = int(rank[run == last_run].iloc[-1]) + 1
-            prev_key = tuple(kf.iloc[-1])
-            prev_count = tail_count
-            yield pdf.assign(_lrank=rank.values)
-
-    return fn
-
-
-# Keyed positions broadcast a per-key table (start position and size) when it
-# has at most this many rows; beyond it, keys are ranked inside each sorted
-# partition instead (no table of keys is shipped anywhere).
-BROADCAST_KEYS = 100_000
+SAMPLE_PER_BUCKET = 40  # sampled rows per range bucket when choosing the bounds
+SAMPLE_SEED = 17
+
+
+def _bucket_expr(row: Column, bounds: list[Column]) -> Column:
+    """Number of bounds <= row, by binary search over sorted literal bounds
+    (depth log2(len(bounds)))."""
+
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(row >= bounds[mid - 1], rec(mid, hi)).otherwise(rec(lo, mid - 1))
+
+    return rec(0, len(bounds))
+
+
+def range_buckets(df: DataFrame, sort_cols: Sequence[str], n_buckets: int, out: str = "_bkt") -> DataFrame:
+    """Add a range bucket that is a deterministic function of the row: bounds
+    are taken from a seeded sample once (at most ``n_buckets`` rows reach the
+    driver) and compiled into the plan as literals, so every evaluation of
+    the frame — any consumer, any retried task — places a row identically
+    (unlike a sampled range exchange, whose sample seed follows the RDD id)."""
+    cols = list(sort_cols)
+    types = dict(df.dtypes)
+    n = df.count()
+    if n == 0 or n_buckets <= 1:
+        return df.withColumn(out, F.lit(0))
+    frac = min(1.0, SAMPLE_PER_BUCKET * n_buckets / n)
+    samp = df.select(*cols).sample(False, frac, seed=SAMPLE_SEED).orderBy(*cols).collect()
+    if not samp:
+        return df.withColumn(out, F.lit(0))
+    picks, last = [], None
+    for i in range(1, n_buckets):
+        r = tuple(samp[min(len(samp) - 1, (i * len(samp)) // n_buckets)])
+        if r != last:
+            picks.append(r)
+            last = r
+    row = F.struct(*[F.col(c) for c in cols])
+    bounds = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for v, c in zip(r, cols)]) for r in picks]
+    return df.withColumn(out, _bucket_expr(row, bounds))
 
 
 def positions(
     df: DataFrame,
-    order_by: Sequence[str | Column],
+    order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     out: str = "pos",
     count_out: str | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = 0-based position of each row within ``partition_by`` in
-    ``order_by`` order (``order_by`` must make the order total), and
+    ascending ``order_by`` order (``order_by`` must make the order total), and
     optionally ``count_out`` = number of rows of its group.
 
-    Cost: one range shuffle, one materialisation of the numbered rows and
-    small aggregates of at most (partitions + groups) rows."""
+    Rows are cut into range buckets over (keys, order) — a hot key spans many
+    buckets — and ranked inside their bucket (a window per bucket, whose size
+    the bounds keep near rows/buckets). Offsets from earlier buckets come
+    from a per-bucket count table (one row per bucket, broadcast with that
+    bound); with keys only the first key of a bucket can have rows in earlier
+    buckets, so the carry table is bounded the same way. No Python, no
+    materialisation: every consumer recomputes the same placement."""
     keys = list(partition_by)
     order = list(order_by)
     n_part = _num_partitions(df, num_partitions)
-    sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(n_part, *sort_cols).sortWithinPartitions(*sort_cols)
-    # monotonically_increasing_id = partition id << 33 | index in the partition
-    x = _materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    x = x.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_lrank", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))).drop("_mid")
-
-    # global position: one offset per partition (a table bounded by n_part)
-    per_pid = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w_all = Window.orderBy("_pid")
-    per_pid = per_pid.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
-    )
-    g = x.join(F.broadcast(per_pid), on="_pid", how="left").withColumn("_gpos", F.col("_lrank") + F.col("_off"))
+    sort_cols = keys + order
+    x = range_buckets(df, sort_cols, n_part)
+    w = Window.partitionBy("_bkt", *keys).orderBy(*order)
+    x = x.withColumn("_lrank", F.row_number().over(w) - 1)
+    counts = x.groupBy("_bkt", *keys).agg(F.count(F.lit(1)).alias("_n"))
     if not keys:
-        res = g.withColumn(out, F.col("_gpos"))
+        w_all = Window.orderBy("_bkt")
+        per = counts.select(
+            "_bkt",
+            F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+            F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
+        )
+        res = x.join(F.broadcast(per), on="_bkt", how="left").withColumn(out, F.col("_lrank") + F.col("_off"))
         if count_out:
             res = res.withColumn(count_out, F.col("__total"))
-        return res.drop("_pid", "_lrank", "_off", "__total", "_gpos")
-
-    # keyed: rows of a key are contiguous in the global order, so the position
-    # inside the key is the global position minus the key's first one
-    key_stats = g.groupBy(*keys).agg(F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("_kn"))
-    n_keys = key_stats.count()
-    if n_keys <= BROADCAST_KEYS:
-        res = g.join(F.broadcast(key_stats), on=keys, how="left")
-        res = res.withColumn(out, F.col("_gpos") - F.col("_start"))
-        if count_out:
-            res = res.withColumn(count_out, F.col("_kn"))
-        return res.drop("_pid", "_lrank", "_off", "__total", "_gpos", "_start", "_kn")
-    return _positions_by_partition(x.drop("_lrank"), keys, out, count_out)
-
-
-def _positions_by_partition(x: DataFrame, keys: list[str], out: str, count_out: str | None) -> DataFrame:
-    """Many keys: rank rows inside each sorted partition (pandas over Arrow
-    batches), then add the rows of the same key held by earlier partitions.
-    Only the first key of a partition can continue from earlier partitions,
-    so the carry table has at most one row per partition."""
-    schema = T.StructType(x.schema.fields + [T.StructField("_lrank", T.LongType(), False)])
-    x = _materialize(x.mapInPandas(_local_rank_fn(keys), schema=schema))
-    counts = x.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    w_key = Window.partitionBy(*keys).orderBy("_pid")
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(w_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    carry = offsets.filter(F.col("_off") > 0).select("_pid", *keys, "_off")
-    res = x.join(F.broadcast(carry), on=["_pid", *keys], how="left")
+        return res.drop("_bkt", "_lrank", "_off", "__total")
+    wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wk), F.lit(0)))
+    # only the first key of a bucket can continue from earlier buckets: at
+    # most one row per bucket, so the broadcast is bounded by the bucket count
+    carry = offsets.filter(F.col("_off") > 0).select("_bkt", *keys, "_off")
+    res = x.join(F.broadcast(carry), on=["_bkt", *keys], how="left")
     res = res.withColumn(out, F.col("_lrank") + F.coalesce(F.col("_off"), F.lit(0)))
     if count_out:
-        # one row per group: the planner broadcasts it when small, otherwise a
+        # one row per group: broadcast by the planner when small, otherwise a
         # sort-merge join whose skewed partitions AQE splits
         totals = counts.groupBy(*keys).agg(F.sum("_n").alias(count_out))
         res = res.join(totals, on=keys, how="left")
-    return res.drop("_pid", "_lrank", "_off")
-
-
-def _local_cumsum_fn(keys: list[str], values: list[str], prefix: str):
-    """Per sorted partition: running sums of ``values`` inside each key run
-    (carried across Arrow batches of the same partition)."""
-
-    def fn(batches):
-        prev_key = None
-        carry = {v: 0.0 for v in values}
-        for pdf in batches:
-            if len(pdf) == 0:
-                yield pdf.assign(**{f"{prefix}{v}": pd.Series([], dtype="float64") for v in values})
-                continue
-            if keys:
-                kf = pdf[keys].astype(object).where(pdf[keys].notna(), "\x00null")
-                shifted = kf.shift(1)
-                if prev_key is not None:
-                    shifted.iloc[0] = list(prev_key)
-                change = (kf != shifted).any(axis=1)
-                if prev_key is None:
-                    change.iloc[0] = True
-                run = change.cumsum().values
-                continues = prev_key is not None and not change.iloc[0]
-            else:
-                run = pd.Series(0, index=pdf.index).values
-                continues = prev_key is not None
-            out = {}
-            for v in values:
-                cs = pdf[v].astype("float64").fillna(0.0).groupby(run).cumsum()
-                if continues:
-                    cs = cs + (run == run[0]) * carry[v]
-                out[f"{prefix}{v}"] = cs.values
-                carry[v] = float(cs.iloc[-1])
-            prev_key = tuple(kf.iloc[-1]) if keys else ("",)
-            yield pdf.assign(**out)
-
-    return fn
+    return res.drop("_bkt", "_lrank", "_off")
 
 
 def running_sums(
     df: DataFrame,
     values: Sequence[str],
-    order_by: Sequence[str | Column],
+    order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     out_prefix: str = "cum_",
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``<prefix><v>`` = sum of ``v`` over rows up to and including this
-    one within ``partition_by`` in ``order_by`` order (a distributed prefix
-    sum: one range shuffle, local cumulative sums, per-partition carry)."""
+    one within ``partition_by`` in ascending ``order_by`` order: a prefix sum
+    per range bucket (window) plus the sums of the same key in earlier
+    buckets (only a bucket's first key has any: one carry row per bucket)."""
     keys = list(partition_by)
     vals = list(values)
     n_part = _num_partitions(df, num_partitions)
-    sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order_by]
-    ranged = df.repartitionByRange(n_part, *sort_cols).sortWithinPartitions(*sort_cols)
-    with_pid = ranged.withColumn("_pid", F.spark_partition_id().cast("long"))
-    fields = with_pid.schema.fields + [T.StructField(f"{out_prefix}{v}", T.DoubleType(), True) for v in vals]
-    x = with_pid.mapInPandas(_local_cumsum_fn(keys, vals, out_prefix), schema=T.StructType(fields))
-    x = _materialize(x)
-    totals = x.groupBy("_pid", *keys).agg(*[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"_t_{v}") for v in vals])
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_pid", *keys, F.count(F.lit(1)).over(w).alias("_earlier"), *[F.sum(f"_t_{v}").over(w).alias(f"_o_{v}") for v in vals])
-    # rows of a key in earlier partitions exist only for the first key of a
-    # partition (or every partition when there are no keys): ≤ n_part rows
+    x = range_buckets(df, keys + list(order_by), n_part)
+    w = Window.partitionBy("_bkt", *keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"{out_prefix}{v}": F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).over(w) for v in vals})
+    totals = x.groupBy("_bkt", *keys).agg(*[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"_t_{v}") for v in vals])
+    wk = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_bkt", *keys, F.count(F.lit(1)).over(wk).alias("_earlier"), *[F.sum(f"_t_{v}").over(wk).alias(f"_o_{v}") for v in vals])
     carry = offs.filter(F.col("_earlier") > 0).drop("_earlier")
-    res = x.join(F.broadcast(carry), on=["_pid", *keys], how="left")
+    res = x.join(F.broadcast(carry), on=["_bkt", *keys], how="left")
     res = res.withColumns({f"{out_prefix}{v}": F.col(f"{out_prefix}{v}") + F.coalesce(F.col(f"_o_{v}"), F.lit(0.0)) for v in vals})
-    return res.drop("_pid", *[f"_o_{v}" for v in vals])
+    return res.drop("_bkt", *[f"_o_{v}" for v in vals])

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import threading
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +115,9 @@ def hash_order(key: str, seed: str = SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
 
 
-def build_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unmaterialised flows plan (with ``split``)."""
-    df = _flows_unsplit(spark, sf_dir).withColumn("_h", hash_order("sample_id"))
+def build_flows(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """Flows plan (with ``split``); ``base`` is the joined, unsplit frame."""
+    df = (base if base is not None else _flows_unsplit(spark, sf_dir)).withColumn("_h", hash_order("sample_id"))
     ranked = positions(df, order_by=["_h", "sample_id"], partition_by=["class3"], out="_rn0", count_out="_n")
     cols = [c for c in df.columns if c != "_h"]
     out = ranked.withColumn("split", split_label(F.col("_rn0") + 1, F.col("_n")))
@@ -137,7 +138,14 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _lock:
         if key not in _memo:
             path = scratch_path(spark, "flows")
-            build_flows(spark, sf_dir).write.mode("overwrite").partitionBy("split").parquet(path)
+            # the split reads the joined rows several times (bounds sample,
+            # counts, ranks): keep them while the table is written; placement
+            # is deterministic, so a lost cached block recomputes identically
+            base = _flows_unsplit(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                build_flows(spark, sf_dir, base).write.mode("overwrite").partitionBy("split").parquet(path)
+            finally:
+                base.unpersist()
             df = spark.read.parquet(path)
             cols = [c for c in df.columns if c != "split"]
             order = cols[:4] + ["split"] + cols[4:]

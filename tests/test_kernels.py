@@ -27,11 +27,11 @@ def test_positions_global_and_keyed_match_row_number(spark):
     assert k.join(ref2.select("id", "rn"), "id").filter(F.col("pos") != F.col("rn")).count() == 0
 
 
-def test_positions_many_keys_path(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "BROADCAST_KEYS", 0)
-    rows = [(i, f"k{i % 37}", (i * 7919) % 101) for i in range(2000)]
+def test_positions_many_keys_and_hot_key(spark):
+    # a hot key with a third of the rows plus many small keys
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 37}", (i * 7919) % 101) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, k string, v long")
-    k = ordering.positions(df, ["v", "id"], partition_by=["k"], out="pos", count_out="n", num_partitions=6)
+    k = ordering.positions(df, ["v", "id"], partition_by=["k"], out="pos", count_out="n", num_partitions=16)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")) - 1).withColumn(
         "rc", F.count(F.lit(1)).over(Window.partitionBy("k")))
     j = k.join(ref.select("id", "rn", "rc"), "id")
@@ -39,6 +39,16 @@ def test_positions_many_keys_path(spark, monkeypatch):
     assert j.filter((F.col("pos") != F.col("rn")) | (F.col("n") != F.col("rc"))).count() == 0
 
 
+def test_range_buckets_are_monotone_and_spread_a_hot_key(spark):
+    rows = [(i, "hot" if i % 3 else "cold", i % 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k string, v long")
+    b = ordering.range_buckets(df, ["k", "v", "id"], 8)
+    ranges = b.groupBy("_bkt").agg(F.min(F.struct("k", "v", "id")).alias("lo"), F.max(F.struct("k", "v", "id")).alias("hi")).orderBy("_bkt").collect()
+    for a, c in zip(ranges, ranges[1:]):
+        assert tuple(a["hi"]) < tuple(c["lo"])
+    assert b.filter(F.col("k") == "hot").select("_bkt").distinct().count() >= 4
+
+
 def test_running_sums_match_window(spark):
     rows = [(i, "x" if i % 3 else "y", float(i % 7)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, v double")
