@@ -61,21 +61,54 @@ def zero_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # F3 / F4 ---------------------------------------------------------------------
 def _pair_corr(a: Column, b: Column) -> Column:
-    """Pearson r over rows where both are present, NULL when undefined."""
+    """Pearson r over rows where both are present, NULL when undefined (one
+    moment aggregate per term; used for ad-hoc expressions)."""
     both = a.isNotNull() & b.isNotNull()
     aa, bb = F.when(both, a), F.when(both, b)
     return safe_div(F.covar_samp(aa, bb), F.stddev_samp(aa) * F.stddev_samp(bb))
 
 
+def _centres(df: DataFrame, exprs: dict[str, Column]) -> dict[str, float]:
+    row = df.agg(*[F.avg(e).alias(k) for k, e in exprs.items()]).first()
+    return {k: (row[k] if row[k] is not None else 0.0) for k in exprs}
+
+
+def _pearson_sums(pairs: list[tuple[str, Column, Column]], centre: dict[str, float], names: dict[int, str]) -> list[Column]:
+    """Per pair, six plain sums over pairwise-complete rows of values shifted
+    by fixed centres (codegen-friendly; the shift only limits cancellation)."""
+    out = []
+    for tag, a, b in pairs:
+        both = a.isNotNull() & b.isNotNull()
+        x = F.when(both, a - F.lit(centre[names[id(a)]]))
+        y = F.when(both, b - F.lit(centre[names[id(b)]]))
+        out += [F.count(x).alias(f"{tag}_n"), F.sum(x).alias(f"{tag}_sx"), F.sum(y).alias(f"{tag}_sy"),
+                F.sum(x * x).alias(f"{tag}_sxx"), F.sum(y * y).alias(f"{tag}_syy"), F.sum(x * y).alias(f"{tag}_sxy")]
+    return out
+
+
+def _pearson_from(tag: str) -> Column:
+    n, sx, sy = F.col(f"{tag}_n").cast("double"), F.col(f"{tag}_sx"), F.col(f"{tag}_sy")
+    cxy = F.col(f"{tag}_sxy") - sx * sy / n
+    cxx = F.col(f"{tag}_sxx") - sx * sx / n
+    cyy = F.col(f"{tag}_syy") - sy * sy / n
+    ok = (n >= 2) & (cxx > 0) & (cyy > 0)
+    return F.when(ok, cxy / F.sqrt(cxx * cyy))
+
+
 def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, threshold: float = RELEVANCE_MIN) -> DataFrame:
     """|r(column, target)|, pairwise complete; below ``threshold`` → drop;
-    undefined (NULL) → keep."""
+    undefined (NULL) → keep. Two passes: column means, then plain sums."""
     cols = list(columns)
     y = target.cast("double")
+    xs = {c: F.col(c).cast("double") for c in cols}
+    centre = _centres(df, {**xs, "__y": y})
+    names = {id(e): c for c, e in xs.items()}
+    names[id(y)] = "__y"
     outs = []
-    for lo in range(0, len(cols), 16):  # moment aggregates are wide: small chunks keep codegen
+    for lo in range(0, len(cols), 16):
         chunk = cols[lo : lo + 16]
-        wide = df.agg(*[F.abs(_pair_corr(F.col(c).cast("double"), y)).alias(f"r{i}") for i, c in enumerate(chunk)])
+        wide = df.agg(*_pearson_sums([(f"p{i}", xs[c], y) for i, c in enumerate(chunk)], centre, names))
+        wide = wide.select(*[F.abs(_pearson_from(f"p{i}")).alias(f"r{i}") for i in range(len(chunk))])
         outs.append(_stack(wide, chunk, [], ["r"], ["feature", "abs_corr"]))
     t = reduce(DataFrame.unionByName, outs)
     low = F.coalesce(F.col("abs_corr") < F.lit(threshold), F.lit(False))
@@ -88,19 +121,22 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, th
 
 
 # F5 / F6 ---------------------------------------------------------------------
-def pairwise_correlation(df: DataFrame, columns: Sequence[str], chunk: int = 30) -> DataFrame:
+def pairwise_correlation(df: DataFrame, columns: Sequence[str], chunk: int = 20) -> DataFrame:
     """Long form ``(i, j, feature_i, feature_j, abs_corr, distance)`` for
-    i < j in the given order; pairs are computed in chunks of aggregates
-    over the same (materialised) input."""
+    i < j in the given order: column means once, then plain sums per pair in
+    chunks of aggregates over the same (materialised) input."""
     cols = list(columns)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "i int, j int, feature_i string, feature_j string, abs_corr double, distance double")
+    xs = {c: F.col(c).cast("double") for c in cols}
+    centre = _centres(df, xs)
+    names = {id(e): c for c, e in xs.items()}
     outs = []
     for lo in range(0, len(pairs), chunk):
         part = pairs[lo : lo + chunk]
-        exprs = [F.abs(_pair_corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"))).alias(f"r{k}") for k, (i, j) in enumerate(part)]
-        wide = df.agg(*exprs)
+        wide = df.agg(*_pearson_sums([(f"p{k}", xs[cols[i]], xs[cols[j]]) for k, (i, j) in enumerate(part)], centre, names))
+        wide = wide.select(*[F.abs(_pearson_from(f"p{k}")).alias(f"r{k}") for k in range(len(part))])
         spec = ", ".join(f"{i}, {j}, '{cols[i]}', '{cols[j]}', r{k}" for k, (i, j) in enumerate(part))
         outs.append(wide.selectExpr(f"stack({len(part)}, {spec}) as (i, j, feature_i, feature_j, abs_corr)"))
     t = reduce(DataFrame.unionByName, outs)
