@@ -235,8 +235,3 @@ def message(key: Column, category: Column, severity: Column, title: Column, deta
     )
     text = F.when(metadata_json.isNotNull() & (metadata_json != "{}"), F.concat(lines, F.lit("\n\nMetadata:\n"), meta)).otherwise(lines)
     return F.when(F.length(text) > TEXT_MAX, F.concat(F.substring(text, 1, TEXT_MAX), F.lit("\n..."))).otherwise(text)
-
-
-def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

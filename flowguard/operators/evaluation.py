@@ -132,7 +132,10 @@ def roc_points(df: DataFrame, by: Sequence[str], y_true: str, score: str, positi
     sc = score_counts(df, by, y_true, score, positive).withColumn("_neg_score", -F.col(score))
     run = running_sums(sc, ["pos", "neg"], order_by=["_neg_score"], partition_by=list(by), out_prefix="cum_")
     tot = sc.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    x = run.join(tot, list(by)) if by else run.join(tot)
+    keys = list(by) or ["_k"]
+    if not by:  # one group: attach its totals by a constant key (equi-join)
+        run, tot = run.withColumn("_k", F.lit(1)), tot.withColumn("_k", F.lit(1))
+    x = run.join(tot, keys)
     return x.select(*by, F.col(score).alias("threshold"), safe_div(F.col("cum_neg"), F.col("_N")).alias("fpr"),
                     safe_div(F.col("cum_pos"), F.col("_P")).alias("tpr"))
 
@@ -194,7 +197,3 @@ def confusion_normalised(df: DataFrame, by: Sequence[str], y_true: str, y_pred:
     row_total = F.sum("n").over(Window.partitionBy(*by, "true_label"))
     return g.select(*by, "true_label", "pred_label", F.col("n").cast("long").alias("n"),
                     F.coalesce(safe_div(F.col("n"), row_total), F.lit(0.0)).alias("share"))
-
-
-def confidence_label(score: Column, threshold: float) -> Column:
-    return F.when(score >= threshold, "attack").otherwise("normal")

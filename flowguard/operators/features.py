@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_div
-from .stats import batched_agg
 
 # Selection thresholds.
 RELEVANCE_MIN = 0.025

@@ -11,7 +11,6 @@ keeps a map of all distinct values.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +25,6 @@ CHUNK = 100  # aggregate expressions per agg() (codegen method size)
 AGG_MAX_ROWS = 5_000_000
 
 
-def batched_agg(df: DataFrame, exprs: Sequence[Column]) -> list[DataFrame]:
-    return [df.agg(*exprs[i : i + CHUNK]) for i in range(0, len(exprs), CHUNK)]
-
-
 def unpivot_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "feature",
                  value: str = "value") -> DataFrame:
     cols = list(columns)
@@ -84,13 +79,3 @@ def _all_features(df: DataFrame, columns: Sequence[str], res: DataFrame, feature
     return allf.join(res, feature, "left").select(
         feature, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), *[f"q_{i}" for i in range(k)]
     )
-
-
-def scalar_quantiles(df: DataFrame, column: str, probs: Sequence[float], method: str = "auto") -> DataFrame:
-    """Quantiles of one column as a one-row frame (q_0, q_1, ...)."""
-    q = quantiles(df, [column], probs, method=method)
-    return q.drop("feature")
-
-
-def is_close(a: float, b: float) -> bool:
-    return math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12)

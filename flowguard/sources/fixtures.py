@@ -238,24 +238,6 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def models_table(spark: SparkSession) -> DataFrame:
-    """Registry fixture (3 versions). A literal table: only used next to queries
-    that read the driver tables; no registered query reads it alone."""
-    rows = [
-        ("RF_v1", "2024-01-01T00:00:00+00:00", 0.97, 0.93, 0.97, 120),
-        ("RF_v2", "2024-01-02T00:00:00+00:00", 0.96, 0.88, 0.95, 250),
-        ("RF_v10", "2024-01-03T00:00:00+00:00", 0.98, None, 0.97, 120),
-    ]
-    return spark.createDataFrame(
-        rows, "version string, created_at string, accuracy double, f1_macro double, f1_weighted double, n_estimators int"
-    )
-
-
-def model_audit_table(spark: SparkSession) -> DataFrame:
-    rows = [(1, None, "RF_v1", "success"), (2, "RF_v1", "RF_v7", "failed"), (3, "RF_v1", "RF_v2", "success"), (4, "RF_v2", None, "skipped")]
-    return spark.createDataFrame(rows, "seq int, previous_model string, new_model string, status string")
-
-
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     lab = table(spark, sf_dir, "labels")
@@ -326,17 +308,6 @@ select seq as submit_seq, case when seq % 11 = 0 then concat('x', cast(seq as va
 from review_queue
 """
 
-MODELS_SQL = """
-select 'RF_v1' as version, '2024-01-01T00:00:00+00:00' as created_at, cast(0.97 as double) as accuracy, cast(0.93 as double) as f1_macro, cast(0.97 as double) as f1_weighted, 120 as n_estimators
-union all select 'RF_v2', '2024-01-02T00:00:00+00:00', cast(0.96 as double), cast(0.88 as double), cast(0.95 as double), 250
-union all select 'RF_v10', '2024-01-03T00:00:00+00:00', cast(0.98 as double), cast(null as double), cast(0.97 as double), 120
-"""
-
-MODEL_AUDIT_SQL = """
-select 1 as seq, cast(null as varchar) as previous_model, 'RF_v1' as new_model, 'success' as status
-union all select 2, 'RF_v1', 'RF_v7', 'failed' union all select 3, 'RF_v1', 'RF_v2', 'success' union all select 4, 'RF_v2', cast(null as varchar), 'skipped'
-"""
-
 LABELLED_DOCS_SQL = """
 select l.*, d.lang, d.source, d.n_chars from labels l join (select doc_id, lang, source, n_chars from documents) d using (doc_id)
 """
@@ -348,8 +319,6 @@ VIEW_SQL = {
     "review_queue": REVIEW_QUEUE_SQL,
     "validated": VALIDATED_SQL,
     "submissions": SUBMISSIONS_SQL,
-    "models": MODELS_SQL,
-    "model_audit": MODEL_AUDIT_SQL,
     "labelled_docs": LABELLED_DOCS_SQL,
 }
 
