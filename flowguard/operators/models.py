@@ -9,9 +9,11 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
+    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
@@ -42,6 +44,11 @@ def spec(name: str, n_features: int, n_classes: int):
         # depth is capped (MLlib limit 30); the library default is unlimited
         return RandomForestClassifier(numTrees=120, minInstancesPerNode=2, maxDepth=15, maxBins=64, weightCol="weight",
                                       featureSubsetStrategy="sqrt", **common)
+    if name == "boosted_trees":
+        # binary GBT per class (MLlib's GBT is binary); classes fit in parallel
+        gbt = GBTClassifier(maxIter=140, maxDepth=8, stepSize=0.08, subsamplingRate=0.85, featureSubsetStrategy="0.85",
+                            weightCol="weight", seed=SEED)
+        return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_idx", weightCol="weight", parallelism=n_classes)
     if name == "logistic":
         return LogisticRegression(family="multinomial", maxIter=140, weightCol="weight", featuresCol="features", labelCol="label_idx")
     if name == "naive_bayes":
@@ -81,7 +88,16 @@ def score(model, df: DataFrame, features: Sequence[str], classes: Sequence[str],
     conv = IndexToString(inputCol="prediction", outputCol="pred_type", labels=list(classes))
     x = conv.transform(x)
     ni = list(classes).index(normal) if normal in classes else None
-    sc = (F.lit(1.0) - vector_to_array("probability")[ni]) if ni is not None else F.lit(None).cast("double")
+    if ni is None:
+        sc = F.lit(None).cast("double")
+    elif "probability" in x.columns:
+        sc = F.lit(1.0) - vector_to_array("probability")[ni]
+    else:
+        # one-vs-rest gives per-class margins: softmax them into a ranking score
+        raw = vector_to_array("rawPrediction")
+        mx = F.array_max(raw)
+        ex = F.transform(raw, lambda v: F.exp(v - mx))
+        sc = F.lit(1.0) - ex[ni] / F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)
     return x.withColumn("pred_code", F.col("prediction").cast("int")).withColumn("score", sc)
 
 
