@@ -30,7 +30,8 @@ def _stack(wide: DataFrame, names: Sequence[str], fields: Sequence[str], prefix:
 
 # F1 / F2 ---------------------------------------------------------------------
 def variance_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sample variance, non-null count, min and max of every column."""
+    """Sample variance, non-null count, min, max and mean of every column
+    (one pass; the means also centre the correlation sums and fill nulls)."""
     cols = list(columns)
     outs = []
     for lo in range(0, len(cols), 25):
@@ -38,16 +39,17 @@ def variance_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         exprs = []
         for i, c in enumerate(chunk):
             x = F.col(c).cast("double")
-            exprs += [F.var_samp(x).alias(f"v{i}"), F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
+            exprs += [F.var_samp(x).alias(f"v{i}"), F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
+                      F.avg(x).alias(f"m{i}")]
         wide = df.agg(*exprs)
-        outs.append(_stack(wide, chunk, [], ["v", "n", "a", "b"], ["feature", "variance", "n", "min_value", "max_value"]))
+        outs.append(_stack(wide, chunk, [], ["v", "n", "a", "b", "m"], ["feature", "variance", "n", "min_value", "max_value", "mean"]))
     return reduce(DataFrame.unionByName, outs)
 
 
-def zero_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def zero_variance(df: DataFrame, columns: Sequence[str], table: DataFrame | None = None) -> DataFrame:
     """Decision table: drop when at least two values and min = max (variance
     exactly 0 without float noise)."""
-    v = variance_table(df, columns)
+    v = table if table is not None else variance_table(df, columns)
     zero = (F.col("n") >= 2) & (F.col("min_value") == F.col("max_value"))
     return v.select(
         "feature",
@@ -94,13 +96,19 @@ def _pearson_from(tag: str) -> Column:
     return F.when(ok, cxy / F.sqrt(cxx * cyy))
 
 
-def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, threshold: float = RELEVANCE_MIN) -> DataFrame:
+def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, threshold: float = RELEVANCE_MIN,
+                       centres: dict[str, float] | None = None) -> DataFrame:
     """|r(column, target)|, pairwise complete; below ``threshold`` → drop;
-    undefined (NULL) → keep. Two passes: column means, then plain sums."""
+    undefined (NULL) → keep. Plain sums over centred values (the centres
+    are computed in one pass unless given)."""
     cols = list(columns)
     y = target.cast("double")
     xs = {c: F.col(c).cast("double") for c in cols}
-    centre = _centres(df, {**xs, "__y": y})
+    if centres is None:
+        centre = _centres(df, {**xs, "__y": y})
+    else:
+        centre = {c: (centres.get(c) if centres.get(c) is not None else 0.0) for c in cols}
+        centre["__y"] = 0.5  # a 0/1 target: any fixed centre keeps the sums exact
     names = {id(e): c for c, e in xs.items()}
     names[id(y)] = "__y"
     outs = []
@@ -120,7 +128,7 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, th
 
 
 # F5 / F6 ---------------------------------------------------------------------
-def pairwise_correlation(df: DataFrame, columns: Sequence[str], chunk: int = 20) -> DataFrame:
+def pairwise_correlation(df: DataFrame, columns: Sequence[str], chunk: int = 20, centres: dict[str, float] | None = None) -> DataFrame:
     """Long form ``(i, j, feature_i, feature_j, abs_corr, distance)`` for
     i < j in the given order: column means once, then plain sums per pair in
     chunks of aggregates over the same (materialised) input."""
@@ -129,7 +137,7 @@ def pairwise_correlation(df: DataFrame, columns: Sequence[str], chunk: int = 20)
     if not pairs:
         return df.sparkSession.createDataFrame([], "i int, j int, feature_i string, feature_j string, abs_corr double, distance double")
     xs = {c: F.col(c).cast("double") for c in cols}
-    centre = _centres(df, xs)
+    centre = _centres(df, xs) if centres is None else {c: (centres.get(c) if centres.get(c) is not None else 0.0) for c in cols}
     names = {id(e): c for c, e in xs.items()}
     outs = []
     for lo in range(0, len(pairs), chunk):

@@ -51,11 +51,17 @@ class Params:
         return json.dumps(self.__dict__)
 
 
-def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], quantile_method: str = "auto") -> Params:
+def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], quantile_method: str = "auto",
+        means: dict[str, float | None] | None = None) -> Params:
+    """``means`` (non-null means of the numeric columns) skips their pass
+    when the caller already has them."""
     p = Params(list(numeric), list(categorical))
     if p.numeric:
-        row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(p.numeric)]).first()
-        p.mean = {c: row[f"m{i}"] for i, c in enumerate(p.numeric)}
+        if means is not None and all(c in means for c in p.numeric):
+            p.mean = {c: means[c] for c in p.numeric}
+        else:
+            row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(p.numeric)]).first()
+            p.mean = {c: row[f"m{i}"] for i, c in enumerate(p.numeric)}
         # quantiles of the imputed values (the scaler is fitted after imputation)
         imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(p.mean[c])).alias(c) for c in p.numeric])
         q = {r["feature"]: r for r in quantiles(imputed, p.numeric, [0.25, 0.5, 0.75], method=quantile_method).collect()}
@@ -159,23 +165,33 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
     dtypes = dict(typed_df.dtypes)
     num = [c for c in cand if dtypes[c] == "double"]
 
-    zv = features.zero_variance(train, num)
-    zv_rows = zv.collect()
-    dropped_zero = [r["feature"] for r in zv_rows if r["decision"] == "drop"]
+    # one pass: variance, count, min, max and mean of every numeric column
+    profile = features.variance_table(train, num).collect()
+    prof_df = train.sparkSession.createDataFrame(
+        [(r["feature"], r["variance"], r["n"], r["min_value"], r["max_value"], r["mean"]) for r in profile],
+        "feature string, variance double, n long, min_value double, max_value double, mean double")
+    means = {r["feature"]: r["mean"] for r in profile}
+    zv = features.zero_variance(train, num, table=prof_df)
+    dropped_zero = [r["feature"] for r in zv.collect() if r["decision"] == "drop"]
     num1 = [c for c in num if c not in dropped_zero]
 
-    tc = features.target_correlation(train, num1, clean.binary_target(label, normal), relevance)
+    tc = features.target_correlation(train, num1, clean.binary_target(label, normal), relevance, centres=means)
     dropped_low = [r["feature"] for r in tc.collect() if r["decision"] == "drop"]
     num2 = [c for c in num1 if c not in dropped_low]
 
-    pc = features.pairwise_correlation(train, num2)
+    pc = features.pairwise_correlation(train, num2, centres=means)
     rd = features.redundant(pc, num2, redundancy)
     dropped_red = [r["feature"] for r in rd.collect() if r["decision"] == "drop"]
     num3 = [c for c in num2 if c not in dropped_red]
     kept = [c for c in cand if c not in set(dropped_zero) | set(dropped_low) | set(dropped_red)]
     cat = [c for c in kept if dtypes[c] == "string"]
     num_final = [c for c in kept if c in num3]
-    params = fit(train, num_final, cat, quantile_method=quantile_method)
+    if quantile_method == "auto" and profile:
+        n_train = max(int(r["n"]) for r in profile)
+        from .stats import AGG_MAX_ROWS
+
+        quantile_method = "agg" if n_train <= AGG_MAX_ROWS else "sort"
+    params = fit(train, num_final, cat, quantile_method=quantile_method, means=means)
     prep = Preparation(plan, ids, cand, dropped_zero, dropped_low, dropped_red, num_final, cat, params,
                        {"types": plan.table, "variance": zv, "relevance": tc, "pairs": pc, "redundancy": rd})
     return prep, typed_df
