@@ -219,11 +219,20 @@ def q_drift_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("feature", "out_of_range_ratio", F.col("rank").cast("int").alias("rank"))
 
 
-def _last_window_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _last_window_ratios(spark: SparkSession, sf_dir: str, rolled_flags: DataFrame | None = None) -> DataFrame:
     """Per-feature out-of-range ratios over the window that ends at the last
-    row of the stream (one row)."""
+    row of the stream (one row), from the rolled frame's positions."""
+    _, _, ref = reference(spark, sf_dir)
+    r = rolled_flags if rolled_flags is not None else _rolled_with_flags(spark, sf_dir)
+    last = r.filter(F.col("pos") >= F.col("stream_rows") - F.lit(ref.window_size))
+    return last.agg(*[F.avg(F.col(f"oor_{c}").cast("double")).alias(f"ratio_oor_{c}") for c in ref.features])
+
+
+def _rolled_with_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolled stream that keeps the per-feature flags as row columns (the
+    window itself only averages the score)."""
     s, ref = stream(spark, sf_dir, with_flags=True)
-    return dr.last_window_ratios(s, ref.features, STREAM_ORDER, size=ref.window_size)
+    return dr.alerts(dr.rolling(s, STREAM_ORDER, size=ref.window_size), ref)
 
 
 @query(
@@ -248,9 +257,9 @@ def drift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: which recent records leave the normal profile, and is the
     alert on? One status row for the end of the monitored stream."""
     _, _, ref = reference(spark, sf_dir)
-    r, _ = rolled(spark, sf_dir)
+    r = _rolled_with_flags(spark, sf_dir)  # one positioning of the stream serves both
     last = r.filter(F.col("pos") == F.col("stream_rows") - 1)
-    top = dr.top_features(_last_window_ratios(spark, sf_dir), ref.features)
+    top = dr.top_features(_last_window_ratios(spark, sf_dir, r), ref.features)
     names = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda s: s["feature"]), ",").alias("top_features"))
     st = last.select(
         F.lit(True).alias("enabled"),
