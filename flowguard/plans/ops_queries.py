@@ -60,7 +60,7 @@ select k as source_id, t from s where t is not null""",
 @query("alert_cooldown", group="L", oracle=_COOLDOWN_ORACLE)
 def q_alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy cooldown of one day per source over failed requests."""
-    r = fixtures.requests(spark, sf_dir).filter(F.col("http_status") >= 400)
+    r = fixtures.requests(spark, sf_dir, failed_only=True)
     return al.cooldown(r, "source_id", "ts", seconds=86_400)
 
 
