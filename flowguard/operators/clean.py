@@ -107,8 +107,9 @@ def type_decisions(df: DataFrame, share: float = 0.7, exclude: Iterable[str] = (
 
 def infer_types(df: DataFrame, share: float = 0.7, exclude: Iterable[str] = ()) -> TypePlan:
     table = type_decisions(df, share, exclude)
-    kinds = {r["column"]: r["decision"] for r in table.collect()}  # one row per column
-    return TypePlan(kinds, table)
+    rows = table.collect()  # one row per column
+    kinds = {r["column"]: r["decision"] for r in rows}
+    return TypePlan(kinds, df.sparkSession.createDataFrame(rows, table.schema))
 
 
 def apply_types(df: DataFrame, plan: TypePlan, keep: Iterable[str] = ()) -> DataFrame:

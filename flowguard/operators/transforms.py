@@ -137,6 +137,12 @@ def typed(df: DataFrame, label_cols: Sequence[str], meta: Sequence[str], plan: c
     return clean.apply_types(tok, plan, keep=list(label_cols) + list(meta)), plan
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Decision tables have one row per column or pair: compute them once and
+    keep them as local tables, so readers do not re-run the aggregates."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal",
                     label_cols: Sequence[str] = ("class1", "class2", "class3"), split_col: str = "split",
                     key: str = "sample_id", extra_identifiers: Sequence[str] = ("sample_id", "ts"),
@@ -171,16 +177,16 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
         [(r["feature"], r["variance"], r["n"], r["min_value"], r["max_value"], r["mean"]) for r in profile],
         "feature string, variance double, n long, min_value double, max_value double, mean double")
     means = {r["feature"]: r["mean"] for r in profile}
-    zv = features.zero_variance(train, num, table=prof_df)
+    zv = _small(features.zero_variance(train, num, table=prof_df))
     dropped_zero = [r["feature"] for r in zv.collect() if r["decision"] == "drop"]
     num1 = [c for c in num if c not in dropped_zero]
 
-    tc = features.target_correlation(train, num1, clean.binary_target(label, normal), relevance, centres=means)
+    tc = _small(features.target_correlation(train, num1, clean.binary_target(label, normal), relevance, centres=means))
     dropped_low = [r["feature"] for r in tc.collect() if r["decision"] == "drop"]
     num2 = [c for c in num1 if c not in dropped_low]
 
-    pc = features.pairwise_correlation(train, num2, centres=means)
-    rd = features.redundant(pc, num2, redundancy)
+    pc = _small(features.pairwise_correlation(train, num2, centres=means))
+    rd = _small(features.redundant(pc, num2, redundancy))
     dropped_red = [r["feature"] for r in rd.collect() if r["decision"] == "drop"]
     num3 = [c for c in num2 if c not in dropped_red]
     kept = [c for c in cand if c not in set(dropped_zero) | set(dropped_low) | set(dropped_red)]
