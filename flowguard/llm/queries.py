@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowguard.llm import quality_rules, secret_scan, token_counts
+from flowguard.llm import quality_rules, secret_scan, token_counts, url_filter
 from flowguard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,46 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op7_url_filter"] = r"""
+WITH RECURSIVE rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), links AS (
+  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*>'), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1),
+                      regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+  FROM pages WHERE contains(url, '://')
+), targets AS (
+  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN starts_with(t, '/') THEN 'http://' || regexp_extract(url, '://([^/?#]*)', 1) || t
+    ELSE 'http://' || regexp_extract(url, '://([^/?#]*)', 1) || coalesce(nullif(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || t END AS target
+  FROM links WHERE t <> ''
+), urls AS (
+  SELECT url FROM pages UNION SELECT target FROM targets
+), parsed AS (
+  SELECT url, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '://([^/?#]*)', 1)) ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) ELSE '' END AS query
+  FROM urls WHERE url IS NOT NULL
+), ruled AS (
+  SELECT url, host, path, CASE WHEN contains(url, '://') THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node,
+         (SELECT max_by(rhost || rpath, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
+         (SELECT max_by(verdict, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS said
+  FROM parsed
+), edges AS (
+  SELECT a.node AS a, b.node AS b FROM targets t JOIN ruled a ON a.url = t.url JOIN ruled b ON b.url = t.target
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reached AS (
+  SELECT node FROM ruled JOIN both_ways ON node = a WHERE said = 'block' UNION SELECT e.b FROM reached r JOIN both_ways e ON e.a = r.node
+)
+SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule,
+       coalesce(r.said, CASE WHEN r.node IN (SELECT node FROM reached) THEN 'block' END, 'allow') AS verdict
+FROM pages p LEFT JOIN ruled r ON r.url = p.url
+"""
