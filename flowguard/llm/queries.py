@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowguard.llm import quality_rules, secret_scan, token_counts, url_filter
+from flowguard.llm import mixing, quality_rules, secret_scan, token_counts, url_filter
 from flowguard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,38 @@ SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.
        coalesce(r.said, CASE WHEN r.node IN (SELECT node FROM reached) THEN 'block' END, 'allow') AS verdict
 FROM pages p LEFT JOIN ruled r ON r.url = p.url
 """
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+), by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS room,
+         ((SELECT sum(source_size) FROM by_source) - coalesce(sum(3 * source_size) OVER before, 0))::BIGINT
+           / ((SELECT sum(weight) FROM by_source) - coalesce(sum(weight) OVER before, 0))::BIGINT AS level
+  FROM by_source WINDOW before AS (ORDER BY 3 * source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+  SELECT source, source_size, CASE WHEN level > room THEN cap::DOUBLE
+           ELSE (SELECT arg_min(level, (room, source IS NULL, source)) FROM levels WHERE level <= room) * weight END AS target
+  FROM levels
+), budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM goals
+), placed AS (
+  SELECT s.*, source_size, target, epochs, target - epochs * source_size AS rest,
+         (sum(size) OVER (PARTITION BY s.source ORDER BY key, size RANGE UNBOUNDED PRECEDING))::BIGINT AS upto,
+         (sum(size) OVER (PARTITION BY s.source, key, size))::BIGINT AS alike
+  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, source, size, source_size, target,
+       size * epochs + CASE WHEN upto <= rest THEN size WHEN upto - alike < rest THEN floor((rest - (upto - alike)) * size / alike)::BIGINT ELSE 0 END AS taken
+FROM placed
+"""
