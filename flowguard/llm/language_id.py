@@ -48,19 +48,25 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A word is a run of letters, in lower case; its trigrams end at each of its letters and just behind it, with a mark
     in front, so a word of n letters has n + 1."""
-    points = np.frombuffer(("\n" + "\n".join(x.lower().replace("\n", " ") for x in texts) + "\n\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(("\0\0\n" + "\n".join(x.lower().replace("\n", " ") for x in texts) + "\n\0").encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
-    c = np.where(letter, points, 0).astype(np.uint64)
-    ends = letter.copy()
-    ends[1:] |= letter[:-1]
-    at = np.flatnonzero(ends)
-    # a mark stands before the word, and nothing of the word before it
-    before = np.where(letter[at - 1], c[at - 2], 0) if at.size else at.astype(np.uint64)
-    h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (c[at - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[at] * np.uint64(0x165667B19E3779F9))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    first = np.flatnonzero(letter[at] & ~letter[at - 1])
-    line = np.cumsum(points == 10) - 1
-    return (h >> np.uint64(64 - 17)).astype(np.int64), first, line[at[first]]
+    c = points * letter
+    c, b, a = c[2:], c[1:-1], c[:-2] * letter[1:-1]  # nothing of the word before stands before a word's mark
+    ends = letter[2:] | letter[1:-1]
+    starts = (letter[2:] & ~letter[1:-1])[ends]
+    first = np.flatnonzero(starts)
+    line = np.cumsum(points[2:] == 10, dtype=np.int32)[ends]
+    return _hash(a, b, c)[ends].astype(np.int64), first, line[first] - 1
+
+
+def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D))
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - 17)
+
+
+def bucket(a: int, b: int, c: int) -> int:
+    """The bucket of one trigram of code points (0: the mark in front of a word, or behind it)."""
+    return int(_hash(*(np.array([x], np.uint32) for x in (a, b, c)))[0])
 
 
 @dataclass(frozen=True)

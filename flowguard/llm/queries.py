@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import language_id, mixing, quality_rules, secret_scan, token_counts, url_filter
+from flowguard.llm import language_id, mixing, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from flowguard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,14 @@ FROM pages p LEFT JOIN ruled r ON r.url = p.url
 """
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = language_id.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(docs.where(~held_out), labels.where(~held_out), all_docs=docs)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
