@@ -112,4 +112,18 @@ LABELLED: list[tuple[str, str]] = [
         f"""<body><p><a href="1">Home</a></p><div class="entry-content"><p>Salt</p><p>{_LONG}</p><p>Pepper and thyme</p></div><p><a href="3">Next recipe</a></p></body>""",
         "-" + "+++" + "-",
     ),
+    # pages that break off inside the article
+    (
+        f"""<body><nav><ul><li><a href="1">Home</a></li></ul></nav><div class="ad">{_MID}</div><article><h1>Trout</h1><p>Brown trout</p><p>Sea trout</p><p>Lake tr""",
+        "-" + "-" + "++++",
+    ),
+    (
+        f"""<body><div><a href="1">Home</a></div><article><p>One list of fish</p><p>Bleak and dace</p><p><a href="5">Read about the dace</a></p><p>Chub and roach</p><p><a href="6">Read about the roach</a></p><p>Tench or br""",
+        "-" + "++-+-+",
+    ),
+    (
+        f"""<body><nav><a href="1">Home</a></nav><main><p>Rain again today</p><p>{_LONG}</p></main><nav><a href="1">Home</a></nav><article><div>Sun at last today</div></article><nav><a href="2">Next</a></nav>
+        <article><div>No wind at all</div><div>Some clouds</div></article><nav><a href="3">Last</a></nav><article><div>Fog in the valley""",
+        "-" + "++" + "-" + "+" + "-" + "++" + "-" + "+",
+    ),
 ]

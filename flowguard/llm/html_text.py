@@ -160,7 +160,7 @@ def describe(blocks: list[Block]) -> list[list[float]]:
 Tree = bool | tuple
 
 
-def fit(spark: SparkSession, labelled: list[tuple[str, str]] = LABELLED, depth: int = 8) -> Tree:
+def fit(spark: SparkSession, labelled: list[tuple[str, str]] = LABELLED, depth: int = 12) -> Tree:
     """The tree for pages and their labels, one sign for each block: + main text, - anything else."""
     rows = []
     for page, labels in labelled:
@@ -169,7 +169,7 @@ def fit(spark: SparkSession, labelled: list[tuple[str, str]] = LABELLED, depth:
             raise ValueError(f"{len(labels)} labels for {len(found)} blocks: {page[:80]}")
         rows += [(x, float(y == "+")) for x, y in zip(found, labels, strict=True)]
     data = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=depth, maxBins=512, minInstancesPerNode=2, seed=1).fit(data)
+    model = DecisionTreeClassifier(maxDepth=depth, maxBins=512, minInstancesPerNode=1, seed=1).fit(data)
 
     def read(node) -> Tree:
         if node.numDescendants() == 0:
