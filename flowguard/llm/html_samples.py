@@ -127,3 +127,17 @@ LABELLED: list[tuple[str, str]] = [
         "-" + "++" + "-" + "+" + "-" + "++" + "-" + "+",
     ),
 ]
+
+_WORDS = "old boats lie upside down on the grey stones below the mill all winter long".split()
+
+
+def _said(n: int) -> str:
+    return " ".join(_WORDS[:n])
+
+
+# The same lines of n words behind and before a linked line of k words: main text inside an article, else not.
+for _k in (1, 3, 6, 10):
+    for _n in (1, 2, 4, 8):
+        LABELLED.append((f'<p><a href="1">{_said(_k)}</a></p><article><p>{_said(_n)}</p><p>{_LONG}</p><p>{_said(_n)}</p></article><p><a href="2">{_said(_k)}</a></p>', "-+++-"))
+        if _n < 8:
+            LABELLED.append((f'<p><a href="1">{_said(_k)}</a></p><p>{_said(_n)}</p><p>{_LONG}</p><p>{_MORE}</p><p>{_said(_n)}</p><p><a href="2">{_said(_k)}</a></p>', "--++--"))
