@@ -141,3 +141,19 @@ for _k in (1, 3, 6, 10):
         LABELLED.append((f'<p><a href="1">{_said(_k)}</a></p><article><p>{_said(_n)}</p><p>{_LONG}</p><p>{_said(_n)}</p></article><p><a href="2">{_said(_k)}</a></p>', "-+++-"))
         if _n < 8:
             LABELLED.append((f'<p><a href="1">{_said(_k)}</a></p><p>{_said(_n)}</p><p>{_LONG}</p><p>{_MORE}</p><p>{_said(_n)}</p><p><a href="2">{_said(_k)}</a></p>', "--++--"))
+
+# Lines of n words in what surrounds an article or plain paragraphs.
+for _n in (2, 7, 12, 15):
+    LABELLED += [
+        (f"<header><p>{_said(_n)}</p></header><article><p>{_LONG}</p><p>{_said(_n)}</p></article><footer><p>{_said(_n)}.</p></footer>", "-++-"),
+        (f"<header>{_said(_n)}</header><p>{_LONG}</p><p>{_MORE}</p><p>{_LONG}</p><aside>{_said(_n)}</aside><footer>{_said(_n)}.</footer>", "-+++--"),
+        (f"<nav>{_said(_n)}</nav><div>{_LONG} {_MORE}</div><div>{_MORE} {_LONG}</div><form>{_said(_n)}</form><footer>{_LONG}</footer>", "-++--"),
+        (f'<div class="menu">{_said(_n)}</div><div>{_MORE} {_LONG}</div><div>{_LONG} {_MORE}</div><div class="notice">{_said(_n)}.</div><div id="footer">{_MORE}</div>', "-++--"),
+    ]
+
+# Sentences with links in them, and lines that are hardly more than links.
+for _n in (1, 2, 4):
+    LABELLED += [
+        (f'<nav><a href="1">{_MID}</a></nav><article><p>The cook of <a href="2">{_said(_n)}</a> said so.</p><p>{_LONG}</p><p>Ask <a href="3">{_said(_n)}</a> for {_said(_n)}.</p><p><a href="4">{_said(_n)}</a></p></article><footer><a href="5">{_said(_n)}</a></footer>', "-+++--"),
+        (f'<p><a href="1">Home</a> | <a href="2">{_said(_n)}</a> | <a href="3">News</a></p><p>{_LONG}</p><p>The cook of the inn by the river and <a href="2">{_said(_n)}</a> said so.</p><p>{_MORE}</p><p><a href="1">{_said(_n)}</a> | <a href="2">Back</a></p>', "-+++-"),
+    ]
