@@ -16,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ _LETTERS_OF_MODEL = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôö
 #: Labelled rows and features of the fit at most.
 MOST_LABELS = 200_000
 MOST_FEATURES = 20_000
+#: Words, or features, that a task keeps at most.
+_KEPT = 100_000
 
 
 # --- the source model -----------------------------------------------------------------------------------------------
@@ -143,7 +145,7 @@ class Restorer:
 
     def decode(self, stretch: str) -> list[str]:
         if stretch not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > _KEPT // 4:
                 self.known.clear()
             self.known[stretch] = decode(stretch, self.model)
         return self.known[stretch]
@@ -153,7 +155,7 @@ class Restorer:
         low = text.lower()
         words = set(WORDS.findall(low))
         if new := words - self.plain:
-            if len(self.plain) > 500_000:
+            if len(self.plain) > _KEPT:
                 self.plain.clear()
             runs = {w for w in new if _RUN.search(w)}
             self.plain |= new - runs
@@ -193,7 +195,7 @@ class Model:
         seen = set()
         for w in words:
             if (own := parts.get(w)) is None:
-                if len(parts) > 200_000:
+                if len(parts) > _KEPT:
                     parts.clear()
                 own = parts[w] = tuple(f for f in features(w) if f in self.weights)
             seen.update(own)
@@ -220,11 +222,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not 0 < share < 1:
         return Model(counts, {}, start)
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ys, restorer = given.value[0], Restorer(CharacterModel(given.value[1]))
+    def rows_of(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) -> Iterator[tuple[int, set[str]]]:
+        """Label and features of each labelled row."""
+        ys, restorer, parts = given.value[0], Restorer(CharacterModel(given.value[1])), {}
         for batch in batches:
-            rows = [(ys[i], sorted({f for w in restorer.words(t.as_py() or "") for f in features(w)})) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if i in ys]
-            yield pa.RecordBatch.from_arrays([pa.array([float(y) for y, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.list_(pa.string()))], names=["label", "found"])
+            for i, id_ in enumerate(batch.column(0).to_pylist()):
+                if id_ in ys:
+                    words = restorer.words(batch.column(1)[i].as_py() or "")
+                    if len(parts) > _KEPT:
+                        parts.clear()
+                    for w in words - parts.keys():
+                        parts[w] = tuple(f for f in features(w) if wanted is None or f in wanted)
+                    yield ys[id_], set().union(*map(parts.__getitem__, words))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on, off = Counter(), Counter()
@@ -236,15 +245,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             off.clear()
             return out
 
-        for batch in batches:
-            for y, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                (on if y else off).update(found.as_py())
-                if len(on) + len(off) > 200_000:
-                    yield flush()
+        for y, found in rows_of(batches, None):
+            (on if y else off).update(found)
+            if len(on) + len(off) > _KEPT:
+                yield flush()
         yield flush()
 
-    labelled = docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(words_of, "label double, found array<string>")
-    tallied = labelled.mapInArrow(tally, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    texts = docs.select(id_col, F.col(text_col).alias("__text"))
+    tallied = texts.mapInArrow(tally, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     rate = (F.col("n1") + share) / (F.col("n1") + F.col("n0") + 1)
     useful = tallied.where((F.col("n1") >= 3) & (rate >= 0.5)).withColumn("worth", F.col("n1") * (rate - share))
     vocabulary = [r["feature"] for r in useful.orderBy(F.desc("worth"), "feature").limit(MOST_FEATURES).collect()]
@@ -252,11 +260,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(counts, {}, start)
     chosen = sc.broadcast(frozenset(vocabulary))
 
-    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[f for f in x.as_py() if f in chosen.value] for x in batch.column(1)], pa.list_(pa.string()))], names=["label", "found"])
+    def chosen_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(batches, chosen.value)
+        while some := list(islice(rows, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array([float(y) for y, _ in some], pa.float64()), pa.array([sorted(x) for _, x in some], pa.list_(pa.string()))], names=["label", "found"])
 
-    rows = materialize(labelled.mapInArrow(only_chosen, "label double, found array<string>"), "toxicity-rows")
+    rows = materialize(texts.mapInArrow(chosen_rows, "label double, found array<string>"), "toxicity-rows")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="found", outputCol="features", binary=True).transform(rows)
     fitted = LogisticRegression(maxIter=60, regParam=1e-4, elasticNetParam=0.5, standardization=False).fit(vectors.select("label", "features"))
     weights = {f: float(w) for f, w in zip(vocabulary, fitted.coefficients.toArray(), strict=True) if w}
