@@ -36,7 +36,7 @@ from flowguard.llm.components import connected_components
 SAMPLE = 10_000
 MOST_FREQUENT = 500_000
 #: Rows of up to this number (24 bytes each) are broadcast to pick texts; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 _SPAN = 4
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -288,25 +288,39 @@ def node_components(rows: DataFrame, docs: DataFrame, size: int, percent: int) -
     return parts if more.isEmpty() else connected_components(links.unionAll(more))
 
 
+def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """By row of (__id, __text): __id, text_hash, n and part, the component of its set (null for an empty set)."""
+    rows = materialize(sets(docs, size, percent), "ngram-sets")
+    return _with_part(rows.select("__id", "text_hash", "node", "n"), node_components(rows, docs, size, percent), "node", "part").drop("node")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: id_col, n_shingles (size of its set), component_id (the smallest id reachable by links, its
-    own included) and text_hash. Sets link when 100 * |intersection| >= percent * |union|.
+    """One row per input row: id_col, n_shingles (size of its set) and component_id (the smallest id reachable by links,
+    its own included). Sets link when 100 * |intersection| >= percent * |union|.
 
     Defined cases: a null or empty text, or one of white space, has an empty set and links with nothing; with fewer
     words than a shingle the whole sequence is one; repeated rows and equal texts share a component; a component whose
     ids are all null has a null component_id; an empty table gives an empty table; other columns are ignored. Whole
     texts are compared.
     """
-    docs = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = materialize(sets(docs, size, percent), "ngram-sets")
-    parts = node_components(rows, docs, size, percent)
-    placed = _with_part(rows.select("__id", "text_hash", "node", "n"), parts, "node", "part")
+    placed = _placed(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), size, percent)
     least = placed.where("part is not null").groupBy("part").agg(F.min("__id").alias("__least"))
-    out = placed.join(least, "part", "left")
-    return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("__id")).otherwise(F.col("__least")).alias("component_id"), "text_hash")
+    component = F.when(F.col("part").isNull(), F.col("__id")).otherwise(F.col("__least"))
+    return placed.join(least, "part", "left").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without near duplicates: of each component the row of the smallest id (null ids last), of rows
-    alike in id and text one; rows with an empty set all stay. Columns are as they are."""
-    raise NotImplementedError
+    """The rows of `docs` without near duplicates: of each component the row of the smallest id (null ids last), and of
+    rows alike in id and text one. Rows without a word all stay. Columns are as they are."""
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)])
+    rows = rows.withColumns({"__id": F.col(f"__{names.index(id_col)}"), "__text": F.coalesce(F.col(f"__{names.index(text_col)}"), F.lit(""))})
+    alike = _placed(rows.select("__id", "__text"), size, percent).where("part is not null").groupBy("part", "__id", "text_hash").agg(F.count("*").alias("n"))
+    first = alike.groupBy("part").agg(F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "text_hash", "n")).alias("r")).select("r.__id", "r.text_hash", "r.n")
+    first = materialize(first, "ngram-first")
+    picked = (F.broadcast(first) if first.count() <= BROADCAST_ROWS else first).alias("p")
+    wordy = rows.where(F.col("__text").rlike(r"[^\x20\x09-\x0D]")).withColumn("text_hash", F.xxhash64("__text")).alias("d")
+    kept = wordy.join(picked, (F.col("d.text_hash") == F.col("p.text_hash")) & F.col("d.__id").eqNullSafe(F.col("p.__id"))).select("d.*", "p.n")
+    columns = [F.col(f"__{i}").alias(c) for i, c in enumerate(names)]
+    out = rows.where(~F.col("__text").rlike(r"[^\x20\x09-\x0D]")).select(*columns).unionAll(kept.where("n = 1").select(*columns))
+    return out.unionAll(kept.where("n > 1").dropDuplicates(["__id", "text_hash"]).select(*columns))

@@ -174,7 +174,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with their columns as they are."""
-    model = fit(votes(count(docs.select(F.col(text_col).alias("__text")), ["__text"], "__text").drop("__text")))
+    model = fit(votes(count(docs, [], text_col)))
     names = docs.columns
     numbered = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)])
     counted = votes(count(numbered, numbered.columns, f"__{names.index(text_col)}"))
