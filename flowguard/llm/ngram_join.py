@@ -14,8 +14,9 @@ sizes a and b that reach the similarity differ in at most d(a, b) shingles, so:
 * Bit sketches. A bit string gets one flip for each shingle; the Hamming distance of two sketches never exceeds the
   difference of the sets, so pairs beyond d(a, b) are dropped. What is left is verified on the texts.
 * Components of these links are found. Sets that share a segment value with others, but did not come into the component
-  of its pivot, are then paired with the sets around that pivot which are in other components, sketched and verified
-  likewise. So every linked pair was verified or lies within one component before.
+  of its pivot, are then compared with the sets around that pivot which are in other components: sketches of both in
+  blocks of bounded size, block against block, of which only pairs that may link come out and are verified likewise. So
+  every linked pair was verified or lies within one component before.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SAMPLE = 10_000
 MOST_FREQUENT = 500_000
 #: Rows of up to this number (24 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Sets to a block when those around a pivot are compared.
+BLOCK = 2048
 _SPAN = 4
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -157,8 +160,9 @@ def frequent_segments(docs: DataFrame, size: int, percent: int) -> tuple[np.ndar
 
 
 def sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """By row: __id, text_hash, node (null for an empty set), n, rare (segments that no one in the sample shares), bits,
-    and keys. A task gives the keys of a node once."""
+    """By row: __id, text_hash, node (null for an empty set), n, rank, bits, keys, and of_first, how many of these are
+    those of the first band. Keys are in the common order. The rank has the segments that no one in the sample shares
+    above 48 bits of the node. A task gives rank, bits and keys of a node once."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_segments(docs, size, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +172,12 @@ def sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         def row(text: str) -> tuple:
             h = shingle(text)
             if not len(h):
-                return None, 0, 0, b"", []
+                return None, 0, None, None, None, None
             node = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
             if len(seen) > 1_000_000:
                 seen.clear()
             if node in seen:
-                return node, len(h), 0, b"", []
+                return node, len(h), None, None, None, None
             seen.add(node)
             kept, rare = [], 0
             for i, (number, m, keep) in enumerate(cuts(len(h), percent)):
@@ -185,30 +189,33 @@ def sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 hot[count == 0] = 1 << 60
                 kept.append(key[np.lexsort((key, hot))[:keep]])
                 rare = int((hot == 0).sum()) if i == 0 else rare
-            return node, len(h), rare, sketch(h), np.concatenate(kept).view(np.int64) if kept else []
+            rank = min(rare, 32767) << 48 | node & (1 << 48) - 1
+            return node, len(h), rank, sketch(h), np.concatenate(kept).view(np.int64) if kept else [], len(kept[0]) if kept else 0
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                node, n, rare, bits, keys = zip(*(row(t.as_py() or "") for t in part.column(2)), strict=True)
+                node, n, rank, bits, keys, of_first = zip(*(row(t.as_py() or "") for t in part.column(2)), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["__id", "text_hash", "node", "n", "rare", "bits", "keys"],
+                    [part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(rank, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(of_first, pa.int32())],
+                    names=["__id", "text_hash", "node", "n", "rank", "bits", "keys", "of_first"],
                 )
 
     typed = docs.schema["__id"].dataType.simpleString()
-    return docs.select("__id", F.xxhash64("__text").alias("text_hash"), "__text").mapInArrow(run, f"__id {typed}, text_hash long, node long, n long, rare int, bits binary, keys array<bigint>")
+    return docs.select("__id", F.xxhash64("__text").alias("text_hash"), "__text").mapInArrow(run, f"__id {typed}, text_hash long, node long, n long, rank long, bits binary, keys array<bigint>, of_first int")
 
 
 # --- candidates, sketches, verification -----------------------------------------------------------------------------
 
 
-def around_pivots(rows: DataFrame) -> DataFrame:
-    """Distinct (pivot, node): the pivot of a segment value and another set that has the value."""
-    keys = rows.select(F.explode("keys").alias("key"), "rare", "node")
-    pivots = keys.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("p"), F.min("node").alias("a"), F.max("node").alias("b"))
-    pivots = pivots.where("a < b").select("key", F.col("p.node").alias("pivot"))
-    return keys.select("key", "node").join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct()
+def around_pivots(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (pivot, node, place): the pivot of a segment value, another set that has the value, and the first place
+    in that set's order where it has a value of this pivot."""
+    keys = rows.select("node", "rank", "of_first", F.posexplode("keys").alias("place", "key"))
+    keys = keys.withColumn("place", F.when(F.col("place") < F.col("of_first"), F.col("place")).otherwise(F.col("place") - F.col("of_first")))
+    pivots = keys.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
+    found = keys.select("key", "node", "rank", "place").join(pivots, "key").where("rank <> first").groupBy("first", "node").agg(F.min("place").alias("place"))
+    return found.join(nodes.select(F.col("rank").alias("first"), F.col("node").alias("pivot")), "first").select("pivot", "node", "place")
 
 
 def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -227,6 +234,56 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, distance long")
 
 
+def _blocks(members: DataFrame, name: str) -> DataFrame:
+    """Rows around each pivot dealt into blocks of about BLOCK: (pivot, name)."""
+    dealt = members.join(members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "pivot")
+    one = F.struct("node", "part", "home", "place", "n", "bits")
+    return dealt.groupBy("pivot", F.pmod(F.xxhash64("node"), "blocks").alias("block")).agg(F.collect_list(one).alias(name)).drop("block")
+
+
+def near_around(around: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of sets around the same pivot the pairs (a, b) in different components that sizes, places and sketches don't rule
+    out. One of each pair is in another component than the pivot."""
+    members = around.withColumn("home", F.col("part") == F.col("pivot_part")).join(nodes.select("node", "n", "bits"), "node")
+    members = members.join(around.where("part <> pivot_part").select("pivot").distinct(), "pivot", "left_semi")
+    pairs = _blocks(members.where("not home"), "xs").join(_blocks(members, "ys"), "pivot").select("xs", "ys")
+
+    def columns(block: pa.Array) -> tuple[dict[str, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The columns of a block, and by length of the sketches: their rows, and the sketches as words."""
+        of = {f.name: block.field(f.name).to_numpy(zero_copy_only=False) for f in block.type}
+        lengths = np.array([len(x) for x in of["bits"]])
+        return of, {int(k): (np.flatnonzero(lengths == k), np.frombuffer(b"".join(of["bits"][lengths == k]), np.uint64).reshape(-1, k // 8)) for k in np.unique(lengths)}
+
+    def fold(words: np.ndarray, length: int) -> np.ndarray:
+        while words.shape[1] * 8 > length:
+            half = words.shape[1] // 2
+            words = words[:, :half] ^ words[:, half:]
+        return words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (x, x_bits), (y, y_bits) = (columns(batch.column(c)[i].values) for c in (0, 1))
+                a, b = [], []
+                for x_len, (x_at, x_words) in x_bits.items():
+                    for y_len, (y_at, y_words) in y_bits.items():
+                        if max(x_len, y_len) > 2 * min(x_len, y_len) and percent >= 50:
+                            continue  # sizes too far apart
+                        x_fold, y_fold = fold(x_words, min(x_len, y_len)), fold(y_words, min(x_len, y_len))
+                        for k, words in zip(x_at, x_fold, strict=True):
+                            sums = (100 - percent) * (x["n"][k] + y["n"][y_at])
+                            able = (y["part"][y_at] != x["part"][k]) & (y["home"][y_at] | (y["node"][y_at] > x["node"][k]))
+                            able &= np.maximum(x["place"][k], y["place"][y_at]) * (100 + percent) <= sums
+                            able &= 100 * np.minimum(x["n"][k], y["n"][y_at]) >= percent * np.maximum(x["n"][k], y["n"][y_at])
+                            rows = np.flatnonzero(able)
+                            close = np.bitwise_count(y_fold[rows] ^ words).sum(axis=1, dtype=np.int64) * (100 + percent) <= sums[rows]
+                            b.append(y["node"][y_at[rows[close]]])
+                            a.append(np.full(len(b[-1]), x["node"][k]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (a, b)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").select(*_ordered("a", "b")).distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -269,8 +326,8 @@ def _ordered(a: Column | str, b: Column | str) -> tuple[Column, Column]:
 
 def node_components(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) for every node that is linked to another."""
-    nodes = rows.where("size(keys) > 0").select("node", "n", "bits").dropDuplicates(["node"])
-    groups = materialize(around_pivots(rows), "ngram-pivots")
+    nodes = materialize(rows.where("size(keys) > 0").select("node", "rank", "n", "bits").dropDuplicates(["node"]), "ngram-nodes")
+    groups = materialize(around_pivots(rows, nodes), "ngram-pivots")
     close = materialize(near(groups.select(F.col("pivot").alias("a"), F.col("node").alias("b")), nodes, percent), "ngram-close")
     # first the pivot that each set is closest to
     first = close.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("m")).select(*_ordered("m.a", "b")).distinct()
@@ -278,12 +335,9 @@ def node_components(rows: DataFrame, docs: DataFrame, size: int, percent: int) -
     parts = connected_components(links)
     # then what is still in another component: other pivots, and the sets around a pivot among themselves
     around = materialize(_with_part(_with_part(groups, parts, "pivot", "pivot_part"), parts, "node", "part"), "ngram-parts")
-    apart = around.where("part <> pivot_part").select("pivot", F.col("node").alias("x"), F.col("part").alias("x_part"))
-    others = around.select("pivot", F.col("node").alias("y"), F.col("part").alias("y_part"), (F.col("part") == F.col("pivot_part")).alias("home"))
-    crossed = apart.join(others, "pivot").where("x_part <> y_part and (home or x < y)").select(*_ordered("x", "y"))
-    again = _with_part(_with_part(close, parts, "a", "a_part"), parts, "b", "b_part").where("a_part <> b_part").select(*_ordered("a", "b"))
-    close_again = near(crossed.unionAll(again).distinct(), nodes, percent).select("a", "b")
-    second = materialize(close_again.join(first, ["a", "b"], "left_anti"), "ngram-second")
+    again = _with_part(_with_part(close.select("a", "b"), parts, "a", "a_part"), parts, "b", "b_part").where("a_part <> b_part").select(*_ordered("a", "b"))
+    second = near_around(around, nodes, percent).unionAll(again).distinct().join(first, ["a", "b"], "left_anti")
+    second = materialize(second, "ngram-second")
     more = materialize(verified(second, rows, docs, size, percent), "ngram-links")
     return parts if more.isEmpty() else connected_components(links.unionAll(more))
 
