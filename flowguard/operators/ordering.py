@@ -8,10 +8,9 @@ from a seeded sample and are compiled into the plan as literals, so a hot
 key spans many buckets and the placement is a pure function of the row
 (every consumer and every retried task sees the same buckets). Rows are
 ranked (or summed) inside their bucket with an ordinary window, and offsets
-from earlier buckets come from per-bucket count tables: one row per bucket,
-or per (bucket, key) where only the bucket's first key can carry rows from
-earlier buckets — at most one carry row per bucket, broadcast with that
-bound.
+from earlier buckets come from per-bucket count tables: one row per bucket
+(broadcast with that bound), or one row per (bucket, key), joined on both, so
+a hot key stays spread over its buckets.
 """
 
 from __future__ import annotations
@@ -47,8 +46,8 @@ def _bucket_expr(row: Column, bounds: list[Column]) -> Column:
 
 def range_buckets(df: DataFrame, sort_cols: Sequence[str], n_buckets: int, out: str = "_bkt") -> DataFrame:
     """Add a range bucket that is a deterministic function of the row: bounds
-    are taken from a seeded sample once (at most ``n_buckets`` rows reach the
-    driver) and compiled into the plan as literals, so every evaluation of
+    are taken from a seeded sample once (about ``SAMPLE_PER_BUCKET`` rows for
+    each bucket reach the driver, whatever the rows of ``df``) and compiled into the plan as literals, so every evaluation of
     the frame — any consumer, any retried task — places a row identically
     (unlike a sampled range exchange, whose sample seed follows the RDD id)."""
     cols = list(sort_cols)
@@ -85,11 +84,10 @@ def positions(
 
     Rows are cut into range buckets over (keys, order) — a hot key spans many
     buckets — and ranked inside their bucket (a window per bucket, whose size
-    the bounds keep near rows/buckets). Offsets from earlier buckets come
-    from a per-bucket count table (one row per bucket, broadcast with that
-    bound); with keys only the first key of a bucket can have rows in earlier
-    buckets, so the carry table is bounded the same way. No Python, no
-    materialisation: every consumer recomputes the same placement."""
+    the bounds keep near rows/buckets). Offsets from earlier buckets, and the
+    totals of groups, come from a per-bucket count table: one row per bucket,
+    broadcast with that bound, or with keys one row per (bucket, key). No
+    Python, no materialisation: every consumer recomputes the same placement."""
     keys = list(partition_by)
     order = list(order_by)
     n_part = _num_partitions(df, num_partitions)
@@ -110,18 +108,17 @@ def positions(
             res = res.withColumn(count_out, F.col("__total"))
         return res.drop("_bkt", "_lrank", "_off", "__total")
     wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (bucket, key): joined on both, as the rows are already dealt
+    # for the rank window, so a hot key stays spread over its buckets
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wk), F.lit(0)))
-    # only the first key of a bucket can continue from earlier buckets: at
-    # most one row per bucket, so the broadcast is bounded by the bucket count
-    carry = offsets.filter(F.col("_off") > 0).select("_bkt", *keys, "_off")
-    res = x.join(F.broadcast(carry), on=["_bkt", *keys], how="left")
-    res = res.withColumn(out, F.col("_lrank") + F.coalesce(F.col("_off"), F.lit(0)))
     if count_out:
-        # one row per group: broadcast by the planner when small, otherwise a
-        # sort-merge join whose skewed partitions AQE splits
-        totals = counts.groupBy(*keys).agg(F.sum("_n").alias(count_out))
-        res = res.join(totals, on=keys, how="left")
-    return res.drop("_bkt", "_lrank", "_off")
+        offsets = offsets.withColumn(count_out, F.sum("_n").over(Window.partitionBy(*keys)))
+    here = F.col("_o._bkt") == F.col("_x._bkt")
+    for k in keys:
+        here = here & F.col(f"_o.{k}").eqNullSafe(F.col(f"_x.{k}"))
+    res = x.alias("_x").join(offsets.alias("_o"), here)
+    cols = [F.col(f"_x.{c}") for c in df.columns] + [(F.col("_x._lrank") + F.col("_o._off")).alias(out)]
+    return res.select(*cols, *([F.col(f"_o.{count_out}")] if count_out else []))
 
 
 def running_sums(

@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 from .ordering import positions
 
 CHUNK = 100  # aggregate expressions per agg() (codegen method size)
-# Below this many rows the built-in exact ``percentile`` aggregate (whose final
-# merge holds one column's distinct values in one task) is cheaper than the
-# distributed sort; above it the sort-based method is used.
-AGG_MAX_ROWS = 5_000_000
 
 
 def unpivot_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "feature",
@@ -33,24 +29,14 @@ def unpivot_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], long: DataFrame | None = None,
-              feature: str = "feature", value: str = "value", method: str = "auto") -> DataFrame:
+              feature: str = "feature", value: str = "value") -> DataFrame:
     """One row per column: ``feature``, ``n`` (non-null count) and one
     column ``q_<i>`` per probability (NULL when the column has no values).
-    NULLs (and NaN) are ignored. ``method``: "sort" (distributed, any size),
-    "agg" (built-in percentile, small inputs) or "auto" (by row count)."""
+    NULLs (and NaN) are ignored. One path for inputs of any size."""
     probs = [float(p) for p in probs]
-    if method == "auto":
-        method = "agg" if df.limit(AGG_MAX_ROWS + 1).count() <= AGG_MAX_ROWS else "sort"
     if long is None:
         long = unpivot_long(df, columns, name=feature, value=value)
     long = long.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    if method == "agg":
-        g = long.groupBy(feature).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_qs"),
-        )
-        res = g.select(feature, "n", *[F.col("_qs")[i].alias(f"q_{i}") for i in range(len(probs))])
-        return _all_features(df, columns, res, feature, len(probs))
     pos = positions(long.select(feature, value), order_by=[value], partition_by=[feature], out="_pos", count_out="n")
     # ranks needed per probability: floor and ceil of (n-1)*p
     need = []

@@ -21,6 +21,7 @@ from . import clean, features
 from .stats import quantiles
 
 MISSING = "missing"  # fixed value: fill for categorical NULLs
+MAX_CATEGORIES = 2_000  # one-hot columns of one categorical column; more is an error, nothing is cut
 _TINY_SCALE = 10 * 2.220446049250313e-16
 
 
@@ -51,7 +52,7 @@ class Params:
         return json.dumps(self.__dict__)
 
 
-def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], quantile_method: str = "auto",
+def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
         means: dict[str, float | None] | None = None) -> Params:
     """``means`` (non-null means of the numeric columns) skips their pass
     when the caller already has them."""
@@ -64,7 +65,7 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], qu
             p.mean = {c: row[f"m{i}"] for i, c in enumerate(p.numeric)}
         # quantiles of the imputed values (the scaler is fitted after imputation)
         imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(p.mean[c])).alias(c) for c in p.numeric])
-        q = {r["feature"]: r for r in quantiles(imputed, p.numeric, [0.25, 0.5, 0.75], method=quantile_method).collect()}
+        q = {r["feature"]: r for r in quantiles(imputed, p.numeric, [0.25, 0.5, 0.75]).collect()}
         for c in p.numeric:
             r = q[c]
             med = r["q_1"]
@@ -76,8 +77,12 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], qu
             [], p.categorical, "feature", "value"
         )
         cats: dict[str, list[str]] = {c: [] for c in p.categorical}
-        # distinct categories: as many rows as one-hot output columns
-        for r in long.distinct().collect():
+        # distinct categories: as many rows as one-hot output columns, which is
+        # checked before they reach the driver
+        found = long.distinct()
+        for r in found.groupBy("feature").count().filter(F.col("count") > MAX_CATEGORIES).collect():
+            raise ValueError(f"{r['feature']} has {r['count']} categories; one-hot encoding takes at most {MAX_CATEGORIES}: drop or bin it")
+        for r in found.collect():
             cats[r["feature"]].append(r["value"])
         p.categories = {c: sorted(v) for c, v in cats.items()}
     return p
@@ -147,7 +152,7 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
                     label_cols: Sequence[str] = ("class1", "class2", "class3"), split_col: str = "split",
                     key: str = "sample_id", extra_identifiers: Sequence[str] = ("sample_id", "ts"),
                     relevance: float = features.RELEVANCE_MIN, redundancy: float = features.REDUNDANCY_MAX,
-                    quantile_method: str = "auto", carry: Sequence[str] = ("ts",),
+                    carry: Sequence[str] = ("ts",),
                     materialize: bool = True) -> tuple[Preparation, DataFrame]:
     """Returns the decisions and the typed frame (all splits, key + labels +
     split + carried identifiers such as the event time + candidate features)."""
@@ -192,12 +197,7 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
     kept = [c for c in cand if c not in set(dropped_zero) | set(dropped_low) | set(dropped_red)]
     cat = [c for c in kept if dtypes[c] == "string"]
     num_final = [c for c in kept if c in num3]
-    if quantile_method == "auto" and profile:
-        n_train = max(int(r["n"]) for r in profile)
-        from .stats import AGG_MAX_ROWS
-
-        quantile_method = "agg" if n_train <= AGG_MAX_ROWS else "sort"
-    params = fit(train, num_final, cat, quantile_method=quantile_method, means=means)
+    params = fit(train, num_final, cat, means=means)
     prep = Preparation(plan, ids, cand, dropped_zero, dropped_low, dropped_red, num_final, cat, params,
                        {"types": plan.table, "variance": zv, "relevance": tc, "pairs": pc, "redundancy": rd})
     return prep, typed_df

@@ -70,21 +70,20 @@ def test_blocked_trailing_window_equals_global_window(spark):
     assert j.filter((F.abs(F.col("m") - F.col("rm")) > 1e-12) | (F.col("n") != F.col("rn"))).count() == 0
 
 
-def test_quantiles_sort_and_agg_equal_numpy(spark):
+def test_quantiles_equal_numpy(spark):
     vals = [float(x) for x in np.random.default_rng(3).normal(size=777)] + [None, float("nan")]
     df = spark.createDataFrame([(v, 1.0) for v in vals], "a double, b double")
     probs = [0.01, 0.25, 0.5, 0.75, 0.99]
     clean_vals = np.array([v for v in vals if v is not None and not math.isnan(v)])
-    for method in ("sort", "agg"):
-        q = {r["feature"]: r for r in stats.quantiles(df, ["a", "b"], probs, method=method).collect()}
-        for i, p in enumerate(probs):
-            assert q["a"][f"q_{i}"] == pytest.approx(float(np.quantile(clean_vals, p)), rel=1e-12)
-        assert q["b"]["q_2"] == 1.0
+    q = {r["feature"]: r for r in stats.quantiles(df, ["a", "b"], probs).collect()}
+    for i, p in enumerate(probs):
+        assert q["a"][f"q_{i}"] == pytest.approx(float(np.quantile(clean_vals, p)), rel=1e-12)
+    assert q["b"]["q_2"] == 1.0
 
 
 def test_quantiles_all_null_column(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
-    q = {r["feature"]: r for r in stats.quantiles(df, ["a", "b"], [0.5], method="sort").collect()}
+    q = {r["feature"]: r for r in stats.quantiles(df, ["a", "b"], [0.5]).collect()}
     assert q["a"]["n"] == 0 and q["a"]["q_0"] is None
     assert q["b"]["q_0"] == 1.5
 
