@@ -64,9 +64,9 @@ def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - 17)
 
 
-def bucket(a: int, b: int, c: int) -> int:
-    """The bucket of one trigram of code points (0: the mark in front of a word, or behind it)."""
-    return int(_hash(*(np.array([x], np.uint32) for x in (a, b, c)))[0])
+def buckets(a: int, b: int, c: np.ndarray) -> np.ndarray:
+    """The buckets of trigrams of code points that end in each of `c` (0: the mark in front of a word, or behind it)."""
+    return _hash(np.full(len(c), a, np.uint32), np.full(len(c), b, np.uint32), c)
 
 
 @dataclass(frozen=True)

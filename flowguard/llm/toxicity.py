@@ -39,7 +39,6 @@ _ANY = rf"(?:{_LETTER}|[{_SIGNS}])"
 WORDS = re.compile(rf"{_LETTER}+")
 #: A sign before a letter: signs that only follow a word are punctuation.
 _SIGN = re.compile(rf"[{_SIGNS}](?={_LETTER})")
-_RUN = re.compile(r"(.)\1\1")
 #: Three or more single letters or signs, each set apart by a space, or pieces of up to three set apart by other marks;
 #: each with a quicker test that comes first.
 _SPACED = re.compile(rf"(?<!\S){_ANY}(?: {_ANY}){{2,}}(?!\S)")
@@ -51,7 +50,7 @@ _LETTERS_OF_MODEL = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôö
 #: Labelled rows and features of the fit at most.
 MOST_LABELS = 200_000
 MOST_FEATURES = 20_000
-#: Words, or features, that a task keeps at most.
+#: Decoded stretches that a task keeps at most, and half the features.
 _KEPT = 100_000
 
 
@@ -79,18 +78,17 @@ def character_counts(docs: DataFrame, text_col: str) -> np.ndarray:
 class CharacterModel:
     """log P(letter or word end | two before it), from hashed counts."""
 
+    _NEXT = np.array([0, *map(ord, _LETTERS_OF_MODEL)], np.uint32)
+
     def __init__(self, counts: np.ndarray, smooth: float = 0.2):
         self.counts, self.smooth, self.known = counts, smooth, {}
 
-    def _n(self, a: str, b: str, c: str) -> float:
-        return float(self.counts[language_id.bucket(ord(a) if a else 0, ord(b) if b else 0, ord(c) if c else 0)])
-
     def log_p(self, a: str, b: str, c: str) -> float:
         """`""` is the mark in front of a word, and its end."""
         if (a, b) not in self.known:
-            n = {x: self._n(a, b, x) for x in ["", *_LETTERS_OF_MODEL]}
-            total = sum(n.values()) + self.smooth * len(n)
-            self.known[a, b] = {x: math.log((v + self.smooth) / total) for x, v in n.items()}, math.log(self.smooth / total)
+            n = self.counts[language_id.buckets(ord(a) if a else 0, ord(b) if b else 0, self._NEXT)] + self.smooth
+            table = dict(zip(["", *_LETTERS_OF_MODEL], np.log(n / n.sum()).tolist(), strict=True))
+            self.known[a, b] = table, math.log(self.smooth / n.sum())
         table, unknown = self.known[a, b]
         return table.get(c, unknown)
 
@@ -137,15 +135,25 @@ def decode(stretch: str, model: CharacterModel) -> list[str]:
     return "".join(reversed(letters)).split()
 
 
+def _runs(text: str) -> list[int]:
+    """Where a letter stands for the first time of three or more in a row."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < 3:
+        return []
+    same = points[1:] == points[:-1]
+    at = np.flatnonzero(same[1:] & same[:-1])
+    return [i for i in at.tolist() if text[i].isalpha() and not (i and text[i - 1] == text[i])] if at.size else []
+
+
 class Restorer:
-    """Words of whole texts, disguised ones restored. Decoded stretches and plain words are kept between texts."""
+    """Words of whole texts, disguised ones restored. Decoded stretches are kept between texts."""
 
     def __init__(self, model: CharacterModel):
-        self.model, self.known, self.plain = model, {}, set()
+        self.model, self.known = model, {}
 
     def decode(self, stretch: str) -> list[str]:
         if stretch not in self.known:
-            if len(self.known) > _KEPT // 4:
+            if len(self.known) > _KEPT:
                 self.known.clear()
             self.known[stretch] = decode(stretch, self.model)
         return self.known[stretch]
@@ -154,13 +162,13 @@ class Restorer:
         """Plain words in lower case, and those that the suspicious stretches hide."""
         low = text.lower()
         words = set(WORDS.findall(low))
-        if new := words - self.plain:
-            if len(self.plain) > _KEPT:
-                self.plain.clear()
-            runs = {w for w in new if _RUN.search(w)}
-            self.plain |= new - runs
-            for w in runs:
-                words.update(self.decode(w))
+        for at in _runs(low):
+            start, end = at, at + 3
+            while start and low[start - 1].isalpha():
+                start -= 1
+            while end < len(low) and low[end].isalpha():
+                end += 1
+            words.update(self.decode(low[start:end]))
         end = 0
         for m in _SIGN.finditer(low):
             if m.start() >= end:
@@ -177,8 +185,23 @@ class Restorer:
         return words
 
 
-def features(word: str) -> list[str]:
-    return ["=" + word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)] if len(word) > 2 else []
+def features(words: set[str]) -> set[str]:
+    """Words of three letters or more, and the first four, five and six letters of longer ones."""
+    out = {"=" + w for w in words if len(w) > 2}
+    for n in (4, 5, 6):
+        out |= {"^" + w[:n] for w in words if len(w) > n}
+    return out
+
+
+class Picker:
+    """The features of a text that are wanted. Only words that begin like one of these are looked at closely."""
+
+    def __init__(self, wanted):
+        self.wanted, self.starts = wanted, {f[1:5] for f in wanted}
+
+    def __call__(self, words: set[str]) -> list[str]:
+        likely = {w[:4] for w in words} & self.starts
+        return sorted(features({w for w in words if w[:4] in likely}).intersection(self.wanted)) if likely else []
 
 
 # --- learning and scoring -------------------------------------------------------------------------------------------
@@ -190,16 +213,8 @@ class Model:
     weights: dict[str, float]
     intercept: float
 
-    def score(self, words: set[str], parts: dict[str, tuple[str, ...]]) -> float:
-        """`parts` keeps the weighted features of words between texts."""
-        seen = set()
-        for w in words:
-            if (own := parts.get(w)) is None:
-                if len(parts) > _KEPT:
-                    parts.clear()
-                own = parts[w] = tuple(f for f in features(w) if f in self.weights)
-            seen.update(own)
-        z = self.intercept + math.fsum(sorted(self.weights[f] for f in seen))
+    def score(self, found: list[str]) -> float:
+        z = self.intercept + math.fsum(self.weights[f] for f in found)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
@@ -222,18 +237,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not 0 < share < 1:
         return Model(counts, {}, start)
 
-    def rows_of(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) -> Iterator[tuple[int, set[str]]]:
-        """Label and features of each labelled row."""
-        ys, restorer, parts = given.value[0], Restorer(CharacterModel(given.value[1])), {}
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, set[str]]]:
+        """Label and words of each labelled row."""
+        ys, restorer = given.value[0], Restorer(CharacterModel(given.value[1]))
         for batch in batches:
             for i, id_ in enumerate(batch.column(0).to_pylist()):
                 if id_ in ys:
-                    words = restorer.words(batch.column(1)[i].as_py() or "")
-                    if len(parts) > _KEPT:
-                        parts.clear()
-                    for w in words - parts.keys():
-                        parts[w] = tuple(f for f in features(w) if wanted is None or f in wanted)
-                    yield ys[id_], set().union(*map(parts.__getitem__, words))
+                    yield ys[id_], restorer.words(batch.column(1)[i].as_py() or "")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on, off = Counter(), Counter()
@@ -245,9 +255,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             off.clear()
             return out
 
-        for y, found in rows_of(batches, None):
-            (on if y else off).update(found)
-            if len(on) + len(off) > _KEPT:
+        for y, words in rows_of(batches):
+            (on if y else off).update(features(words))
+            if len(on) + len(off) > 2 * _KEPT:
                 yield flush()
         yield flush()
 
@@ -261,9 +271,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = sc.broadcast(frozenset(vocabulary))
 
     def chosen_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = rows_of(batches, chosen.value)
+        pick = Picker(chosen.value)
+        rows = ((float(y), pick(words)) for y, words in rows_of(batches))
         while some := list(islice(rows, 1000)):
-            yield pa.RecordBatch.from_arrays([pa.array([float(y) for y, _ in some], pa.float64()), pa.array([sorted(x) for _, x in some], pa.list_(pa.string()))], names=["label", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in some], pa.float64()), pa.array([x for _, x in some], pa.list_(pa.string()))], names=["label", "found"])
 
     rows = materialize(texts.mapInArrow(chosen_rows, "label double, found array<string>"), "toxicity-rows")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="found", outputCol="features", binary=True).transform(rows)
@@ -282,10 +293,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, parts = sent.value, {}
-        restorer = Restorer(CharacterModel(m.counts))
+        m = sent.value
+        restorer, pick = Restorer(CharacterModel(m.counts)), Picker(m.weights.keys())
         for batch in batches:
-            scores = [m.score(restorer.words(t.as_py() or ""), parts) for t in batch.column(1)]
+            scores = [m.score(pick(restorer.words(t.as_py() or ""))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     typed = docs.schema[id_col].dataType.simpleString()
