@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_div
+from .joins import small
 from .ordering import running_sums
 
 # Review-cost assumptions (minutes per alert, cost per hour).
@@ -29,10 +30,9 @@ def taxonomy(labels: DataFrame, type_col: str = "class1", cat_col: str = "class2
 
 def derive_hierarchy(preds: DataFrame, tax: DataFrame, pred_type: str = "pred_type") -> DataFrame:
     """Map predicted types to category and binary label (left join on type;
-    the taxonomy has one row per label and is broadcast by the planner when
-    it is small)."""
+    the taxonomy has one row per label)."""
     t = tax.select(F.col("class1").alias("_t"), F.col("class2").alias("pred_cat"), F.col("class3").alias("pred_bin"))
-    return preds.join(t, preds[pred_type] == t["_t"], "left").drop("_t")
+    return preds.join(small(t), F.col(pred_type) == F.col("_t"), "left").drop("_t")
 
 
 def class_inventory(labels: DataFrame, train: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def roc_points(df: DataFrame, by: Sequence[str], y_true: str, score: str, positi
     keys = list(by) or ["_k"]
     if not by:  # one group: attach its totals by a constant key (equi-join)
         run, tot = run.withColumn("_k", F.lit(1)), tot.withColumn("_k", F.lit(1))
-    x = run.join(tot, keys)
+    x = run.join(small(tot), keys)
     return x.select(*by, F.col(score).alias("threshold"), safe_div(F.col("cum_neg"), F.col("_N")).alias("fpr"),
                     safe_div(F.col("cum_pos"), F.col("_P")).alias("tpr"))
 

@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
 from .sampling import cumulative_cut
 
 SEED = 42
@@ -68,7 +69,7 @@ def with_weights(train: DataFrame, label: str) -> DataFrame:
     g = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     g = g.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias("weight"))
-    return train.join(g, label)
+    return train.join(small(g), label)
 
 
 def fit(name: str, train: DataFrame, features: Sequence[str], label: str = "class1"):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .drift import REASON_SAMPLE, REASON_WINDOW
+from .joins import small
 
 DEFAULT_REASON = "sample_out_of_profile"
 RETRAIN_MIN_LABELS = 50
@@ -68,7 +69,7 @@ def apply_labels(subs: DataFrame, queue: DataFrame, validated: DataFrame, classe
     unknown_label (400), approved."""
     q = queue.select("sample_id").distinct().withColumn("_in_q", F.lit(True))
     v = validated.select("sample_id").filter(F.col("sample_id").isNotNull()).distinct().withColumn("_in_v", F.lit(True))
-    c = classes.select(F.col("label").alias("_lbl")).distinct().withColumn("_ok", F.lit(True))
+    c = small(classes.select(F.col("label").alias("_lbl")).distinct().withColumn("_ok", F.lit(True)))
     s = subs.withColumn("_lbl", F.lower(F.trim("validated_label")))
     # first submission per id wins: an aggregate (partial per task, so an id
     # submitted very often is not one task) joined back on (id, seq)

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
 from .ordering import positions
 
 
@@ -56,7 +57,7 @@ def stratified_sample(df: DataFrame, key: str, strata: str, n: int, seed: str |
     stratum in hash order. The quota table has one row per stratum."""
     q = stratum_quotas(df, strata, n)
     x = positions(df.withColumn("_h", hash_order(key, seed)), order_by=["_h", key], partition_by=[strata], out="_p")
-    return x.join(q.select(strata, "quota"), strata).filter(F.col("_p") < F.col("quota")).drop("_h", "_p", "quota")
+    return x.join(small(q.select(strata, "quota")), strata).filter(F.col("_p") < F.col("quota")).drop("_h", "_p", "quota")
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: str | int = 42) -> DataFrame:

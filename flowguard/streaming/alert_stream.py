@@ -1,11 +1,13 @@
 """Streaming operational alerts (L9) and request rate (O4 on a stream).
 
-* ``alert_stream``: per source, a ring buffer of the last N (status,
-  duration) pairs in ``applyInPandasWithState``; each request emits the
-  window size, error count, rate, nearest-rank p95 and both alert flags —
-  the same rules as ``operators.alerts.request_windows``.
-* ``rate_stream``: requests per minute per endpoint with an event-time
-  watermark (late rows beyond it are dropped by design).
+* ``alert_stream``: per source, the last N (status, duration) pairs and the
+  last send of each alert in ``applyInPandasWithState``; each request gives
+  the window size, error count, rate, nearest-rank p95 and both alert flags —
+  the same rules as ``operators.alerts.request_windows`` — and whether a
+  firing alert is sent, by the cooldown since its last send.
+* ``rate_stream``: requests per minute per endpoint. Counts of a window are
+  written as they grow (update mode, one file set for each micro-batch) and
+  the newest one is read, so no request is late and no window stays open.
 """
 
 from __future__ import annotations
@@ -23,59 +25,92 @@ from ..session import scratch_path
 from .sources import read_batches, write_batches
 
 OUT = ("seq long, source_id long, window_n long, errors long, error_rate double, p95_latency double, "
-       "error_rate_alert boolean, latency_alert boolean")
-STATE = "statuses array<int>, durations array<double>"
+       "error_rate_alert boolean, latency_alert boolean, error_rate_sent boolean, latency_sent boolean")
+STATE = "statuses array<int>, durations array<double>, error_rate_last long, latency_last long"
 
 
-def _p95(durs: list[float]) -> float:
-    s = sorted(durs)
-    return float(s[int(np.round((len(s) - 1) * 0.95))])  # numpy rounds half to even, like Python's round
+def trailing_p95(durations: np.ndarray, first: int, size: int) -> np.ndarray:
+    """Nearest-rank p95 of the last ``size`` values at each position from
+    ``first`` on; numpy rounds half to even, like the batch rule."""
+    out = np.empty(len(durations) - first)
+    short = max(0, min(size - 1, len(durations)) - first)
+    for i in range(short):
+        s = np.sort(durations[: first + i + 1])
+        out[i] = s[int(np.round((len(s) - 1) * 0.95))]
+    if first + short < len(durations):
+        full = np.sort(np.lib.stride_tricks.sliding_window_view(durations, size)[first + short - size + 1 :], axis=1)
+        out[short:] = full[:, int(np.round((size - 1) * 0.95))]
+    return out
 
 
-def _windows(size: int, minimum: int, err_thr: float, p95_thr: float):
+def cooled(fires: np.ndarray, seconds: np.ndarray, last: int | None, cooldown: int) -> tuple[np.ndarray, int | None]:
+    """Which firing requests are sent: the first one, then the first at least
+    ``cooldown`` seconds after the one sent before."""
+    sent = np.zeros(len(fires), bool)
+    for i in np.flatnonzero(fires):
+        if last is None or seconds[i] - last >= cooldown:
+            sent[i], last = True, int(seconds[i])
+    return sent, last
+
+
+def _windows(size: int, minimum: int, err_thr: float, p95_thr: float, cooldown: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        st, du = ([], [])
-        if state.exists:
-            st, du = list(state.get[0]), list(state.get[1])
-        rows = []
-        for pdf in pdfs:
-            for seq, status, dur in pdf.sort_values("seq")[["seq", "http_status", "duration"]].itertuples(index=False):
-                st.append(int(status))
-                du.append(float(dur))
-                if len(st) > size:
-                    st.pop(0)
-                    du.pop(0)
-                n = len(st)
-                errs = sum(1 for s in st if s >= 400)
-                rate = errs / n
-                ev = n >= minimum
-                p95 = _p95(du) if ev else None
-                rows.append((int(seq), int(key[0]), n, errs, rate, p95, ev and rate >= err_thr, bool(ev and p95 >= p95_thr)))
-        state.update((st, du))
-        yield pd.DataFrame(rows, columns=["seq", "source_id", "window_n", "errors", "error_rate", "p95_latency", "error_rate_alert", "latency_alert"])
+        statuses, durations, last_err, last_p95 = state.get if state.exists else ([], [], None, None)
+        # the rows of a micro-batch come in chunks of any order
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        st = np.concatenate([np.asarray(statuses, np.int64), rows["http_status"].to_numpy(np.int64)])
+        du = np.concatenate([np.asarray(durations, float), rows["duration"].to_numpy(float)])
+        old = len(statuses)
+        upto = np.arange(old, len(st)) + 1
+        total = np.concatenate([[0], np.cumsum(st >= 400)])
+        n = np.minimum(upto, size)
+        errors = total[upto] - total[upto - n]
+        evaluated = n >= minimum
+        rate, p95 = errors / n, trailing_p95(du, old, size)
+        err_alert, p95_alert = evaluated & (rate >= err_thr), evaluated & (p95 >= p95_thr)
+        seconds = rows["second"].to_numpy(np.int64)
+        err_sent, last_err = cooled(err_alert, seconds, last_err, cooldown)
+        p95_sent, last_p95 = cooled(p95_alert, seconds, last_p95, cooldown)
+        keep = size - 1
+        state.update((st[-keep:].tolist(), du[-keep:].tolist(), last_err, last_p95))
+        yield pd.DataFrame({
+            "seq": rows["seq"].to_numpy(), "source_id": key[0], "window_n": n, "errors": errors, "error_rate": rate,
+            "p95_latency": pd.Series(p95).where(evaluated), "error_rate_alert": err_alert, "latency_alert": p95_alert,
+            "error_rate_sent": err_sent, "latency_sent": p95_sent,
+        })
 
     return fn
 
 
-def alert_stream(spark: SparkSession, requests: DataFrame) -> DataFrame:
+def alert_stream(spark: SparkSession, requests: DataFrame, cooldown: int = al.COOLDOWN_SECONDS) -> DataFrame:
     src, sink, ckpt = scratch_path(spark, "alert-src"), scratch_path(spark, "alert-sink"), scratch_path(spark, "alert-ckpt")
     schema = write_batches(requests, src)
     s = read_batches(spark, src, schema).filter(~F.col("endpoint").isin(*al.INTERNAL_ENDPOINTS))
-    out = s.select("seq", "source_id", "http_status", "duration").groupBy("source_id").applyInPandasWithState(
-        _windows(al.REQUEST_WINDOW, al.REQUEST_MIN_WINDOW, al.ERROR_RATE_THRESHOLD, al.LATENCY_P95_THRESHOLD),
+    s = s.select("seq", "source_id", "http_status", "duration", F.unix_seconds("ts").alias("second"))
+    out = s.groupBy("source_id").applyInPandasWithState(
+        _windows(al.REQUEST_WINDOW, al.REQUEST_MIN_WINDOW, al.ERROR_RATE_THRESHOLD, al.LATENCY_P95_THRESHOLD, cooldown),
         OUT, STATE, "append", GroupStateTimeout.NoTimeout)
     q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(OUT).parquet(sink)
 
 
-def rate_stream(spark: SparkSession, requests: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+RATE_SCHEMA = "window_start long, endpoint string, n long, rate_per_second double, batch long"
+
+
+def rate_stream(spark: SparkSession, requests: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
     src, sink, ckpt = scratch_path(spark, "rate-src"), scratch_path(spark, "rate-sink"), scratch_path(spark, "rate-ckpt")
     schema = write_batches(requests, src)
-    s = read_batches(spark, src, schema, max_files=1).filter(~F.col("endpoint").isin(*al.INTERNAL_ENDPOINTS))
-    g = (s.withWatermark("ts", watermark).groupBy(F.window("ts", "1 minute").alias("w"), "endpoint")
-         .agg(F.count(F.lit(1)).alias("n")))
+    s = read_batches(spark, src, schema, max_files=files_per_trigger).filter(~F.col("endpoint").isin(*al.INTERNAL_ENDPOINTS))
+    g = s.groupBy(F.window("ts", "1 minute").alias("w"), "endpoint").agg(F.count(F.lit(1)).alias("n"))
     out = g.select(F.unix_seconds(F.col("w.start")).alias("window_start"), "endpoint", "n", (F.col("n") / 60.0).alias("rate_per_second"))
-    q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a repeated batch writes the same rows again to the same folder
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{sink}/batch-{number}")
+
+    q = out.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("window_start long, endpoint string, n long, rate_per_second double").parquet(sink)
+    found = spark.read.schema(RATE_SCHEMA).option("recursiveFileLookup", "true").parquet(sink)
+    newest = found.groupBy("window_start", "endpoint").agg(F.max_by(F.struct("n", "rate_per_second"), "batch").alias("r"))
+    return newest.select("window_start", "endpoint", "r.n", "r.rate_per_second")

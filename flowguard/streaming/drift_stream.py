@@ -1,12 +1,14 @@
 """Streaming drift monitor (A7 + D11): a JSON file source of scored
-requests, the same compiled score expression as batch, and a per-source ring
-buffer of the last N scores in ``applyInPandasWithState``. State lives in the
+requests, the same compiled score expression as batch, and per source the
+last N scores in ``applyInPandasWithState``. A micro-batch is put in order
+before it is added, whatever the files and chunks its rows come from. State lives in the
 checkpointed state store, so a restart continues from it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,25 +23,16 @@ STATE_SCHEMA = "scores array<double>, total long"
 
 def _monitor(size: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        scores, total = ([], 0)
-        if state.exists:
-            scores, total = list(state.get[0]), int(state.get[1])
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "sample_id"])
-            sid, pos, roll, obs = [], [], [], []
-            for s, sc in zip(pdf["sample_id"], pdf["score"]):
-                scores.append(float(sc))
-                if len(scores) > size:
-                    scores.pop(0)
-                sid.append(s)
-                pos.append(total)
-                roll.append(sum(scores) / len(scores))
-                obs.append(len(scores))
-                total += 1
-            outs.append(pd.DataFrame({"service": key[0], "sample_id": sid, "pos": pos, "rolling_score": roll, "window_observations": obs}))
-        state.update((scores, total))
-        yield pd.concat(outs) if outs else pd.DataFrame(columns=["service", "sample_id", "pos", "rolling_score", "window_observations"])
+        scores, total = state.get if state.exists else ([], 0)
+        # the rows of a micro-batch come in chunks of any order
+        rows = pd.concat(list(pdfs)).sort_values(["ts", "sample_id"])
+        seen = np.concatenate([np.asarray(scores, float), rows["score"].to_numpy(float)])
+        upto = np.arange(len(scores), len(seen)) + 1
+        n = np.minimum(upto, size)
+        sums = np.concatenate([[0.0], np.cumsum(seen)])
+        state.update((seen[-(size - 1):].tolist(), int(total) + len(rows)))
+        yield pd.DataFrame({"service": key[0], "sample_id": rows["sample_id"].to_numpy(), "pos": int(total) + np.arange(len(rows)),
+                            "rolling_score": (sums[upto] - sums[upto - n]) / n, "window_observations": n})
 
     return fn
 
