@@ -358,7 +358,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     texts are compared.
     """
     placed = _placed(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), size, percent)
-    least = placed.where("part is not null").groupBy("part").agg(F.min("__id").alias("__least"))
+    # written, so that a component of many rows is split where it is joined
+    least = materialize(placed.where("part is not null").groupBy("part").agg(F.min("__id").alias("__least")), "ngram-least")
     component = F.when(F.col("part").isNull(), F.col("__id")).otherwise(F.col("__least"))
     return placed.join(least, "part", "left").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
