@@ -37,6 +37,10 @@ def typed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+_FLOW_STRINGS = ["sample_id", "class1", "class2", "class3", "split", "raw_metric", "raw_flag", "raw_proto", "service"]
+_FLOW_NUMBERS = NUMERIC_CANDIDATES[:-2]  # the raw columns are text
+
+
 @query("write_splits", group="A", oracle=with_views("select sample_id, split, class1, class2, class3 from flows", "flows"))
 def q_write_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     # flows() writes the labelled table partitioned by split and reads it back
@@ -60,17 +64,19 @@ def q_export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "read_flows_csv",
     group="A",
     oracle=with_views(
-        "select sample_id, raw_metric, raw_flag, raw_proto, service, round(quantity, 6) as quantity from flows", "flows"
+        "select " + ", ".join(_FLOW_STRINGS) + ", " + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in _FLOW_NUMBERS)
+        + ", epoch(ts)::bigint as ts from flows",
+        "flows",
     ),
 )
 def q_read_flows_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the raw columns as CSV (header) and read them back as all-string
+    """Write every column as CSV (header) and read them back as all-string
     columns with an explicit schema; a corrupt-record column catches bad lines."""
     from ..sources import io as fio
 
-    f = fixtures.flows(spark, sf_dir).select("sample_id", "raw_metric", "raw_flag", "raw_proto", "service", "quantity")
-    back = fio.roundtrip_csv(spark, f, "raw_flows")
-    return back.select("sample_id", "raw_metric", "raw_flag", "raw_proto", "service", r6(parse_number("quantity")).alias("quantity"))
+    back = fio.roundtrip_csv(spark, fixtures.flows(spark, sf_dir), "raw_flows")
+    return back.select(*_FLOW_STRINGS, *[r6(parse_number(c)).alias(c) for c in _FLOW_NUMBERS],
+                       F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
 
 
 # ---------------------------------------------------------------------------
@@ -78,18 +84,20 @@ def q_read_flows_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 _STR = ["sample_id", "raw_metric", "raw_flag", "raw_proto", "service"]
+_LABELS = ["class1", "class2", "class3", "split"]
 
 
 @query(
     "null_tokens",
     group="T",
     oracle=with_views(
-        "select " + ", ".join(f"{tok(c)} as {c}" for c in _STR) + ", class1 from flows", "flows"
+        "select " + ", ".join([f"{tok(c)} as {c}" for c in _STR] + _LABELS + [f"round(cast({c} as double), 6) as {c}" for c in _FLOW_NUMBERS]) + " from flows",
+        "flows",
     ),
 )
 def q_null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixtures.flows(spark, sf_dir).select(*_STR, "class1")
-    return clean.null_tokens(f)
+    t = clean.null_tokens(fixtures.flows(spark, sf_dir), exclude=_LABELS)
+    return t.select(*_STR, *_LABELS, *[r6(c).alias(c) for c in _FLOW_NUMBERS])
 
 
 def _type_table(spark, sf_dir):
@@ -148,13 +156,15 @@ def q_cast_int_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     "drop_identifiers",
     group="T",
     oracle=with_views(
-        "select class1, split, round(quantity, 6) as quantity, raw_metric, raw_proto, service from flows", "flows"
+        "select class1, class2, class3, split, raw_metric, raw_flag, raw_proto, service, "
+        + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in _FLOW_NUMBERS) + " from flows",
+        "flows",
     ),
 )
 def q_drop_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixtures.flows(spark, sf_dir)
     d = clean.drop_identifiers(f, list(clean.IDENTIFIER_COLUMNS) + ["sample_id", "ts"])
-    return d.select("class1", "split", r6("quantity").alias("quantity"), "raw_metric", "raw_proto", "service")
+    return d.select(*[r6(c).alias(c) if c in _FLOW_NUMBERS else F.col(c) for c in d.columns])
 
 
 _KEPT = ["load_avg", "byte_volume", "miss_rate", "is_reverse", "sparse_count", "raw_proto", "service"]
@@ -179,11 +189,11 @@ def q_select_like_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     "reindex_fill",
     group="T",
     oracle=flows_sql(
-        "select sample_id, round(miss_rate, 6) as miss_rate, cast(0.0 as double) as not_in_frame, round(load_avg, 6) as load_avg from typed where split = 'test'"
+        "select sample_id, round(miss_rate, 6) as miss_rate, cast(0.0 as double) as not_in_frame, round(load_avg, 6) as load_avg from typed"
     ),
 )
 def q_reindex_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = typed_flows(spark, sf_dir).filter(F.col("split") == "test")
+    t = typed_flows(spark, sf_dir)
     c = clean.conform(t, ["miss_rate", "not_in_frame", "load_avg"], keep=["sample_id"])
     return c.select("sample_id", r6("miss_rate").alias("miss_rate"), F.col("not_in_frame"), r6("load_avg").alias("load_avg"))
 
@@ -225,14 +235,14 @@ def q_rename_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     group="T",
     oracle=with_views(
         "select sample_id, " + ", ".join(f"{parse_num(c)} as {c}" for c in ["raw_metric", "raw_flag", "raw_proto", "service"])
-        + ", round(quantity, 6) as quantity, cast(is_reverse as double) as is_reverse from flows",
+        + ", " + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in _FLOW_NUMBERS) + " from flows",
         "flows",
     ),
 )
 def q_coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixtures.flows(spark, sf_dir).select("sample_id", "raw_metric", "raw_flag", "raw_proto", "service", "quantity", "is_reverse")
+    f = fixtures.flows(spark, sf_dir).select(*_STR, *_FLOW_NUMBERS)
     c = clean.coerce_numeric(f, keep=["sample_id"])
-    return c.withColumn("quantity", r6("quantity"))
+    return c.withColumns({n: r6(n) for n in _FLOW_NUMBERS})
 
 
 @query(
@@ -275,7 +285,7 @@ def _kind_sql(c: str) -> str:
         + ", ".join(
             f"""{_kind_sql(c)} as {c}_kind,
   case when lower(trim({c})) = 'true' then true when lower(trim({c})) = 'false' then false end as {c}_bool"""
-            for c in ["raw_metric", "raw_flag", "raw_proto"]
+            for c in _STR[1:]
         )
         + " from flows",
         "flows",
@@ -284,7 +294,7 @@ def _kind_sql(c: str) -> str:
 def q_typed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixtures.flows(spark, sf_dir)
     cols = []
-    for c in ["raw_metric", "raw_flag", "raw_proto"]:
+    for c in _STR[1:]:
         parts = clean.typed_parse(c)
         cols += [parts[0], parts[1]]
     return f.select("sample_id", *cols)
@@ -361,13 +371,13 @@ def q_attacks_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     "json_rows",
     group="T",
     oracle=with_views(
-        "select sample_id, round(load_avg, 6) as load_avg, round(miss_rate, 6) as miss_rate, cast(is_reverse as double) as is_reverse from flows where split = 'test'",
+        "select sample_id, " + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in _FLOW_NUMBERS) + " from flows",
         "flows",
     ),
 )
 def q_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixtures.flows(spark, sf_dir).filter(F.col("split") == "test")
-    cols = ["load_avg", "miss_rate", "is_reverse"]
+    f = fixtures.flows(spark, sf_dir)
+    cols = _FLOW_NUMBERS
     j = clean.json_rows(f, cols, "sample_id")
     back = j.select("sample_id", F.from_json("input_json", "map<string,double>").alias("m"))
     return back.select("sample_id", *[r6(F.col("m")[c]).alias(c) for c in cols])
