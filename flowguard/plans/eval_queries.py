@@ -269,7 +269,7 @@ def q_confusion_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 top as (select model from t where split = 'test' and rank <= 3),
 r as (select model, label, recall, precision, support from rep2 where split = 'test' and model in (select model from top))
 select label, round(avg(recall), 6) as mean_recall, round(avg(precision), 6) as mean_precision, max(support)::bigint as support
-from r group by label order by mean_recall, support limit 12""",
+from r group by label order by mean_recall, support, label limit 12""",
         *_SCORES_CTES,
         _REPORT_CTE,
     ).replace("\nt as (", ",\nt as (", 1),
@@ -281,7 +281,8 @@ def q_hard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = ev.per_class_report(d, ["model"], "true_type", "pred_type").join(top, "model", "left_semi")
     g = rep.groupBy("label").agg(F.avg("recall").alias("mean_recall"), F.avg("precision").alias("mean_precision"), F.max("support").cast("long").alias("support"))
     # the 12 hardest classes: a top-k report over one row per class
-    return g.orderBy("mean_recall", "support").limit(12).select("label", r6("mean_recall").alias("mean_recall"), r6("mean_precision").alias("mean_precision"), "support")
+    g = g.select("label", r6("mean_recall").alias("mean_recall"), r6("mean_precision").alias("mean_precision"), "support")
+    return g.orderBy("mean_recall", "support", "label").limit(12)
 
 
 # second labelled source: documents with quality / toxic labels ---------------

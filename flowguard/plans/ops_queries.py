@@ -113,14 +113,14 @@ def q_active_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (~F.coalesce(F.col("_sent"), F.lit(False))).alias("cooldown_active"))
 
 
-@query("recent_alerts", group="L", oracle=_hsql("select key, seq::bigint as seq, t from sent order by seq desc limit 20"))
+@query("recent_alerts", group="L", oracle=_hsql("select key, seq::bigint as seq, t from sent order by seq desc, key limit 20"))
 def q_recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sent = _history(spark, sf_dir)
     n = 20
     if not 1 <= n <= 200:
         raise ValueError("limit must be in 1..200")
     # newest N events: a top-N report (bounded by N)
-    return sent.orderBy(F.col("seq").desc()).limit(n).select("key", F.col("seq").cast("long").alias("seq"), "t")
+    return sent.orderBy(F.col("seq").desc(), "key").limit(n).select("key", F.col("seq").cast("long").alias("seq"), "t")
 
 
 @query(

@@ -434,14 +434,13 @@ def q_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     "uniform_sample_n",
     group="P",
     oracle=with_views(
-        """select sample_id, class1 from (select sample_id, class1, row_number() over (order by md5(sample_id||'42'), sample_id) as rn from flows where split = 'test') x
-where rn <= 60000""",
+        """select sample_id, class1 from (select sample_id, class1, row_number() over (order by md5(sample_id||'42'), sample_id) as rn from flows) x
+where rn <= 20000""",
         "flows",
     ),
 )
 def q_uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixtures.flows(spark, sf_dir).filter(F.col("split") == "test").select("sample_id", "class1")
-    return sampling.uniform_sample(t, "sample_id", 60000, seed=42)
+    return sampling.uniform_sample(fixtures.flows(spark, sf_dir).select("sample_id", "class1"), "sample_id", 20_000, seed=42)
 
 
 @query(

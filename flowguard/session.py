@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,7 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="flowguard-ckpt-", dir="/tmp"))
+    own = tempfile.mkdtemp(prefix="flowguard-ckpt-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)  # a local session's private folder goes with it
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import threading
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,13 +138,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         if key not in _memo:
             path = scratch_path(spark, "flows")
             # the split reads the joined rows several times (bounds sample,
-            # counts, ranks): keep them while the table is written; placement
-            # is deterministic, so a lost cached block recomputes identically
-            base = _flows_unsplit(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                build_flows(spark, sf_dir, base).write.mode("overwrite").partitionBy("split").parquet(path)
-            finally:
-                base.unpersist()
+            # counts, ranks): they are written once to the shared folder
+            joined = scratch_path(spark, "flows-joined")
+            _flows_unsplit(spark, sf_dir).write.parquet(joined)
+            build_flows(spark, sf_dir, spark.read.parquet(joined)).write.mode("overwrite").partitionBy("split").parquet(path)
             df = spark.read.parquet(path)
             cols = [c for c in df.columns if c != "split"]
             order = cols[:4] + ["split"] + cols[4:]
