@@ -127,7 +127,7 @@ def q_train_deep_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_batch", group="M")
 def q_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     prep, fin = _data(spark, sf_dir)
-    model, _, classes = fitted(spark, sf_dir, "decision_tree")
+    model, _, classes = fitted(spark, sf_dir, "random_forest")
     s = md.score(model, fin.filter(F.col("split") == "test"), prep.features, classes)
     return s.select("sample_id", "pred_code", "pred_type", r6("score").alias("attack_score"))
 
@@ -135,7 +135,7 @@ def q_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("predictions_table", group="M")
 def q_predictions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     prep, fin = _data(spark, sf_dir)
-    model, _, classes = fitted(spark, sf_dir, "decision_tree")
+    model, _, classes = fitted(spark, sf_dir, "random_forest")
     s = md.score(model, fin, prep.features, classes).select("sample_id", "split", "pred_type", "score")
     d = ev.derive_hierarchy(s, ev.taxonomy(fin))
     return d.select("sample_id", "split", F.col("pred_type").alias("pred_class1"), F.col("pred_cat").alias("pred_class2"),

@@ -145,3 +145,26 @@ def test_drift_stream_orders_chunks_of_one_key():
     got = pd.concat(out)
     assert got["sample_id"].tolist() == rows["sample_id"].tolist() and got["pos"].tolist() == list(range(25_000))
     assert np.allclose(got["rolling_score"], rows["score"].rolling(100, min_periods=1).mean(), rtol=0, atol=1e-11)
+
+
+def test_retraining_registers_activates_and_reports_failures(spark):
+    from flowguard.operators import retrain
+    from flowguard.session import scratch_path
+
+    base = scratch_path(spark, "retrain-test")
+    train = spark.createDataFrame([("a" if i % 2 else "b", float(i % 2), float(i)) for i in range(80)], "class1 string, x double, duration double")
+    ok = spark.createDataFrame([(f"s{i}", "approved", "a" if i % 2 else "b", float(i)) for i in range(60)],
+                               "sample_id string, review_status string, validated_label string, duration double")
+    args = (train, train, ["x", "duration"])
+    skipped = retrain.run(spark, *args, ok.limit(10), "RF_v1", base, "decision_tree").first()
+    assert (skipped["status"], skipped["version"], skipped["approved"]) == ("skipped", None, 10)
+    assert retrain.active_version(spark, base) is None and retrain.registry(spark, base).count() == 0
+    first = retrain.run(spark, *args, ok, "RF_v1", base, "decision_tree").first()
+    assert (first["status"], first["merged_rows"], first["archived"], first["remaining"]) == ("success", 140, 60, 0)
+    again = retrain.run(spark, *args, ok, "RF_v1", base, "decision_tree").first()  # the version's folders exist
+    assert (again["status"], again["previous_version"]) == ("failed", "RF_v1")
+    second = retrain.run(spark, *args, ok, "RF_v2", base, "decision_tree").first()
+    assert (second["status"], second["previous_version"]) == ("success", "RF_v1")
+    assert retrain.active_version(spark, base) == "RF_v2"
+    assert [r["status"] for r in retrain.audit(spark, base).orderBy("seq").collect()] == ["skipped", "success", "failed", "success"]
+    assert sorted(r["version"] for r in retrain.registry(spark, base).collect()) == ["RF_v1", "RF_v2"]
