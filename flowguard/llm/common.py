@@ -28,9 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """`df`, its session set to send Python workers at most 1000 rows at a time: texts can be long, and batches of the
+    usual 10,000 of them take the memory of a worker and of the executor beside it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def map_text(df: DataFrame, keep: list[str], text_col: str, fn: Callable[[list[str]], list[list]], out: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """Columns `keep` as they are, plus the columns `out` (name, Arrow type, Spark type) that `fn` makes from a list
     of texts (null: empty). `fn` returns one list for each output column. Slices of 256 rows bound the memory."""
+    df = bounded(df)
     spark_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{n}` {t}" for n, _, t in out])
     types = [(n, t) for n, t, _ in out]
 

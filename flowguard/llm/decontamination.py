@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import map_text, materialize
+from flowguard.llm.common import bounded, map_text, materialize
 
 WORDS = re.compile(r"[^\W_]+")
 MOST_ITEMS = 50_000
@@ -227,7 +227,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     arrow_type = pa.list_(pa.struct([("item", pa.string()), ("score", pa.float64()), ("q", pa.float64()), ("a", pa.float64())]))
-    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    plain = bounded(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     out = None
     for index in indexes(items, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -248,7 +248,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of `docs` into which no item leaked, with their columns as they are; cases are those of find_leaks."""
-    names = docs.columns
+    names = bounded(docs).columns
     at = names.index(text_col)
     for index in indexes(items, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(index)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.llm.common import bounded
+
 #: Buckets of trigrams: with the number of languages the bound of the model's size (4 bytes each).
 BUCKETS = 1 << 17
 _ROUNDS = 12
@@ -104,7 +106,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
                     yield from flush()
         yield from flush()
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = bounded(docs).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = tuple(sorted(set(counts["lang"].to_pylist())))
     n = np.zeros((BUCKETS, len(langs)))
@@ -184,7 +186,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, struct)], names=[id_col, "languages"])
 
     typed = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {typed}, languages array<struct<lang: string, share: double>>")
+    found = bounded(docs).select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {typed}, languages array<struct<lang: string, share: double>>")
     best = F.try_element_at("languages", F.lit(1))
     return found.select(id_col, F.coalesce(best["lang"], F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(best["share"], F.lit(0.0)).alias("score"), "languages")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import materialize
+from flowguard.llm.common import bounded, materialize
 from flowguard.llm.components import connected_components
 
 #: Sets in the sample that finds frequent segments, and how many of these are kept at most (16 bytes each are broadcast).
@@ -59,7 +59,7 @@ class Shingler:
 
     def words(self, text: str) -> np.ndarray:
         known, out = self.known, []
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in text.encode("utf-8", "surrogatepass").lower().split():
             h = known.get(w)
@@ -174,7 +174,7 @@ def sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if not len(h):
                 return None, 0, None, None, None, None
             node = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             if node in seen:
                 return node, len(h), None, None, None, None
@@ -211,11 +211,12 @@ def sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def around_pivots(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct (pivot, node, place): the pivot of a segment value, another set that has the value, and the first place
     in that set's order where it has a value of this pivot."""
-    keys = rows.select("node", "rank", "of_first", F.posexplode("keys").alias("place", "key"))
+    keys = rows.select("rank", "of_first", F.posexplode("keys").alias("place", "key"))
     keys = keys.withColumn("place", F.when(F.col("place") < F.col("of_first"), F.col("place")).otherwise(F.col("place") - F.col("of_first")))
     pivots = keys.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
-    found = keys.select("key", "node", "rank", "place").join(pivots, "key").where("rank <> first").groupBy("first", "node").agg(F.min("place").alias("place"))
-    return found.join(nodes.select(F.col("rank").alias("first"), F.col("node").alias("pivot")), "first").select("pivot", "node", "place")
+    found = keys.select("key", "rank", "place").join(pivots, "key").where("rank <> first").groupBy("first", "rank").agg(F.min("place").alias("place"))
+    found = found.join(nodes.select("rank", "node"), "rank").join(nodes.select(F.col("rank").alias("first"), F.col("node").alias("pivot")), "first")
+    return found.select("pivot", "node", "place")
 
 
 def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -344,7 +345,7 @@ def node_components(rows: DataFrame, docs: DataFrame, size: int, percent: int) -
 
 def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """By row of (__id, __text): __id, text_hash, n and part, the component of its set (null for an empty set)."""
-    rows = materialize(sets(docs, size, percent), "ngram-sets")
+    rows = materialize(sets(bounded(docs), size, percent), "ngram-sets")
     return _with_part(rows.select("__id", "text_hash", "node", "n"), node_components(rows, docs, size, percent), "node", "part").drop("node")
 
 

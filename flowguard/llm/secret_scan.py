@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.llm.common import bounded
+
 #: Texts to a block of the index.
 BLOCK = 512
 #: Literal alternatives followed before a query gives up on being exact.
@@ -203,7 +205,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=[id_col, "found"])
 
     typed = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {typed}, found array<struct<kind: string, start: bigint, `end`: bigint, value: string>>")
+    return bounded(docs).select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {typed}, found array<struct<kind: string, start: bigint, `end`: bigint, value: string>>")
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, by: str = "[SECRET]") -> DataFrame:
@@ -216,7 +218,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
             new = [mask(t, spans, by) if was.is_valid else None for t, spans, was in zip(texts, find_spans(texts, rules), given, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else part.column(i) for i in range(len(names))], names=names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, docs.schema)
+    return bounded(docs).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, docs.schema)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import materialize
+from flowguard.llm.common import bounded, materialize
 
 HEAD_MAX = 100_000
 HEAD_CHARS = 48
@@ -113,7 +113,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Defined cases: a null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows and ids each
     keep their own row; an empty table gives an empty table; other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    docs = bounded(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     spark = docs.sparkSession
     vocab = materialize(vocabulary(docs, model_path, "__text"), "token-vocab")
     known = spark.sparkContext.broadcast(head(vocab, head_max))

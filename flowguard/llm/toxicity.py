@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.llm import language_id
-from flowguard.llm.common import materialize
+from flowguard.llm.common import bounded, materialize
 
 # Signs and the letters they stand for.
 LOOKS_LIKE = {
@@ -69,7 +69,7 @@ def character_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
 
-    rows = docs.select(F.col(text_col)).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = bounded(docs).select(F.col(text_col)).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(language_id.BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -300,5 +300,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     typed = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {typed}, score double")
+    scored = bounded(docs).select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {typed}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
