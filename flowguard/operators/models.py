@@ -25,6 +25,7 @@ from .joins import small
 from .sampling import cumulative_cut
 
 SEED = 42
+ROWS_PER_TASK = 20_000  # training rows to a partition: iterative fits run hundreds of jobs over them
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -42,9 +43,10 @@ def spec(name: str, n_features: int, n_classes: int):
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=25, minInstancesPerNode=5, weightCol="weight", **common)
     if name == "random_forest":
-        # depth is capped (MLlib limit 30); the library default is unlimited
+        # the library default is unlimited depth, MLlib's limit is 30; at 30 a
+        # fit over 42,000 rows took more than 6 minutes here
         return RandomForestClassifier(numTrees=120, minInstancesPerNode=2, maxDepth=15, maxBins=64, weightCol="weight",
-                                      featureSubsetStrategy="sqrt", **common)
+                                      featureSubsetStrategy="sqrt", maxMemoryInMB=1024, **common)
     if name == "boosted_trees":
         # binary GBT per class (MLlib's GBT is binary); classes fit in parallel
         gbt = GBTClassifier(maxIter=140, maxDepth=8, stepSize=0.08, subsamplingRate=0.85, featureSubsetStrategy="0.85",
@@ -78,8 +80,15 @@ def fit(name: str, train: DataFrame, features: Sequence[str], label: str = "clas
     idx = label_indexer(label).fit(x)
     classes = list(idx.labels)
     est = spec(name, len(features), len(classes))
+    # every iteration reads the assembled vectors: kept while fitting, in
+    # partitions by their number, so small inputs don't pay for idle tasks
+    rows = x.select(label, "weight", "features")
+    rows = rows.coalesce(max(2, rows.count() // ROWS_PER_TASK)).persist()
     t = time.time()
-    model = Pipeline(stages=[idx, est]).fit(x)
+    try:
+        model = Pipeline(stages=[idx, est]).fit(rows)
+    finally:
+        rows.unpersist()
     return model, time.time() - t, classes
 
 
@@ -105,7 +114,7 @@ def score(model, df: DataFrame, features: Sequence[str], classes: Sequence[str],
 def tree_importance(train: DataFrame, features: Sequence[str], label: str = "class1", trees: int = 50, top: int = 20) -> DataFrame:
     x = assemble(train, features)
     idx = label_indexer(label).fit(x)
-    m = RandomForestClassifier(numTrees=trees, seed=SEED, featuresCol="features", labelCol="label_idx", maxDepth=12).fit(idx.transform(x))
+    m = RandomForestClassifier(numTrees=trees, seed=SEED, featuresCol="features", labelCol="label_idx", maxDepth=12, maxMemoryInMB=1024).fit(idx.transform(x))
     imp = m.featureImportances.toArray().tolist()
     rows = sorted(zip(features, imp), key=lambda r: (-r[1], r[0]))[:top]
     return train.sparkSession.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)], "feature string, importance double, rank int")

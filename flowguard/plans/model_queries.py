@@ -151,8 +151,9 @@ def q_train_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_loop", group="M")
 def q_model_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates; fits made earlier in the application are used again."""
     out = None
-    for name in ("decision_tree", "naive_bayes", "logistic"):
+    for name in ("random_forest", "boosted_trees", "decision_tree", "logistic", "naive_bayes", "mlp", "deep_mlp"):
         m = _metrics(spark, sf_dir, name)
         out = m if out is None else out.unionByName(m)
     return out
