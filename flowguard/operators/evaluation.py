@@ -43,32 +43,42 @@ def class_inventory(labels: DataFrame, train: DataFrame) -> DataFrame:
     )
 
 
-def binary_confusion(df: DataFrame, by: Sequence[str], y_true: str, y_pred: str, positive: str = "attack") -> DataFrame:
+def cells(df: DataFrame, by: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(group, labels…, weight): the number of rows of each combination of
+    true and predicted labels. Every metric but AUC follows from this small
+    table, so the rows themselves are aggregated once."""
+    return df.groupBy(*by, *labels).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def binary_confusion(df: DataFrame, by: Sequence[str], y_true: str, y_pred: str, positive: str = "attack",
+                     weight: str | None = None) -> DataFrame:
     t, p = F.col(y_true) == positive, F.col(y_pred) == positive
-    return df.groupBy(*by).agg(
-        F.count_if(~t & ~p).cast("long").alias("tn"),
-        F.count_if(~t & p).cast("long").alias("fp"),
-        F.count_if(t & ~p).cast("long").alias("fn"),
-        F.count_if(t & p).cast("long").alias("tp"),
-        F.count(F.lit(1)).cast("long").alias("n"),
-    )
+    w = F.col(weight) if weight else F.lit(1)
+
+    def total(cond: Column) -> Column:
+        return F.sum(F.when(cond, w).otherwise(0)).cast("long")
+
+    return df.groupBy(*by).agg(total(~t & ~p).alias("tn"), total(~t & p).alias("fp"), total(t & ~p).alias("fn"), total(t & p).alias("tp"),
+                               F.sum(w).cast("long").alias("n"))
 
 
-def accuracy(df: DataFrame, by: Sequence[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+def accuracy(df: DataFrame, by: Sequence[str], pairs: dict[str, tuple[str, str]], weight: str | None = None) -> DataFrame:
     """``pairs``: output name → (true col, pred col)."""
+    w = F.col(weight) if weight else F.lit(1)
     return df.groupBy(*by).agg(
-        *[F.avg(F.coalesce(F.col(t) == F.col(p), F.lit(False)).cast("double")).alias(name) for name, (t, p) in pairs.items()]
+        *[(F.sum(F.when(F.col(t) == F.col(p), w).otherwise(0)) / F.sum(w)).alias(name) for name, (t, p) in pairs.items()]
     )
 
 
-def label_counts(df: DataFrame, by: Sequence[str], y_true: str, y_pred: str) -> DataFrame:
+def label_counts(df: DataFrame, by: Sequence[str], y_true: str, y_pred: str, weight: str | None = None) -> DataFrame:
     """(group, label, n_true, n_pred, tp) for every label seen as true or
     predicted in the group; one pass, each row emitted as two label rows."""
+    one, zero = (F.col(weight) if weight else F.lit(1)).cast("long"), F.lit(0).cast("long")
     rows = F.explode(
         F.array(
-            F.struct(F.col(y_true).alias("label"), F.lit(1).alias("is_true"), F.lit(0).alias("is_pred"),
-                     (F.col(y_true) == F.col(y_pred)).cast("int").alias("is_tp")),
-            F.struct(F.col(y_pred).alias("label"), F.lit(0).alias("is_true"), F.lit(1).alias("is_pred"), F.lit(0).alias("is_tp")),
+            F.struct(F.col(y_true).alias("label"), one.alias("is_true"), zero.alias("is_pred"),
+                     F.when(F.col(y_true) == F.col(y_pred), one).otherwise(zero).alias("is_tp")),
+            F.struct(F.col(y_pred).alias("label"), zero.alias("is_true"), one.alias("is_pred"), zero.alias("is_tp")),
         )
     )
     x = df.select(*by, rows.alias("r")).select(*by, "r.*")
@@ -77,8 +87,8 @@ def label_counts(df: DataFrame, by: Sequence[str], y_true: str, y_pred: str) ->
     )
 
 
-def per_class_report(df: DataFrame, by: Sequence[str], y_true: str, y_pred: str) -> DataFrame:
-    c = label_counts(df, by, y_true, y_pred)
+def per_class_report(df: DataFrame, by: Sequence[str], y_true: str, y_pred: str, weight: str | None = None) -> DataFrame:
+    c = label_counts(df, by, y_true, y_pred, weight)
     prec = F.coalesce(safe_div(F.col("tp"), F.col("n_pred")), F.lit(0.0))
     rec = F.coalesce(safe_div(F.col("tp"), F.col("n_true")), F.lit(0.0))
     c = c.withColumn("precision", prec).withColumn("recall", rec)
@@ -157,16 +167,20 @@ def cost_metrics(conf: DataFrame, by: Sequence[str], minutes: float = REVIEW_MIN
 
 def level_scores(preds: DataFrame, tax: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per group: accuracy, macro P/R/F1 at type and category level,
-    binary P/R/F1, FPR, AUC, confusion cells, f1_mean."""
-    d = derive_hierarchy(preds, tax)
-    acc = accuracy(d, by, {"acc_type": ("true_type", "pred_type"), "acc_cat": ("true_cat", "pred_cat"), "acc_bin": ("true_bin", "pred_bin")})
-    mt = macro_weighted(per_class_report(d, by, "true_type", "pred_type"), by).select(
+    binary P/R/F1, FPR, AUC, confusion cells, f1_mean. The predictions are
+    read twice: for the label cells (one exchange, reused by every metric)
+    and for the scores of AUC."""
+    rows = derive_hierarchy(preds, tax)
+    d = cells(rows, by, ["true_type", "pred_type", "true_cat", "pred_cat", "true_bin", "pred_bin"])
+    w = "weight"
+    acc = accuracy(d, by, {"acc_type": ("true_type", "pred_type"), "acc_cat": ("true_cat", "pred_cat"), "acc_bin": ("true_bin", "pred_bin")}, w)
+    mt = macro_weighted(per_class_report(d, by, "true_type", "pred_type", w), by).select(
         *by, F.col("precision_macro").alias("prec_type"), F.col("recall_macro").alias("rec_type"), F.col("f1_macro").alias("f1_type"))
-    mc = macro_weighted(per_class_report(d, by, "true_cat", "pred_cat"), by).select(
+    mc = macro_weighted(per_class_report(d, by, "true_cat", "pred_cat", w), by).select(
         *by, F.col("precision_macro").alias("prec_cat"), F.col("recall_macro").alias("rec_cat"), F.col("f1_macro").alias("f1_cat"))
-    conf = binary_confusion(d, by, "true_bin", "pred_bin")
+    conf = binary_confusion(d, by, "true_bin", "pred_bin", weight=w)
     bp = binary_prf(conf, by)
-    auc = auc_exact(d, by, "true_bin", "score")
+    auc = auc_exact(rows, by, "true_bin", "score")
     out = acc.join(mt, list(by)).join(mc, list(by)).join(bp, list(by)).join(auc, list(by)).join(conf, list(by))
     return out.withColumn("f1_mean", (F.col("f1_bin") + F.col("f1_cat") + F.col("f1_type")) / 3.0)
 
