@@ -38,6 +38,9 @@ SAMPLE = 10_000
 MOST_FREQUENT = 500_000
 #: Rows of up to this number (24 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Segment values that several sets have: up to this number (16 bytes each) are broadcast to the rows that have them; more
+#: are joined by a shuffle of those rows.
+BROADCAST_VALUES = 2_000_000
 #: Sets to a block when those around a pivot are compared.
 BLOCK = 2048
 _SPAN = 4
@@ -214,7 +217,9 @@ def around_pivots(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = rows.select("rank", "of_first", F.posexplode("keys").alias("place", "key"))
     keys = keys.withColumn("place", F.when(F.col("place") < F.col("of_first"), F.col("place")).otherwise(F.col("place") - F.col("of_first")))
     pivots = keys.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
-    found = keys.select("key", "rank", "place").join(pivots, "key").where("rank <> first").groupBy("first", "rank").agg(F.min("place").alias("place"))
+    pivots = materialize(pivots, "ngram-values")  # only values that several sets have: few beside all values
+    known = F.broadcast(pivots) if pivots.count() <= BROADCAST_VALUES else pivots
+    found = keys.select("key", "rank", "place").join(known, "key").where("rank <> first").groupBy("first", "rank").agg(F.min("place").alias("place"))
     found = found.join(nodes.select("rank", "node"), "rank").join(nodes.select(F.col("rank").alias("first"), F.col("node").alias("pivot")), "first")
     return found.select("pivot", "node", "place")
 

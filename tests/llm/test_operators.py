@@ -234,9 +234,10 @@ def near_copies(seed, n_bases, copies):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent", "sample"), [(4, 85, 10_000), (5, 80, 10_000), (2, 60, 10_000), (4, 85, 1)])
-def test_ngram_groups_equal_all_pairs(spark, monkeypatch, k, percent, sample):
+@pytest.mark.parametrize(("k", "percent", "sample", "values"), [(4, 85, 10_000, 2_000_000), (5, 80, 10_000, 0), (2, 60, 10_000, 2_000_000), (4, 85, 1, 0)])
+def test_ngram_groups_equal_all_pairs(spark, monkeypatch, k, percent, sample, values):
     monkeypatch.setattr(ngram_join, "SAMPLE", sample)
+    monkeypatch.setattr(ngram_join, "BROADCAST_VALUES", values)
     texts = near_copies(k, 30, 14) + [None, "", " ", "a", "A", "a b", "b a"]
     ids = [None if i % 97 == 5 else (i * 7919) % 1000 for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
