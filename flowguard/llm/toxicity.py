@@ -45,6 +45,7 @@ _SPACED = re.compile(rf"(?<!\S){_ANY}(?: {_ANY}){{2,}}(?!\S)")
 _SPACED_HERE = re.compile(r" \S \S \S(?!\S)")
 _MARKED = re.compile(rf"(?<![\w{_SIGNS}.*_-]){_ANY}{{1,3}}(?:[.*_-]{_ANY}{{1,2}}){{2,}}(?![\w{_SIGNS}])")
 _MARKED_HERE = re.compile(rf"[.*_-]{_ANY}{{1,2}}[.*_-]")
+_LONGEST = 256
 _LETTERS_OF_MODEL = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß"
 
 #: Labelled rows and features of the fit at most.
@@ -152,6 +153,8 @@ class Restorer:
         self.model, self.known = model, {}
 
     def decode(self, stretch: str) -> list[str]:
+        if len(stretch) > _LONGEST:  # no word is that long: piece by piece, all of it
+            return [w for at in range(0, len(stretch), _LONGEST) for w in self.decode(stretch[at : at + _LONGEST])]
         if stretch not in self.known:
             if len(self.known) > _KEPT:
                 self.known.clear()

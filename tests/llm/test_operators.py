@@ -487,6 +487,7 @@ def test_disguises_are_undone():
         assert word in restorer.words(f"the {hidden} and"), hidden
     assert restorer.words("The house, and the river. 12 a1") >= {"the", "house", "and", "river"}
     assert restorer.words("") == set()
+    assert "idiot" in restorer.words("a " * 300_000 + "1d10t " + "0a" * 300_000)
 
 
 def test_toxicity_query_on_held_out_rows(spark):
