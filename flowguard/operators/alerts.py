@@ -201,9 +201,12 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECON
 # ---------------------------------------------------------------------------
 
 
-def active_alerts(actions: DataFrame, sent: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+def active_alerts(actions: DataFrame, sent: DataFrame, key: str = "key", order: str = "seq", reset_at: object | None = None) -> DataFrame:
     """Latest action per key; active when it is a trigger; ``cooldown_active``
-    when that trigger was not sent (inside the cooldown)."""
+    when that trigger was not sent (inside the cooldown). Actions before the
+    last reset of the alert state, ``reset_at``, count no more."""
+    if reset_at is not None:
+        actions = actions.filter(F.col("ts") >= F.lit(reset_at))
     s = sent.select(F.col(key).alias("_k"), F.col("t").alias("_t"), F.lit(True).alias("_sent"))
     a = actions.withColumn("_t", F.unix_seconds(F.col("ts").cast("timestamp")))
     last = a.groupBy(key).agg(F.max_by(F.struct(order, "action", "_t", "category", "severity"), F.col(order)).alias("l"))

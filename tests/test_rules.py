@@ -74,3 +74,28 @@ def test_typed_parse_kinds(spark):
     df = spark.createDataFrame([(" 12 ",), ("1.5",), ("TRUE",), ("",), (None,), ("abc",), ("1e3",), ("nan",)], "c string")
     kinds = [r[0] for r in df.select(clean.typed_parse("c")[0]).collect()]
     assert kinds == ["int", "float", "bool", "null", "null", "string", "int", "float"]
+
+
+def test_resets_empty_the_drift_window(spark):
+    from flowguard.operators import drift as dr
+
+    rows = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "t int, score double")
+    got = dr.rolling(dr.reset_epochs(rows, "t", [40, 15]), ["t"], partition_by=["epoch"], size=10).collect()
+    for r in got:
+        start = max([0] + [x for x in (15, 40) if x <= r["t"]])
+        seen = [float(i % 7) for i in range(max(start, r["t"] - 9), r["t"] + 1)]
+        assert r["window_observations"] == len(seen) and abs(r["rolling_score"] - sum(seen) / len(seen)) < 1e-12
+    assert dr.disabled_status(spark, "/none").first()["enabled"] is False
+
+
+def test_reset_of_alert_state(spark):
+    import datetime as dt
+
+    from flowguard.operators import alerts as al
+
+    at = dt.datetime(2024, 1, 1)
+    acts = spark.createDataFrame([(1, "a", at, "trigger"), (2, "b", at + dt.timedelta(hours=2), "trigger"), (3, "c", at + dt.timedelta(hours=3), "resolve")],
+                                 "seq int, key string, ts timestamp, action string").selectExpr("*", "'x' as category", "'w' as severity")
+    sent = spark.createDataFrame([], "key string, t long")
+    assert {r["key"] for r in al.active_alerts(acts, sent).collect()} == {"a", "b"}
+    assert {r["key"] for r in al.active_alerts(acts, sent, reset_at=at + dt.timedelta(hours=1)).collect()} == {"b"}
