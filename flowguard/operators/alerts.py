@@ -51,10 +51,11 @@ MESSAGE_HEADER = "[DISIA ALERTA]"
 
 def request_windows(requests: DataFrame, order: str = "seq", size: int = REQUEST_WINDOW, minimum: int = REQUEST_MIN_WINDOW,
                     error_threshold: float = ERROR_RATE_THRESHOLD, p95_threshold: float = LATENCY_P95_THRESHOLD,
-                    partition_by: Sequence[str] = ()) -> DataFrame:
+                    partition_by: Sequence[str] = (), with_positions: bool = True, block: int | None = None) -> DataFrame:
     """Per request (internal endpoints excluded): window size, errors, error
     rate, p95 of durations (nearest rank, half-even index), and whether each
-    alert fires (only once ``minimum`` requests are in the window)."""
+    alert fires (only once ``minimum`` requests are in the window). Without
+    ``with_positions`` the rows have their ``pos`` already."""
     r = requests.filter(~F.col("endpoint").isin(*INTERNAL_ENDPOINTS))
 
     def aggs(w):
@@ -64,7 +65,7 @@ def request_windows(requests: DataFrame, order: str = "seq", size: int = REQUEST
             F.array_sort(F.collect_list(F.col("duration").cast("double")).over(w)).alias("_durs"),
         ]
 
-    x = trailing(r, [order], size, aggs, partition_by=partition_by, pos="pos")
+    x = trailing(r, [order], size, aggs, partition_by=partition_by, pos="pos", block=block, with_positions=with_positions)
     rate = F.col("errors") / F.col("window_n")
     p95 = nearest_rank(F.col("_durs"), F.col("window_n"), 0.95)
     evaluated = F.col("window_n") >= F.lit(minimum)

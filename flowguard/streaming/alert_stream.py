@@ -1,10 +1,13 @@
 """Streaming operational alerts (L9) and request rate (O4 on a stream).
 
-* ``alert_stream``: per source, the last N (status, duration) pairs and the
-  last send of each alert in ``applyInPandasWithState``; each request gives
-  the window size, error count, rate, nearest-rank p95 and both alert flags —
-  the same rules as ``operators.alerts.request_windows`` — and whether a
-  firing alert is sent, by the cooldown since its last send.
+* ``alert_stream``: per source, the last N requests and the last send of each
+  alert are carried from micro-batch to micro-batch (``carry``); in
+  ``foreachBatch`` each request gives the window size, error count, rate,
+  nearest-rank p95 and both alert flags by ``operators.alerts.request_windows``
+  and whether a firing alert is sent, by ``operators.alerts.cooldown`` since
+  its last send. Both cut a source into blocks, so no task holds all its rows.
+  ``trailing_p95`` and ``cooled`` are the same rules one row after the other,
+  against which the stream is tested.
 * ``rate_stream``: requests per minute per endpoint. Counts of a window are
   written as they grow (update mode, one file set for each micro-batch) and
   the newest one is read, so no request is late and no window stays open.
@@ -12,21 +15,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import alerts as al
+from ..operators.joins import small
+from ..operators.ordering import positions
 from ..session import scratch_path
+from .carry import earlier, with_carry, written
 from .sources import read_batches, write_batches
 
 OUT = ("seq long, source_id long, window_n long, errors long, error_rate double, p95_latency double, "
        "error_rate_alert boolean, latency_alert boolean, error_rate_sent boolean, latency_sent boolean")
-STATE = "statuses array<int>, durations array<double>, error_rate_last long, latency_last long"
+LAST_SENDS = "k string, last long"
+FLAGS = ("error_rate", "latency")
 
 
 def trailing_p95(durations: np.ndarray, first: int, size: int) -> np.ndarray:
@@ -53,46 +56,56 @@ def cooled(fires: np.ndarray, seconds: np.ndarray, last: int | None, cooldown: i
     return sent, last
 
 
-def _windows(size: int, minimum: int, err_thr: float, p95_thr: float, cooldown: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        statuses, durations, last_err, last_p95 = state.get if state.exists else ([], [], None, None)
-        # the rows of a micro-batch come in chunks of any order
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        st = np.concatenate([np.asarray(statuses, np.int64), rows["http_status"].to_numpy(np.int64)])
-        du = np.concatenate([np.asarray(durations, float), rows["duration"].to_numpy(float)])
-        old = len(statuses)
-        upto = np.arange(old, len(st)) + 1
-        total = np.concatenate([[0], np.cumsum(st >= 400)])
-        n = np.minimum(upto, size)
-        errors = total[upto] - total[upto - n]
-        evaluated = n >= minimum
-        rate, p95 = errors / n, trailing_p95(du, old, size)
-        err_alert, p95_alert = evaluated & (rate >= err_thr), evaluated & (p95 >= p95_thr)
-        seconds = rows["second"].to_numpy(np.int64)
-        err_sent, last_err = cooled(err_alert, seconds, last_err, cooldown)
-        p95_sent, last_p95 = cooled(p95_alert, seconds, last_p95, cooldown)
-        keep = size - 1
-        state.update((st[-keep:].tolist(), du[-keep:].tolist(), last_err, last_p95))
-        yield pd.DataFrame({
-            "seq": rows["seq"].to_numpy(), "source_id": key[0], "window_n": n, "errors": errors, "error_rate": rate,
-            "p95_latency": pd.Series(p95).where(evaluated), "error_rate_alert": err_alert, "latency_alert": p95_alert,
-            "error_rate_sent": err_sent, "latency_sent": p95_sent,
-        })
-
-    return fn
+def sends(fired: DataFrame, cooldown: int, block: int = 10_000) -> DataFrame:
+    """(k, t, seq): the sent ones of the firing requests (k, second, seq, last),
+    as ``cooled`` finds them in the order of ``seq``. Only a second above all
+    firing seconds before it can be sent, and only from ``last`` + cooldown
+    on; among these, in order of time, it is the batch cooldown."""
+    able = fired.filter(F.col("last").isNull() | (F.col("second") - F.col("last") >= cooldown))
+    x = positions(able, order_by=["seq"], partition_by=["k"], out="_at").withColumn("_part", F.floor(F.col("_at") / block))
+    tops = x.groupBy("k", "_part").agg(F.max("second").alias("_top"))
+    upto = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.col("k").alias("_k"), F.col("_part").alias("_p"), F.max("_top").over(upto).alias("_before"))
+    x = x.join(tops, (F.col("k") == F.col("_k")) & (F.col("_part") == F.col("_p")))
+    here = F.max("second").over(Window.partitionBy("k", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    highest = F.greatest(here, F.col("_before"))
+    records = x.withColumn("_highest", highest).filter(F.col("_highest").isNull() | (F.col("second") > F.col("_highest")))
+    records = records.select("k", F.col("second").alias("t"), "seq")
+    sent = al.cooldown(records.withColumn("ts", F.timestamp_seconds("t")), "k", "ts", cooldown)
+    return records.join(sent, ["k", "t"])
+
+
+def batch_writer(sink: str, ckpt: str, cooldown: int, block: int | None = None):
+    """What ``foreachBatch`` does; a repeated batch writes the same rows again
+    to the same folders."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = with_carry(batch, number, f"{ckpt}/carried", "source_id", ["seq"], al.REQUEST_WINDOW - 1)
+        seen = al.request_windows(rows, partition_by=["source_id"], with_positions=False, block=block).filter("_new")
+        seen = written(seen.drop("_new", "endpoint"), f"{ckpt}/windows/batch-{number}")
+        alerts = F.explode(F.array(*[F.struct(F.concat_ws(":", F.lit(f), F.col("source_id").cast("string")).alias("k"), F.col(f"{f}_alert").alias("fires")) for f in FLAGS]))
+        fired = seen.select("seq", "second", alerts.alias("a")).filter("a.fires").select("a.k", "seq", "second")
+        last = earlier(batch.sparkSession.createDataFrame([], LAST_SENDS), f"{ckpt}/sends", number)
+        sent = written(sends(fired.join(small(last), "k", "left"), cooldown), f"{ckpt}/sent/batch-{number}")
+        now = last.unionByName(sent.select("k", F.col("t").alias("last"))).groupBy("k").agg(F.max("last").alias("last"))
+        now.write.mode("overwrite").parquet(f"{ckpt}/sends/batch-{number}")
+        flags = sent.groupBy(F.col("seq").alias("_seq")).agg(*[F.max(F.split("k", ":")[0] == f).alias(f"{f}_sent") for f in FLAGS])
+        out = seen.join(flags, F.col("seq") == F.col("_seq"), "left")
+        out.select("seq", "source_id", F.col("window_n").cast("long").alias("window_n"), F.col("errors").cast("long").alias("errors"), "error_rate", "p95_latency",
+                   "error_rate_alert", "latency_alert", *[F.coalesce(f"{f}_sent", F.lit(False)).alias(f"{f}_sent") for f in FLAGS]) \
+            .write.mode("overwrite").parquet(f"{sink}/batch-{number}")
+
+    return write
 
 
 def alert_stream(spark: SparkSession, requests: DataFrame, cooldown: int = al.COOLDOWN_SECONDS) -> DataFrame:
     src, sink, ckpt = scratch_path(spark, "alert-src"), scratch_path(spark, "alert-sink"), scratch_path(spark, "alert-ckpt")
     schema = write_batches(requests, src)
     s = read_batches(spark, src, schema).filter(~F.col("endpoint").isin(*al.INTERNAL_ENDPOINTS))
-    s = s.select("seq", "source_id", "http_status", "duration", F.unix_seconds("ts").alias("second"))
-    out = s.groupBy("source_id").applyInPandasWithState(
-        _windows(al.REQUEST_WINDOW, al.REQUEST_MIN_WINDOW, al.ERROR_RATE_THRESHOLD, al.LATENCY_P95_THRESHOLD, cooldown),
-        OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    s = s.select("seq", "source_id", "endpoint", "http_status", "duration", F.unix_seconds("ts").alias("second"))
+    q = s.writeStream.foreachBatch(batch_writer(sink, ckpt, cooldown)).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(OUT).parquet(sink)
+    return spark.read.schema(OUT).option("recursiveFileLookup", "true").parquet(sink)
 
 
 RATE_SCHEMA = "window_start long, endpoint string, n long, rate_per_second double, batch long"

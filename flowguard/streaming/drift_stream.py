@@ -1,8 +1,10 @@
 """Streaming drift monitor (A7 + D11): a JSON file source of scored
 requests, the same compiled score expression as batch, and per source the
-last N scores in ``applyInPandasWithState``. A micro-batch is put in order
-before it is added, whatever the files and chunks its rows come from. State lives in the
-checkpointed state store, so a restart continues from it."""
+mean of the last N scores in ``foreachBatch``. A micro-batch is put in order
+block-parallel behind the last N-1 rows of each source, which are kept beside
+the checkpoint (``carry``), so a source with most rows is many tasks, and a
+restart continues from them. ``_monitor`` is the same rule one row after the
+other, against which the stream is tested."""
 
 from __future__ import annotations
 
@@ -12,13 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators import drift as dr
+from ..operators.windows import trailing
 from ..session import scratch_path
+from .carry import with_carry
 
 OUT_SCHEMA = "service string, sample_id string, pos long, rolling_score double, window_observations long"
-STATE_SCHEMA = "scores array<double>, total long"
 
 
 def _monitor(size: int):
@@ -37,6 +40,19 @@ def _monitor(size: int):
     return fn
 
 
+def batch_writer(sink: str, ckpt: str, size: int, block: int | None = None):
+    """What ``foreachBatch`` does; a repeated batch writes the same rows again
+    to the same folders."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = with_carry(batch, number, f"{ckpt}/carried", "service", ["ts", "sample_id"], size - 1)
+        rolled = trailing(rows, ["pos"], size, lambda w: [F.avg("score").over(w).alias("rolling_score"), F.count(F.lit(1)).over(w).alias("window_observations")],
+                          partition_by=["service"], with_positions=False, block=block)
+        rolled.filter("_new").select("service", "sample_id", "pos", "rolling_score", "window_observations").write.mode("overwrite").parquet(f"{sink}/batch-{number}")
+
+    return write
+
+
 def run(spark: SparkSession, source: DataFrame, ref: dr.Reference, key: str = "service") -> DataFrame:
     """Write ``source`` rows as JSON files (the request stream), run the
     monitor with an ``availableNow`` trigger into a parquet sink and return
@@ -45,9 +61,7 @@ def run(spark: SparkSession, source: DataFrame, ref: dr.Reference, key: str = "s
     source.write.mode("overwrite").json(src_dir)
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     stream = spark.readStream.schema(source.schema).json(src_dir)
-    scored = dr.row_scores(stream, ref).select(key, "sample_id", "ts", "score")
-    out = scored.groupBy(key).applyInPandasWithState(_monitor(ref.window_size), OUT_SCHEMA, STATE_SCHEMA, "append",
-                                                    GroupStateTimeout.NoTimeout)
-    q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
+    scored = dr.row_scores(stream, ref).select(F.col(key).alias("service"), "sample_id", "ts", "score")
+    q = scored.writeStream.foreachBatch(batch_writer(sink, ckpt, ref.window_size)).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(OUT_SCHEMA).parquet(sink)
+    return spark.read.schema(OUT_SCHEMA).option("recursiveFileLookup", "true").parquet(sink)

@@ -147,6 +147,38 @@ def test_drift_stream_orders_chunks_of_one_key():
     assert np.allclose(got["rolling_score"], rows["score"].rolling(100, min_periods=1).mean(), rtol=0, atol=1e-11)
 
 
+def test_streams_cut_a_hot_key_into_blocks_and_carry_over_batches(spark, tmp_path):
+    import numpy as np
+    import pandas as pd
+
+    from flowguard.streaming import alert_stream as ast
+    from flowguard.streaming import drift_stream as ds
+
+    r, n = np.random.default_rng(6), 3000
+    second = 1_700_000_000 + np.cumsum(r.integers(0, 4, n)) - np.where(r.random(n) < 0.05, 20, 0)  # some out of order
+    rows = pd.DataFrame({"seq": range(n), "source_id": np.where(r.random(n) < 0.7, 1, 2), "endpoint": "/x", "http_status": np.where(r.random(n) < 0.3, 500, 200),
+                         "duration": r.random(n) * 3.2, "second": second})
+    rows["service"], rows["sample_id"], rows["ts"], rows["score"] = rows.source_id.astype(str), rows.seq.astype(str), rows.seq, rows.duration
+    alerts, drift = (str(tmp_path / x) for x in ("alerts", "drift"))
+    write_alerts, write_drift = ast.batch_writer(alerts, alerts + "-ckpt", 50, block=100), ds.batch_writer(drift, drift + "-ckpt", 20, block=100)
+    for number, part in enumerate((rows[:1200], rows[1200:1210], rows[1210:])):
+        batch = spark.createDataFrame(part.sample(frac=1, random_state=1))
+        for write in (write_alerts, write_alerts, write_drift, write_drift):  # a repeated micro-batch changes nothing
+            write(batch, number)
+    read = lambda path: spark.read.option("recursiveFileLookup", "true").parquet(path).toPandas()
+    got, rolled = read(alerts).sort_values("seq"), read(drift)
+    assert len(got) == len(rolled) == n
+    for source, one in rows.groupby("source_id"):
+        mine, roll = got[got.source_id == source], rolled[rolled.service == str(source)].sort_values("pos")
+        assert roll.pos.tolist() == list(range(len(one))) and roll.sample_id.tolist() == one.sample_id.tolist()
+        assert np.allclose(roll.rolling_score, one.score.rolling(20, min_periods=1).mean(), rtol=0, atol=1e-11)
+        assert mine.errors.tolist() == (one.http_status >= 400).rolling(50, min_periods=1).sum().astype(int).tolist()
+        assert np.array_equal(mine.p95_latency.to_numpy()[9:], ast.trailing_p95(one.duration.to_numpy(), 0, 50)[9:])
+        for f in ast.FLAGS:
+            sent = ast.cooled(mine[f"{f}_alert"].to_numpy(), one.second.to_numpy(), None, 50)[0]
+            assert mine[f"{f}_sent"].tolist() == sent.tolist() and 5 < sent.sum() < mine[f"{f}_alert"].sum()
+
+
 def test_retraining_registers_activates_and_reports_failures(spark):
     from flowguard.operators import retrain
     from flowguard.session import scratch_path
