@@ -37,14 +37,17 @@ _SIGNS = re.escape("".join(LOOKS_LIKE))
 _LETTER = r"[^\W\d_]"
 _ANY = rf"(?:{_LETTER}|[{_SIGNS}])"
 WORDS = re.compile(rf"{_LETTER}+")
-#: A sign before a letter: signs that only follow a word are punctuation.
-_SIGN = re.compile(rf"[{_SIGNS}](?={_LETTER})")
-#: Three or more single letters or signs, each set apart by a space, or pieces of up to three set apart by other marks;
-#: each with a quicker test that comes first.
-_SPACED = re.compile(rf"(?<!\S){_ANY}(?: {_ANY}){{2,}}(?!\S)")
-_SPACED_HERE = re.compile(r" \S \S \S(?!\S)")
-_MARKED = re.compile(rf"(?<![\w{_SIGNS}.*_-]){_ANY}{{1,3}}(?:[.*_-]{_ANY}{{1,2}}){{2,}}(?![\w{_SIGNS}])")
-_MARKED_HERE = re.compile(rf"[.*_-]{_ANY}{{1,2}}[.*_-]")
+#: Marks that set letters apart.
+_MARKS = r"[.*_,;:/\\~=^#·-]"
+#: A sign before or behind a letter. Signs that end a word may be punctuation: the decoder weighs both.
+_SIGN = re.compile(rf"[{_SIGNS}](?={_LETTER})|(?<={_LETTER})[{_SIGNS}]")
+#: Three or more single letters or signs, each set apart by white space, or pieces of up to three set apart by other
+#: marks; each with a quicker test that comes first. A stretch ends where no letter or digit follows.
+_SPACED = re.compile(rf"(?<![\w'’{_SIGNS}]){_ANY}(?:\s+{_ANY}){{2,}}(?!\w)")
+_SPACED_HERE = re.compile(r"\s\S\s+\S(?!\w)")
+_MARKED = re.compile(rf"(?<![\w{_SIGNS}.*_-]){_ANY}{{1,3}}(?:{_MARKS}{_ANY}{{1,2}}){{2,}}[{_SIGNS}]*(?!\w)")
+_MARKED_HERE = re.compile(rf"{_MARKS}{_ANY}{{1,2}}{_MARKS}")
+_SPACE = re.compile(r"\s+")
 _LONGEST = 256
 _LETTERS_OF_MODEL = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß"
 
@@ -98,17 +101,22 @@ class CharacterModel:
 
 _END = " "  # an option that ends the word
 _SUBSTITUTED, _DROPPED, _JOINED, _SPLIT = -1.0, -0.5, -0.5, -2.0
+#: A sign at the end that is no letter: `!` ends many words, the others few.
+_PUNCTUATION, _STRAY = -0.5, -4.0
 
 
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """For each character its options: what it stands for (a letter, nothing, a word's end) and the channel's log cost."""
-    out = []
+    out, at, tail = [], 0, len(stretch.rstrip("".join(LOOKS_LIKE)))
     for c, run in groupby(stretch):
         n = len(list(run))
+        at += n
         if not (c.isalpha() or c in LOOKS_LIKE):
             out += [[("", _JOINED), (_END, _SPLIT)]] * n
             continue
         keep = [(c, 0.0)] if c.isalpha() else [(x, _SUBSTITUTED) for x in LOOKS_LIKE[c]]
+        if at > tail:  # signs that end the stretch
+            keep.append(("", _PUNCTUATION if c == "!" else _STRAY))
         out += [keep] * min(n, 2) if n < 3 else [keep, [*keep, ("", _DROPPED)]]  # what is left of a run adds nothing
     return out
 
@@ -180,11 +188,11 @@ class Restorer:
                     start -= 1
                 while end < len(low) and (low[end].isalpha() or low[end] in LOOKS_LIKE):
                     end += 1
-                words.update(self.decode(low[start:end].rstrip("!|$@+€£")))
+                words.update(self.decode(low[start:end]))
         for here, pattern in ((_SPACED_HERE, _SPACED), (_MARKED_HERE, _MARKED)):
             if here.search(" " + low):
                 for m in pattern.finditer(low):
-                    words.update(self.decode(m[0]))
+                    words.update(self.decode(_SPACE.sub(" ", m[0])))
         return words
 
 

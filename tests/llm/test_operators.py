@@ -490,6 +490,21 @@ def test_disguises_are_undone():
     assert "idiot" in restorer.words("a " * 300_000 + "1d10t " + "0a" * 300_000)
 
 
+def test_disguises_at_the_end_of_words_and_sentences():
+    counts = np.zeros(language_id.BUCKETS, np.int64)
+    words = ["idiot", "moron", "scum", "ass", "trash", "stupid", "clown", "the", "and", "you", "are", "house", "river"] * 50
+    for g in language_id.trigrams([" ".join(words)])[0]:
+        counts[g] += 1
+    restorer = toxicity.Restorer(toxicity.CharacterModel(counts))
+    hidden = {"s c u m": "scum", "i d i o t": "idiot", "t r a s h": "trash", "s  c  u  m": "scum", "i\td\ti\to\tt": "idiot", "t\nr\na\ns\nh": "trash", "m.o.r.o.n": "moron", "m/o/r/o/n": "moron",
+              "st*u*p*i*d": "stupid", "1d10t": "idiot", "idio7": "idiot", "idio+": "idiot", "a$$": "ass", "tr@sh": "trash", "clooooown": "clown", "i d i o 7": "idiot"}
+    for text, word in hidden.items():
+        for end in ("", ".", "!", "!!!", "?", ",", ")", '"', "...", " and", "\n"):
+            for start in ("", "you are ", '"', "("):
+                assert word in restorer.words(start + text + end), (start, text, end)
+    assert restorer.words("the house! and the river!!") == {"the", "house", "and", "river"}
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op8_toxicity"](spark, sf).toPandas()
