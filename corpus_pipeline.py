@@ -28,7 +28,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"), one_text=True)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

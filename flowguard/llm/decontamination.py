@@ -8,7 +8,8 @@
 * Retrieval: all items that score at least the threshold. Words that few items have are added up first, for all passages
   of a block of documents at once; an item can only reach the threshold if these and the most that its other words could
   add do (an upper bound per item). Passages with such an item are then searched by block-max WAND, exactly.
-* Verification: word trigrams of the item's question and of its answer must be found in the passage.
+* Verification: word trigrams of the item's question and of its answer must be found in the passage; of an item that is
+  one text, else those of the whole item.
 
 The index holds at most `MOST_ITEMS` items, the bound of its broadcast; more items are taken in several rounds.
 """
@@ -60,6 +61,7 @@ class Item:
     id: object
     question: frozenset
     answer: frozenset
+    whole: frozenset
 
 
 class Index:
@@ -67,7 +69,7 @@ class Index:
     how many of all have each word."""
 
     def __init__(self, items: list[tuple[object, list[str], list[str]]], n_all: int, mean_words: float, having: dict[str, int]):
-        self.items = [Item(i, frozenset(ngrams(q)), frozenset(ngrams(a))) for i, q, a in items]
+        self.items = [Item(i, frozenset(ngrams(q)), frozenset(ngrams(a)), frozenset(ngrams(q + a))) for i, q, a in items]
         self.longest = max((len(q) + len(a) for _, q, a in items), default=0)
         idf = {t: float(np.log(1 + (n_all - n + 0.5) / (n + 0.5))) for t, n in having.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
@@ -153,9 +155,9 @@ class Index:
                 cursors[: p + 1] = [c for c in cursors[: p + 1] if c[0] >= pivot or forward(c, pivot)]
         return found
 
-    def leaks(self, texts: list[str], threshold: float, overlap: float) -> list[list[tuple[object, float, float, float]]]:
+    def leaks(self, texts: list[str], threshold: float, overlap: float, one_text: bool = False) -> list[list[tuple[object, float, float, float]]]:
         """For each text of a block the items found: id, score, overlap of the question and of the answer, each from the
-        passage where the lesser overlap is best."""
+        passage where the lesser overlap is best. Of items that are `one_text`, the overlap of the whole is enough."""
         step = max(64, self.longest)
         split = [words(t) for t in texts]
         get = self.vocabulary.get
@@ -180,7 +182,7 @@ class Index:
                     item = self.items[k]
                     q = len(item.question & grams) / len(item.question) if item.question else 1.0
                     a = len(item.answer & grams) / len(item.answer)
-                    if q >= overlap and a >= overlap:
+                    if q >= overlap and a >= overlap or one_text and len(item.whole & grams) >= overlap * len(item.whole):
                         out[d].append((item.id, score, q, a))
         best = []
         for found in out:
@@ -215,12 +217,13 @@ def _blocks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, li
         yield part, [t or "" for t in part.column(at).to_pylist()]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, one_text: bool = False) -> DataFrame:
     """A row for each row of `docs` and item that leaked into it: id_col, item_col, score, question_overlap and
     answer_overlap.
 
     An item leaked if some passage scores at least `threshold` with it and holds at least `overlap` of the word trigrams
-    of its question and of its answer. Defined cases: null or empty texts hold no item; items with a null id, a null
+    of its question and of its answer. `one_text` says that items are one text, with no answer of their own: then that
+    share of the trigrams of the whole item is enough as well. Defined cases: null or empty texts hold no item; items with a null id, a null
     text or fewer than LEAST_WORDS words match nothing; of items alike each is reported; null ids of documents stay
     null; repeated rows are each reported; empty tables give an empty table; other columns are ignored. Whole texts are
     searched.
@@ -235,7 +238,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in _blocks(batch, 1):
-                    found = [[{"item": str(i), "score": s, "q": q, "a": a} for i, s, q, a in x] for x in sent.value.leaks(texts, threshold, overlap)]
+                    found = [[{"item": str(i), "score": s, "q": q, "a": a} for i, s, q, a in x] for x in sent.value.leaks(texts, threshold, overlap, one_text)]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, arrow_type)], names=["__id", "found"])
 
         leaks = plain.mapInArrow(run, f"__id {id_type}, found array<struct<item: string, score: double, q: double, a: double>>")
@@ -246,7 +249,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out.select(F.col("__id").alias(id_col), F.col("x.item").cast(item_type).alias(item_col), "x.score", F.col("x.q").alias("question_overlap"), F.col("x.a").alias("answer_overlap"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, one_text: bool = False) -> DataFrame:
     """The rows of `docs` into which no item leaked, with their columns as they are; cases are those of find_leaks."""
     names = bounded(docs).columns
     at = names.index(text_col)
@@ -256,7 +259,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in _blocks(batch, at):
-                    yield part.filter(pa.array([not x for x in sent.value.leaks(texts, threshold, overlap)], pa.bool_()))
+                    yield part.filter(pa.array([not x for x in sent.value.leaks(texts, threshold, overlap, one_text)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

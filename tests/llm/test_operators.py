@@ -388,6 +388,17 @@ def test_leaks_of_odd_rows(spark, odd, nothing, leaky):
     assert decontamination.find_leaks(odd, none).count() == 0 and decontamination.keep_clean(odd, none).count() == odd.count()
 
 
+def test_truncated_and_edited_copies_of_one_text_leak(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    short = " ".join(f"term{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    texts = [prose(50, 1) + " " + " ".join(item.split()[:28]) + " " + prose(50, 2), prose(20, 3) + " " + short.replace("term13", "changed"), prose(20, 4) + " " + " ".join(item.split()[:15])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows_of(decontamination.find_leaks(docs, bench, one_text=True), "doc_id", "item_id") == [(0, 1), (1, 2)]
+    assert rows_of(decontamination.keep_clean(docs, bench, one_text=True), "doc_id") == [(2,)]
+    assert decontamination.find_leaks(docs, bench).count() == 0  # items with an answer of their own
+
+
 def test_leak_query_finds_verbatim_items(spark):
     sf = "/root/testdata/sf0.01"
     d, b = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/benchmark.parquet")
