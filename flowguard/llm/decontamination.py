@@ -10,6 +10,7 @@
   add do (an upper bound per item). Passages with such an item are then searched by block-max WAND, exactly.
 * Verification: word trigrams of the item's question and of its answer must be found in the passage; of an item that is
   one text, else those of the whole item.
+* Items of fewer than `LEAST_WORDS` words have too few trigrams: they are looked up as whole sequences of words.
 
 The index holds at most `MOST_ITEMS` items, the bound of its broadcast; more items are taken in several rounds.
 """
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from flowguard.llm.common import bounded, map_text, materialize
 
-WORDS = re.compile(r"[^\W_]+")
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han): each character is a word.
+_UNSPACED = r"\u0e01-\u0e4e\u0e81-\u0ecd\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[^\W_{_UNSPACED}]+|[{_UNSPACED}]")
 MOST_ITEMS = 50_000
-#: Items with fewer words can't be told from chance and are left out.
+#: Items with fewer words are matched as whole sequences.
 LEAST_WORDS = 5
 THRESHOLD = 0.5
 OVERLAP = 0.6
@@ -62,14 +65,19 @@ class Item:
     question: frozenset
     answer: frozenset
     whole: frozenset
+    #: Words to a run of the question and of the answer: three, or all of a shorter part.
+    runs: tuple[int, int]
 
 
 class Index:
     """Items as (id, words of the question, words of the answer), with the number of all items, their mean length and
-    how many of all have each word."""
+    how many of all have each word; `short` are those that are looked up as whole sequences."""
 
-    def __init__(self, items: list[tuple[object, list[str], list[str]]], n_all: int, mean_words: float, having: dict[str, int]):
-        self.items = [Item(i, frozenset(ngrams(q)), frozenset(ngrams(a)), frozenset(ngrams(q + a))) for i, q, a in items]
+    def __init__(self, items: list[tuple[object, list[str], list[str]]], n_all: int, mean_words: float, having: dict[str, int], short: list[tuple[object, list[str]]] = ()):
+        self.items = [Item(i, frozenset(ngrams(q)), frozenset(ngrams(a)), frozenset(ngrams(q + a)), (min(3, len(q)), min(3, len(a)))) for i, q, a in items]
+        self.short: dict[int, dict[tuple[str, ...], list[object]]] = {}
+        for i, w in short:
+            self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append(i)
         self.longest = max((len(q) + len(a) for _, q, a in items), default=0)
         idf = {t: float(np.log(1 + (n_all - n + 0.5) / (n + 0.5))) for t, n in having.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
@@ -155,6 +163,10 @@ class Index:
                 cursors[: p + 1] = [c for c in cursors[: p + 1] if c[0] >= pivot or forward(c, pivot)]
         return found
 
+    def sequences(self, w: list[str]) -> list[tuple[object, float, float, float]]:
+        """The short items whose words stand in a row in a text."""
+        return [(i, 1.0, 1.0, 1.0) for n, known in self.short.items() for g in ngrams(w, n) & known.keys() for i in known[g]]
+
     def leaks(self, texts: list[str], threshold: float, overlap: float, one_text: bool = False) -> list[list[tuple[object, float, float, float]]]:
         """For each text of a block the items found: id, score, overlap of the question and of the answer, each from the
         passage where the lesser overlap is best. Of items that are `one_text`, the overlap of the whole is enough."""
@@ -169,20 +181,19 @@ class Index:
         known = term >= 0
         chunk, term = chunk[known], term[known]
         earlier = np.isin(chunk, first, invert=True)  # words in the second half of the passage before
-        hopeful = self.hopeful(np.concatenate([chunk, chunk[earlier] - 1]), np.concatenate([term, term[earlier]]), int(n.sum()), threshold)
-        out: list[list[tuple[object, float, float, float]]] = [[] for _ in texts]
+        hopeful = np.zeros(0, bool) if not self.items else self.hopeful(np.concatenate([chunk, chunk[earlier] - 1]), np.concatenate([term, term[earlier]]), int(n.sum()), threshold)
+        out: list[list[tuple[object, float, float, float]]] = [self.sequences(ws) for ws in split]
         for p in np.flatnonzero(hopeful):
             d = int(np.searchsorted(first, p, "right") - 1)
             at = int(p - first[d]) * step
             own = {int(t) for t in terms[d][at : at + 2 * step] if t >= 0}
             got = self.search(sorted(own), threshold)
             if got:
-                grams = ngrams(split[d][at : at + 2 * step])
+                grams = {n: ngrams(split[d][at : at + 2 * step], n) for n in {3}.union(*(self.items[k].runs for k, _ in got)) if n}
                 for k, score in got:
                     item = self.items[k]
-                    q = len(item.question & grams) / len(item.question) if item.question else 1.0
-                    a = len(item.answer & grams) / len(item.answer)
-                    if q >= overlap and a >= overlap or one_text and len(item.whole & grams) >= overlap * len(item.whole):
+                    q, a = (len(part & grams[n]) / len(part) if part else 1.0 for part, n in zip((item.question, item.answer), item.runs, strict=True))
+                    if q >= overlap and a >= overlap or one_text and len(item.whole & grams[3]) >= overlap * len(item.whole):
                         out[d].append((item.id, score, q, a))
         best = []
         for found in out:
@@ -198,16 +209,18 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", m
     """Indexes of at most `most` items each, with common statistics over all of them."""
     plain = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = map_text(plain, ["id"], "text", lambda texts: [[words(t) for t in texts]], [("words", pa.list_(pa.string()), "array<string>")])
-    rows = materialize(rows.where(F.size("words") >= LEAST_WORDS).withColumn("key", F.xxhash64("id", "words")), "benchmark-items")
-    n_all, mean = rows.agg(F.count("*"), F.avg(F.size("words"))).first()
-    having = materialize(rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count(), "benchmark-words")
-    out, rounds = [], -(-n_all // most)
+    rows = materialize(rows.where(F.size("words") > 0).withColumn("key", F.xxhash64("id", "words")), "benchmark-items")
+    long = rows.where(F.size("words") >= LEAST_WORDS)
+    n_all, mean = long.agg(F.count("*"), F.avg(F.size("words"))).first()
+    having = materialize(long.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count(), "benchmark-words")
+    out, rounds = [], -(-rows.count() // most)
     for i in range(rounds):
         part = rows.where(F.pmod("key", F.lit(rounds)) == i)
         own = part.select(F.explode(F.array_distinct("words")).alias("word")).distinct().join(having, "word")
         found = sorted(((r["id"], r["words"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))
         if found:
-            out.append(Index([(k, *split_item(w)) for k, w in found], n_all, mean, {r["word"]: r["count"] for r in own.collect()}))
+            items, short = [x for x in found if len(x[1]) >= LEAST_WORDS], [x for x in found if len(x[1]) < LEAST_WORDS]
+            out.append(Index([(k, *split_item(w)) for k, w in items], n_all, mean, {r["word"]: r["count"] for r in own.collect()}, short))
     return out
 
 
@@ -223,8 +236,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     An item leaked if some passage scores at least `threshold` with it and holds at least `overlap` of the word trigrams
     of its question and of its answer. `one_text` says that items are one text, with no answer of their own: then that
-    share of the trigrams of the whole item is enough as well. Defined cases: null or empty texts hold no item; items with a null id, a null
-    text or fewer than LEAST_WORDS words match nothing; of items alike each is reported; null ids of documents stay
+    share of the trigrams of the whole item is enough as well. Defined cases: null or empty texts hold no item; items with a null id or text,
+    or without a word, match nothing; items of fewer than LEAST_WORDS words leaked where their words stand in a row (score
+    and overlaps 1); of items alike each is reported; null ids of documents stay
     null; repeated rows are each reported; empty tables give an empty table; other columns are ignored. Whole texts are
     searched.
     """

@@ -399,6 +399,19 @@ def test_truncated_and_edited_copies_of_one_text_leak(spark):
     assert decontamination.find_leaks(docs, bench).count() == 0  # items with an answer of their own
 
 
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_short_items_and_unspaced_scripts_leak(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination.indexes, "__defaults__", ("item_id", "text", most))
+    items = [(1, "Quokka zebu, ibex!"), (2, "five odd words quite alone"), (3, "日本語の文章を漏らした"), (4, "—"), (5, None)]
+    texts = ["see quokka ZEBU ibex here", "quokka ibex zebu", prose(90, 1) + " five odd words quite alone " + prose(9, 2), "ここに日本語の文章を漏らしたものがある", "日本", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for some in (items, items[:1]):
+        bench = spark.createDataFrame(some, "item_id long, text string")
+        want = [x for x in [(0, 1), (2, 2), (3, 3)] if x[1] <= len(some)]
+        assert rows_of(decontamination.find_leaks(docs, bench), "doc_id", "item_id") == want
+        assert rows_of(decontamination.keep_clean(docs, bench), "doc_id") == [(i,) for i in range(7) if i not in {d for d, _ in want}]
+
+
 def test_leak_query_finds_verbatim_items(spark):
     sf = "/root/testdata/sf0.01"
     d, b = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/benchmark.parquet")
