@@ -29,6 +29,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL_TAG = r"(?is)<link\s[^>]*rel\s*=\s*[\"']?canonical[^>]*>"
 CANONICAL_URL = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TAG = r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>"
+#: An ampersand as attributes write it.
+AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
 REFRESH_URL = r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -64,13 +66,13 @@ def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(url, target): a row for each page with a canonical link and for each with a meta refresh. Targets are absolute,
-    or made so from the page's host and folder."""
+    or made so from the page's host and folder; written-out ampersands in them are read as such."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
     found = F.array(
         F.regexp_extract(F.regexp_extract(html, CANONICAL_TAG, 0), CANONICAL_URL, 1),
         F.regexp_extract(F.regexp_extract(html, REFRESH_TAG, 0), REFRESH_URL, 1),
     )
-    to = F.col("to")
+    to = F.regexp_replace(F.col("to"), AMPERSAND, "&")
     absolute = (
         F.when(F.instr(to, "://") > 0, to)
         .when(to.startswith("//"), F.concat(F.lit("http:"), to))

@@ -498,6 +498,17 @@ def test_url_aliases(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_targets_with_written_out_ampersands(spark):
+    blocked = "http://c.net/es/p?a=1&b=2"
+    pages = [(9, blocked, None)] + [(i, f"http://h{i}.org/", f'<link rel=canonical href="{blocked.replace("&", amp)}">') for i, amp in enumerate(("&", "&amp;", "&AMP;", "&#38;", "&#x26;", "&#038;"))]
+    pages += [(10, "http://i.org/p?a=1&b=2", '<meta http-equiv=refresh content="0; url=http://h1.org/">'), (11, "http://j.org/", "<link rel=canonical href='http://i.org/p?a=1&amp;b=2'>"), (12, "http://k.org/", "<link rel=canonical href='/p?x&amp;amp;y'>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df).collect()}
+    assert got == {**dict.fromkeys([*range(6), 9, 10, 11], "block"), 12: "allow"}
+    targets = {r["url"]: r["target"] for r in url_filter.link_edges(df).collect()}
+    assert targets["http://h1.org/"] == blocked and targets["http://k.org/"] == "http://k.org/p?x&amp;y"
+
+
 # --- 8 toxicity -----------------------------------------------------------------------------------------------------
 
 
