@@ -129,6 +129,26 @@ def test_secret_masks(spark, odd, nothing):
     assert secret_scan.scan(nothing).count() == 0 and secret_scan.redact(nothing).count() == 0
 
 
+def test_whole_keys_and_long_logins_are_masked(spark):
+    body = "\n".join("MIIEow" + c * 58 for c in "abcdef") + "\nQmFz=="
+    masked = {}
+    for name in ("RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        for b in (body, body.replace("\n", "\r\n"), body.replace("\n", "\\n"), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + body, "Version: X 2\n\n" + body + "\n=aB3d"):
+            line = "\\n" if "\\n" in b else "\n"
+            masked["a " + f"-----BEGIN {name}-----{line}{b}{line}-----END {name}-----" + " b"] = "a [SECRET] b"
+            masked["a " + f"-----BEGIN {name}-----{line}{b}\nthe text goes on"] = "a [SECRET]\nthe text goes on"
+    cut = "-----BEGIN RSA PRIVATE KEY-----\n" + body[:200]
+    masked[cut + "\n-----BEGIN PRIVATE KEY-----\n" + body + "\n-----END PRIVATE KEY-----"] = "[SECRET]\n[SECRET]"
+    masked["the line -----BEGIN RSA PRIVATE KEY----- begins a key"] = "the line [SECRET] begins a key"
+    masked["-----BEGIN RSA PRIVATE KEY-----\nNote: plain\nwords\n"] = "[SECRET]\nNote: plain\nwords\n"
+    masked["redis" + "://:password@host"] = "redis[SECRET]host"
+    masked["x://" + "u" * 90 + ":" + "p" * 200 + "@host"] = "x[SECRET]host"
+    df = spark.createDataFrame(list(enumerate(masked)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert [got[i] for i in range(len(masked))] == list(masked.values())
+    assert secret_scan.find_spans(["-----BEGIN RSA PRIVATE KEY----- " * 20_000])[0]  # no END: still in linear time
+
+
 def test_secret_query(spark):
     check_secrets(queries.QUERIES["op2_secret_scan"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect())
 
