@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontamination, html_text, language_id, mixing, ngram_join, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from flowguard.llm import decontamination, html_text, language_id, mixing, ngram_join, quality_rules, secret_scan, simhash, token_alignment, token_counts, toxicity, url_filter
 from flowguard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,16 @@ SELECT doc_id, source, size, source_size, target,
        size * epochs + CASE WHEN upto <= rest THEN size WHEN upto - alike < rest THEN floor((rest - (upto - alike)) * size / alike)::BIGINT ELSE 0 END AS taken
 FROM placed
 """
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf_dir, "documents"), a, b, keep_groups=False)
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
