@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontamination, html_text, language_id, mixing, ngram_join, quality_rules, secret_scan, simhash, token_alignment, token_counts, toxicity, url_filter
+from flowguard.llm import conversations, decontamination, html_text, language_id, mixing, ngram_join, quality_rules, secret_scan, simhash, token_alignment, token_counts, toxicity, url_filter
 from flowguard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), all_ids=rows, texts=False)
