@@ -46,7 +46,7 @@ KEY_LATENCY = "operational_high_latency"
 KEY_MODEL_F1 = "model_f1_macro_low"
 METADATA_MAX = 1200
 TEXT_MAX = 3900
-MESSAGE_HEADER = "[DISIA ALERTA]"
+MESSAGE_HEADER = "[alert]"
 
 
 def request_windows(requests: DataFrame, order: str = "seq", size: int = REQUEST_WINDOW, minimum: int = REQUEST_MIN_WINDOW,
@@ -222,20 +222,16 @@ def alert_channels(token: Column | None = None, chat: Column | None = None) -> C
     return F.array_compact(F.array(F.lit("local_history"), ext))
 
 
-def message(key: Column, category: Column, severity: Column, title: Column, detail: Column, ts: Column,
-            metadata_json: Column) -> Column:
-    """Alert text: header, fields, optional metadata (cut at 1,200 chars +
-    '\\n...'), whole text cut at 3,900 chars + '\\n...'."""
-    meta = F.when(F.length(metadata_json) > METADATA_MAX, F.concat(F.substring(metadata_json, 1, METADATA_MAX), F.lit("\n..."))).otherwise(metadata_json)
-    lines = F.concat_ws(
-        "\n",
-        F.lit(MESSAGE_HEADER),
-        F.concat(F.lit("Severidad: "), F.upper(severity)),
-        F.concat(F.lit("Clave: "), key),
-        F.concat(F.lit("Categoria: "), category),
-        F.concat(F.lit("Titulo: "), title),
-        F.concat(F.lit("Detalle: "), detail),
-        F.concat(F.lit("Timestamp: "), ts),
-    )
-    text = F.when(metadata_json.isNotNull() & (metadata_json != "{}"), F.concat(lines, F.lit("\n\nMetadata:\n"), meta)).otherwise(lines)
-    return F.when(F.length(text) > TEXT_MAX, F.concat(F.substring(text, 1, TEXT_MAX), F.lit("\n..."))).otherwise(text)
+def message(fields: dict[str, Column], metadata_json: Column, header: str = MESSAGE_HEADER, metadata_max: int = METADATA_MAX,
+            text_max: int = TEXT_MAX) -> Column:
+    """Alert text: a header line, a line ``name: value`` for each of ``fields``
+    in order (null values are left out) and, if there is any, the metadata,
+    cut at ``metadata_max`` characters; the text is cut at ``text_max``. What
+    is cut ends in a line with three dots."""
+
+    def cut(text: Column, most: int) -> Column:
+        return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n..."))).otherwise(text)
+
+    lines = F.concat_ws("\n", F.lit(header), *[F.concat(F.lit(f"{name}: "), value) for name, value in fields.items()])
+    meta = F.when(metadata_json != "{}", F.concat(F.lit("\n\nmetadata:\n"), cut(metadata_json, metadata_max)))
+    return cut(F.concat(lines, F.coalesce(meta, F.lit(""))), text_max)

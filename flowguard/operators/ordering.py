@@ -3,23 +3,26 @@
 ``Window.partitionBy(k).orderBy(o)`` with ``row_number`` moves every row of a
 key into one task; a key holding a third of the rows then becomes one task
 holding a third of the data, and a window without keys is a single task.
-Here rows are cut into range buckets over (keys, order) whose bounds come
-from a seeded sample and are compiled into the plan as literals, so a hot
-key spans many buckets and the placement is a pure function of the row
-(every consumer and every retried task sees the same buckets). Rows are
-ranked (or summed) inside their bucket with an ordinary window, and offsets
-from earlier buckets come from per-bucket count tables: one row per bucket
-(broadcast with that bound), or one row per (bucket, key), joined on both, so
-a hot key stays spread over its buckets.
+Here rows are range-partitioned over (keys, order) and sorted, so a hot key
+spans many partitions, and written once to the shared folder with their
+partition and their place in it: one shuffle, and every consumer and every
+retried task reads the same placement. The plan does not grow with the number
+of partitions. Offsets from earlier partitions come from count tables: one
+row per partition (broadcast with that bound), or one row per (partition,
+key), joined on both, so a hot key stays spread over its partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import scratch_path
+
+_PLACE_BITS = 33  # monotonically_increasing_id: partition above, place in the partition below
+
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -27,47 +30,17 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-SAMPLE_PER_BUCKET = 40  # sampled rows per range bucket when choosing the bounds
-SAMPLE_SEED = 17
-
-
-def _bucket_expr(row: Column, bounds: list[Column]) -> Column:
-    """Number of bounds <= row, by binary search over sorted literal bounds
-    (depth log2(len(bounds)))."""
-
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(row >= bounds[mid - 1], rec(mid, hi)).otherwise(rec(lo, mid - 1))
-
-    return rec(0, len(bounds))
-
-
-def range_buckets(df: DataFrame, sort_cols: Sequence[str], n_buckets: int, out: str = "_bkt") -> DataFrame:
-    """Add a range bucket that is a deterministic function of the row: bounds
-    are taken from a seeded sample once (about ``SAMPLE_PER_BUCKET`` rows for
-    each bucket reach the driver, whatever the rows of ``df``) and compiled into the plan as literals, so every evaluation of
-    the frame — any consumer, any retried task — places a row identically
-    (unlike a sampled range exchange, whose sample seed follows the RDD id)."""
-    cols = list(sort_cols)
-    types = dict(df.dtypes)
-    n = df.count()
-    if n == 0 or n_buckets <= 1:
-        return df.withColumn(out, F.lit(0))
-    frac = min(1.0, SAMPLE_PER_BUCKET * n_buckets / n)
-    samp = df.select(*cols).sample(False, frac, seed=SAMPLE_SEED).orderBy(*cols).collect()
-    if not samp:
-        return df.withColumn(out, F.lit(0))
-    picks, last = [], None
-    for i in range(1, n_buckets):
-        r = tuple(samp[min(len(samp) - 1, (i * len(samp)) // n_buckets)])
-        if r != last:
-            picks.append(r)
-            last = r
-    row = F.struct(*[F.col(c) for c in cols])
-    bounds = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for v, c in zip(r, cols)]) for r in picks]
-    return df.withColumn(out, _bucket_expr(row, bounds))
+def ranged(df: DataFrame, sort_cols: Sequence[str], n_partitions: int) -> DataFrame:
+    """``df`` sorted over ``n_partitions`` range partitions and written, with
+    ``_bkt`` (partition, in the order of the columns) and ``_place`` (0-based
+    place in it)."""
+    cols = [F.col(c) for c in sort_cols]
+    x = df.repartitionByRange(max(1, n_partitions), *cols).sortWithinPartitions(*cols)
+    path = scratch_path(df.sparkSession, "ranged")
+    x.withColumn("_mid", F.monotonically_increasing_id()).write.parquet(path)
+    back = df.sparkSession.read.schema(x.withColumn("_mid", F.lit(0).cast("long")).schema).parquet(path)
+    mask = F.lit((1 << _PLACE_BITS) - 1)
+    return back.withColumns({"_bkt": F.shiftright("_mid", _PLACE_BITS).cast("int"), "_place": F.col("_mid").bitwiseAND(mask)}).drop("_mid")
 
 
 def positions(
@@ -82,20 +55,13 @@ def positions(
     ascending ``order_by`` order (``order_by`` must make the order total), and
     optionally ``count_out`` = number of rows of its group.
 
-    Rows are cut into range buckets over (keys, order) — a hot key spans many
-    buckets — and ranked inside their bucket (a window per bucket, whose size
-    the bounds keep near rows/buckets). Offsets from earlier buckets, and the
-    totals of groups, come from a per-bucket count table: one row per bucket,
-    broadcast with that bound, or with keys one row per (bucket, key). No
-    Python, no materialisation: every consumer recomputes the same placement."""
+    Rows are range-partitioned, sorted and written (``ranged``); what is left
+    is to subtract a group's first place in a partition and to add its rows in
+    earlier partitions, from a table of counts: one row per partition, or with
+    keys one row per (partition, key)."""
     keys = list(partition_by)
-    order = list(order_by)
-    n_part = _num_partitions(df, num_partitions)
-    sort_cols = keys + order
-    x = range_buckets(df, sort_cols, n_part)
-    w = Window.partitionBy("_bkt", *keys).orderBy(*order)
-    x = x.withColumn("_lrank", F.row_number().over(w) - 1)
-    counts = x.groupBy("_bkt", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    x = ranged(df, keys + list(order_by), _num_partitions(df, num_partitions))
+    counts = x.groupBy("_bkt", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     if not keys:
         w_all = Window.orderBy("_bkt")
         per = counts.select(
@@ -103,21 +69,19 @@ def positions(
             F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
             F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
         )
-        res = x.join(F.broadcast(per), on="_bkt", how="left").withColumn(out, F.col("_lrank") + F.col("_off"))
+        res = x.join(F.broadcast(per), on="_bkt", how="left").withColumn(out, F.col("_place") + F.col("_off"))
         if count_out:
             res = res.withColumn(count_out, F.col("__total"))
-        return res.drop("_bkt", "_lrank", "_off", "__total")
+        return res.drop("_bkt", "_place", "_off", "__total")
     wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (bucket, key): joined on both, as the rows are already dealt
-    # for the rank window, so a hot key stays spread over its buckets
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wk), F.lit(0)))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wk), F.lit(0)) - F.col("_first"))
     if count_out:
         offsets = offsets.withColumn(count_out, F.sum("_n").over(Window.partitionBy(*keys)))
     here = F.col("_o._bkt") == F.col("_x._bkt")
     for k in keys:
         here = here & F.col(f"_o.{k}").eqNullSafe(F.col(f"_x.{k}"))
     res = x.alias("_x").join(offsets.alias("_o"), here)
-    cols = [F.col(f"_x.{c}") for c in df.columns] + [(F.col("_x._lrank") + F.col("_o._off")).alias(out)]
+    cols = [F.col(f"_x.{c}") for c in df.columns] + [(F.col("_x._place") + F.col("_o._off")).alias(out)]
     return res.select(*cols, *([F.col(f"_o.{count_out}")] if count_out else []))
 
 
@@ -131,12 +95,11 @@ def running_sums(
 ) -> DataFrame:
     """Add ``<prefix><v>`` = sum of ``v`` over rows up to and including this
     one within ``partition_by`` in ascending ``order_by`` order: a prefix sum
-    per range bucket (window) plus the sums of the same key in earlier
-    buckets (only a bucket's first key has any: one carry row per bucket)."""
+    per range partition (window) plus the sums of the same key in earlier
+    ones (only a partition's first key has any: one carry row per partition)."""
     keys = list(partition_by)
     vals = list(values)
-    n_part = _num_partitions(df, num_partitions)
-    x = range_buckets(df, keys + list(order_by), n_part)
+    x = ranged(df, keys + list(order_by), _num_partitions(df, num_partitions)).drop("_place")
     w = Window.partitionBy("_bkt", *keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({f"{out_prefix}{v}": F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).over(w) for v in vals})
     totals = x.groupBy("_bkt", *keys).agg(*[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"_t_{v}") for v in vals])

@@ -1,10 +1,11 @@
 """Splits and samples (P1–P4), deterministic from a seed.
 
-Order inside a stratum is ``md5(key || seed)`` then the key, the same in
-Spark and DuckDB. ``exact`` mode ranks rows per stratum with
-``ordering.positions`` (no stratum is sent to one task) and cuts at
-half-even rounded shares; ``hash`` mode needs no shuffle at all and keeps
-each row with probability = share (sizes are then approximate).
+Order inside a stratum is ``md5(key || seed)`` then the key (which is unique),
+the same in Spark and DuckDB. A split is a cut of that order at half-even
+rounded shares, so no row needs its rank: ``cut_points`` finds the last row on
+the near side of each cut from histograms of hash prefixes, which get finer
+until few rows are left around a cut, and rows are then compared with the cut.
+No row is shuffled or sorted, however many a stratum has.
 """
 
 from __future__ import annotations
@@ -15,25 +16,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import small
-from .ordering import positions
+
+DIGITS = 3  # hex digits of the hash that each histogram adds: 4,096 times as fine
+NEAR_CUT = 1_000  # rows around a cut that are listed
 
 
 def hash_order(key: str, seed: str | int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def cut_points(df: DataFrame, key: str, strata: str | None, ranks: DataFrame, seed: str | int = 42) -> DataFrame:
+    """The rows at given places of the strata's hash order. ``ranks`` has
+    (stratum, cut, rank), rank from 1 to the stratum's rows; the result adds
+    ``_h`` and ``_key`` of the row at that rank.
+
+    Each step counts rows by hash prefix below the prefixes in which cuts were
+    found so far (at most 4,096 counts for each cut), and ends when at most
+    ``NEAR_CUT`` rows share a cut's prefix; those are ranked. The tables of
+    cuts have one row per (stratum, cut), all else stays where it is."""
+    rows = df.select((F.col(strata) if strata else F.lit(0)).alias("stratum"), hash_order(key, seed).alias("_h"), F.col(key).alias("_key"))
+    cuts = ranks.select("stratum", "cut", F.col("rank").cast("long").alias("rank"), F.lit("").alias("prefix"))
+    spark = df.sparkSession
+    for digits in range(DIGITS, 33, DIGITS):
+        at = small(cuts.alias("c"))
+        near = rows.alias("r").join(at, F.col("r.stratum").eqNullSafe(F.col("c.stratum")) & F.col("r._h").startswith(F.col("c.prefix")))
+        counts = near.groupBy(F.col("c.stratum").alias("stratum"), "cut", "rank", F.substring("_h", 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("stratum", "cut").orderBy("prefix"))
+        found = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        listed = found.select("stratum", "cut", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "prefix", "n").collect()
+        cuts = spark.createDataFrame([(r["stratum"], r["cut"], r["rank"], r["prefix"]) for r in listed], cuts.schema)
+        if all(r["n"] <= NEAR_CUT for r in listed):
+            break
+    near = rows.alias("r").join(small(cuts.alias("c")), F.col("r.stratum").eqNullSafe(F.col("c.stratum")) & F.col("r._h").startswith(F.col("c.prefix")))
+    place = F.row_number().over(Window.partitionBy("c.stratum", "cut").orderBy("_h", "_key"))
+    return near.withColumn("_place", place).where(F.col("_place") == F.col("rank")).select(F.col("c.stratum").alias("stratum"), "cut", "_h", "_key")
+
+
+def _upto(df: DataFrame, key: str, strata: str | None, cuts: DataFrame, names: Sequence[str], seed: str | int) -> tuple[DataFrame, list[Column]]:
+    """``df`` with, per cut name, a condition that holds for rows up to the
+    cut of their stratum (false without one). The cuts are one row per stratum."""
+    here = F.struct("_h", "_key")
+    wide = cuts.groupBy("stratum").agg(*[F.max(F.when(F.col("cut") == n, here)).alias(f"_cut_{n}") for n in names])
+    x = df.withColumn("_at", F.struct(hash_order(key, seed).alias("_h"), F.col(key).alias("_key")))
+    joined = x.join(small(wide), (x[strata] if strata else F.lit(0)).eqNullSafe(wide["stratum"]), "left").drop("stratum")
+    return joined, [F.coalesce(F.col("_at") <= F.col(f"_cut_{n}"), F.lit(False)) for n in names]
+
+
 def stratified_split(df: DataFrame, key: str, strata: str, test: float = 0.15, val: float = 0.15,
-                     seed: str | int = 42, mode: str = "exact", out: str = "split") -> DataFrame:
+                     seed: str | int = 42, out: str = "split") -> DataFrame:
     """Add ``out`` ∈ {train, val, test}: the first round(n·test) rows of each
-    stratum in hash order are test, the next up to round(n·(test+val)) val."""
-    if mode == "hash":
-        u = (F.abs(F.xxhash64(F.col(key).cast("string"), F.lit(str(seed)))) % F.lit(1_000_000)).cast("double") / 1e6
-        return df.withColumn(out, F.when(u < test, "test").when(u < test + val, "val").otherwise("train"))
-    x = df.withColumn("_h", hash_order(key, seed))
-    x = positions(x, order_by=["_h", key], partition_by=[strata], out="_p", count_out="_n")
-    rn, n = F.col("_p") + 1, F.col("_n")
-    lab = F.when(rn <= F.bround(n * F.lit(test), 0), "test").when(rn <= F.bround(n * F.lit(test + val), 0), "val").otherwise("train")
-    return x.withColumn(out, lab).drop("_h", "_p", "_n")
+    stratum in hash order are test, the next up to round(n·(test+val)) val.
+    A null stratum is one of its own; an empty table stays empty."""
+    n = df.groupBy(F.col(strata).alias("stratum")).agg(F.count("*").alias("n"))
+    ends = F.array(F.struct(F.lit("test").alias("cut"), F.bround(F.col("n") * F.lit(test), 0).alias("rank")),
+                   F.struct(F.lit("val").alias("cut"), F.bround(F.col("n") * F.lit(test + val), 0).alias("rank")))
+    ranks = n.select("stratum", F.explode(ends).alias("e")).select("stratum", "e.*").where("rank > 0")
+    x, (is_test, is_val) = _upto(df, key, strata, cut_points(df, key, strata, ranks, seed), ["test", "val"], seed)
+    return x.withColumn(out, F.when(is_test, "test").when(is_val, "val").otherwise("train")).drop("_at", "_cut_test", "_cut_val")
 
 
 def stratum_quotas(df: DataFrame, strata: str, n: int) -> DataFrame:
@@ -55,16 +94,16 @@ def stratum_quotas(df: DataFrame, strata: str, n: int) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, strata: str, n: int, seed: str | int = 42) -> DataFrame:
     """Exactly min(n, rows) rows, stratified; the first ``quota`` rows of each
     stratum in hash order. The quota table has one row per stratum."""
-    q = stratum_quotas(df, strata, n)
-    x = positions(df.withColumn("_h", hash_order(key, seed)), order_by=["_h", key], partition_by=[strata], out="_p")
-    return x.join(small(q.select(strata, "quota")), strata).filter(F.col("_p") < F.col("quota")).drop("_h", "_p", "quota")
+    ranks = stratum_quotas(df, strata, n).select(F.col(strata).alias("stratum"), F.lit("end").alias("cut"), F.col("quota").alias("rank")).where("rank > 0")
+    x, (taken,) = _upto(df, key, strata, cut_points(df, key, strata, ranks, seed), ["end"], seed)
+    return x.filter(taken).drop("_at", "_cut_end")
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: str | int = 42) -> DataFrame:
-    """min(n, rows) rows without replacement: the first n in hash order,
-    positioned with a range shuffle (no single-task top-n)."""
-    x = positions(df.withColumn("_h", hash_order(key, seed)), order_by=["_h", key], out="_p")
-    return x.filter(F.col("_p") < n).drop("_h", "_p")
+    """min(n, rows) rows without replacement: the first n in hash order."""
+    ranks = df.agg(F.lit(0).alias("stratum"), F.lit("end").alias("cut"), F.least(F.count("*"), F.lit(n)).alias("rank")).where("rank > 0")
+    x, (taken,) = _upto(df, key, None, cut_points(df, key, None, ranks, seed), ["end"], seed)
+    return x.filter(taken).drop("_at", "_cut_end")
 
 
 def split_distribution(df: DataFrame, split: str, label: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import r6
 from ..operators import drift as dr
-from ..sources.fixtures import hash_order
+from ..operators.sampling import hash_order
 from . import prep_queries as pq
 from .registry import query
 from .sqlkit import CATEGORICAL, flows_sql

@@ -133,28 +133,33 @@ def q_alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.groupBy("category", "severity", "key").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-_TITLE = {al.KEY_ERROR_RATE: "Tasa elevada de errores HTTP", al.KEY_LATENCY: "Latencia elevada en la API"}
+_TITLE = {al.KEY_ERROR_RATE: "share of failed requests is high", al.KEY_LATENCY: "requests are slow"}
 
 
 def _msg_sql() -> str:
     title = f"case when key = '{al.KEY_ERROR_RATE}' then '{_TITLE[al.KEY_ERROR_RATE]}' else '{_TITLE[al.KEY_LATENCY]}' end"
     meta = """'{"window_size": ' || window_n::varchar || ', "errors": ' || errors::varchar || '}'"""
-    lines = f"""'{al.MESSAGE_HEADER}' || chr(10) || 'Severidad: WARNING' || chr(10) || 'Clave: ' || key || chr(10) || 'Categoria: operational' || chr(10)
-  || 'Titulo: ' || {title} || chr(10) || 'Detalle: window ' || window_n::varchar || chr(10) || 'Timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S')"""
+    lines = f"""'{al.MESSAGE_HEADER}' || chr(10) || 'severity: warning' || chr(10) || 'key: ' || key || chr(10) || 'category: operational' || chr(10)
+  || 'title: ' || {title} || chr(10) || 'detail: window ' || window_n::varchar || chr(10) || 'time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S')"""
     return _hsql(
         f"""select seq::bigint as seq, length(msg)::bigint as length, md5(msg) as digest from (
-  select a.seq, {lines} || chr(10) || chr(10) || 'Metadata:' || chr(10) || {meta} as msg from sent join act a using (key, seq)) x"""
+  select a.seq, {lines} || chr(10) || chr(10) || 'metadata:' || chr(10) || {meta} as msg from sent join act a using (key, seq)) x"""
     )
 
 
 @query("alert_message", group="L", oracle=_msg_sql())
 def q_alert_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sent = _history(spark, sf_dir)
-    title = F.when(F.col("key") == al.KEY_ERROR_RATE, _TITLE[al.KEY_ERROR_RATE]).otherwise(_TITLE[al.KEY_LATENCY])
+    fields = {
+        "severity": F.col("severity"),
+        "key": F.col("key"),
+        "category": F.col("category"),
+        "title": F.when(F.col("key") == al.KEY_ERROR_RATE, _TITLE[al.KEY_ERROR_RATE]).otherwise(_TITLE[al.KEY_LATENCY]),
+        "detail": F.concat(F.lit("window "), F.col("window_n").cast("string")),
+        "time": F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss"),
+    }
     meta = F.concat(F.lit('{"window_size": '), F.col("window_n").cast("string"), F.lit(', "errors": '), F.col("errors").cast("string"), F.lit("}"))
-    msg = al.message(F.col("key"), F.col("category"), F.col("severity"), title,
-                     F.concat(F.lit("window "), F.col("window_n").cast("string")),
-                     F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss"), meta)
+    msg = al.message(fields, meta)
     return sent.select(F.col("seq").cast("long").alias("seq"), F.length(msg).cast("long").alias("length"), F.md5(msg).alias("digest"))
 
 

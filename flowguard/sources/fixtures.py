@@ -4,10 +4,9 @@ Each view exists twice: as a Spark plan over the parquet tables and as DuckDB
 SQL text that the oracles put in a ``WITH`` clause. The Spark side is the one
 that runs at scale; the SQL side is the independent check.
 
-``flows`` is the labelled wide table. Its split needs a row number per
-stratum (``class3``) in hash order; with two strata a window would put half
-of the table in one task, so it goes through ``operators.ordering.positions``
-and the result is written once as a table partitioned by ``split`` (the
+``flows`` is the labelled wide table. Its split cuts each stratum (``class3``)
+in hash order (``operators.sampling``: no row is shuffled or ranked), and the
+result is written once as a table partitioned by ``split`` (the
 ``write_splits`` sink), which later reads prune by partition.
 """
 
@@ -18,7 +17,7 @@ import threading
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import positions
+from ..operators.sampling import stratified_split
 from ..session import prepare, scratch_path
 
 TABLES = (
@@ -101,27 +100,12 @@ def _flows_unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def split_label(rn: Column, n: Column, test: float = TEST_SHARE, val: float = VAL_SHARE) -> Column:
-    """1-based rank in the stratum → split, with half-even rounded cut-offs."""
-    return (
-        F.when(rn <= F.bround(n * F.lit(test), 0), "test")
-        .when(rn <= F.bround(n * F.lit(test + val), 0), "val")
-        .otherwise("train")
-    )
-
-
-def hash_order(key: str, seed: str = SPLIT_SEED) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
-
-
 def build_flows(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Flows plan (with ``split``); ``base`` is the joined, unsplit frame."""
-    df = (base if base is not None else _flows_unsplit(spark, sf_dir)).withColumn("_h", hash_order("sample_id"))
-    ranked = positions(df, order_by=["_h", "sample_id"], partition_by=["class3"], out="_rn0", count_out="_n")
-    cols = [c for c in df.columns if c != "_h"]
-    out = ranked.withColumn("split", split_label(F.col("_rn0") + 1, F.col("_n")))
-    order = ["sample_id", "class1", "class2", "class3", "split"] + [c for c in cols if c not in ("sample_id", "class1", "class2", "class3")]
-    return out.select(*order)
+    df = base if base is not None else _flows_unsplit(spark, sf_dir)
+    out = stratified_split(df, "sample_id", "class3", TEST_SHARE, VAL_SHARE, SPLIT_SEED)
+    first = ["sample_id", "class1", "class2", "class3", "split"]
+    return out.select(*first, *[c for c in df.columns if c not in first])
 
 
 _memo: dict[tuple, DataFrame] = {}
@@ -137,8 +121,8 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _lock:
         if key not in _memo:
             path = scratch_path(spark, "flows")
-            # the split reads the joined rows several times (bounds sample,
-            # counts, ranks): they are written once to the shared folder
+            # the split reads the joined rows several times (histograms of the
+            # hash, then the cut): they are written once to the shared folder
             joined = scratch_path(spark, "flows-joined")
             _flows_unsplit(spark, sf_dir).write.parquet(joined)
             build_flows(spark, sf_dir, spark.read.parquet(joined)).write.mode("overwrite").partitionBy("split").parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowguard.functions.expressions import parse_number
-from flowguard.operators import alerts, clean, drift, features, ordering, stats, windows
+from flowguard.operators import alerts, clean, drift, features, ordering, sampling, stats, windows
 
 
 def test_positions_global_and_keyed_match_row_number(spark):
@@ -39,16 +39,55 @@ def test_positions_many_keys_and_hot_key(spark):
     assert j.filter((F.col("pos") != F.col("rn")) | (F.col("n") != F.col("rc"))).count() == 0
 
 
-def test_range_buckets_are_monotone_and_spread_a_hot_key(spark):
+def test_ranges_are_monotone_and_spread_a_hot_key(spark):
     rows = [(i, "hot" if i % 3 else "cold", i % 50) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, k string, v long")
-    b = ordering.range_buckets(df, ["k", "v", "id"], 8)
+    b = ordering.ranged(df, ["k", "v", "id"], 8)
     ranges = b.groupBy("_bkt").agg(F.min(F.struct("k", "v", "id")).alias("lo"), F.max(F.struct("k", "v", "id")).alias("hi")).orderBy("_bkt").collect()
     for a, c in zip(ranges, ranges[1:]):
         assert tuple(a["hi"]) < tuple(c["lo"])
     assert b.filter(F.col("k") == "hot").select("_bkt").distinct().count() >= 4
 
 
+def test_positions_in_4000_partitions_keep_a_small_plan(spark):
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") * 7919 % 104729).alias("v"))
+    out = ordering.positions(df, ["v", "id"], out="pos", num_partitions=4000)
+    assert len(out._jdf.queryExecution().toString()) < 20_000
+    assert out.agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first() == (0, 19_999, 20_000)
+    w = Window.orderBy("v", "id")
+    assert out.join(df.withColumn("rn", F.row_number().over(w) - 1), "id").where("pos <> rn").isEmpty()
+
+
+def test_split_cuts_equal_ranks_and_shuffle_no_rows(spark):
+    rows = [(f"k{i}", None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 5}") for i in range(7000)]
+    df = spark.createDataFrame(rows, "id string, s string")
+    out = sampling.stratified_split(df, "id", "s", 0.15, 0.15, seed="7")
+    w = Window.partitionBy("s").orderBy(F.md5(F.concat("id", F.lit("7"))), "id")
+    n = F.count("*").over(Window.partitionBy("s"))
+    ref = df.select("id", F.row_number().over(w).alias("rn"), n.alias("n"))
+    want = F.when(F.col("rn") <= F.bround(F.col("n") * 0.15, 0), "test").when(F.col("rn") <= F.bround(F.col("n") * 0.3, 0), "val").otherwise("train")
+    joined = out.join(ref, "id").withColumn("want", want)
+    assert joined.count() == 7000 and joined.where("split <> want").isEmpty()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "RangePartitioning" not in plan.replace("rangepartitioning", "RangePartitioning")
+
+
+def test_samples_take_the_first_rows_in_hash_order(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("s"))
+    first = [r.id for r in df.orderBy(F.md5(F.concat("id", F.lit("42"))), "id").limit(700).collect()]
+    assert sorted(r.id for r in sampling.uniform_sample(df, "id", 700).collect()) == sorted(first)
+    assert sampling.uniform_sample(df, "id", 9999).count() == 5000
+    got = sampling.stratified_sample(df, "id", "s", 400)
+    assert {r.s: r["count"] for r in got.groupBy("s").count().collect()} == {"a": 100, "b": 300}
+    assert sampling.stratified_split(df.limit(0), "id", "s").count() == 0 == sampling.uniform_sample(df.limit(0), "id", 5).count()
+
+
+def test_profile_of_empty_and_single_features(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None), (5.0, None)], "a double, b double")
+    got = drift.profile_stats(df, ["a", "b"])
+    assert got["a"]["median"] == 3.0 and got["a"]["iqr"] == 2.0 and got["b"] == dict(mean=0.0, median=0.0, std=1.0, iqr=1.0, q_low=0.0, q_high=0.0)
+
+
 def test_running_sums_match_window(spark):
     rows = [(i, "x" if i % 3 else "y", float(i % 7)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, v double")
