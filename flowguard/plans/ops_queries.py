@@ -379,18 +379,25 @@ def q_retrain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "retrain_trigger",
     group="R",
     oracle=dq._dsql(
-        """select b::bigint as batch_id, reason from (
-  select b, case when b + 1 >= 1000 then 'batches' when active then 'drift' when elapsed >= 3600 then 'interval' end as reason from (
-    select pos // 4 as b, arg_max(sample_alert or window_alert, pos) as active,
-      epoch(max(ts)) - epoch((select min(ts) from al)) as elapsed from al group by 1) x) y
-where reason is not null order by b limit 1""",
+        """select b::bigint as batch_id, reason, batches::bigint as batches, seconds::bigint as seconds from fired""",
         dq._STREAM, dq._ROLL, dq._ALERT,
-    ),
+        """bt as (select pos // 4 as b, coalesce(arg_max(sample_alert or window_alert, pos), false) as active, epoch(max(ts)) as t from al group by 1)""",
+        """fired as (
+  select * from (select b, t, case when b + 1 >= 1000 then 'batches' when active then 'drift' else 'interval' end as reason, b + 1 as batches, t - t0 as seconds
+    from bt, (select min(t) as t0 from bt) x where b + 1 >= 1000 or active or t - t0 >= 3600 order by b limit 1) first_one
+  union all
+  select n.b, n.t, n.reason, n.b - f.b, n.t - f.t from fired f, lateral (
+    select b, t, case when b - f.b >= 1000 then 'batches' when active then 'drift' else 'interval' end as reason
+    from bt where b > f.b and (b - f.b >= 1000 or active or t - f.t >= 3600) order by b limit 1) n)""",
+    ).replace("with ", "with recursive ", 1),
 )
 def q_retrain_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trigger of the log, batches of four rows; the clock of a batch is
+    its last time."""
     r, _ = dq.rolled(spark, sf_dir)
-    b = r.withColumn("batch_id", F.floor(F.col("pos") / 4).cast("long"))
-    return rv.first_retrain_trigger(b, "batch_id", "pos", "ts")
+    b = r.groupBy(F.floor(F.col("pos") / 4).cast("long").alias("batch_id")).agg(
+        F.max_by("alert_active", "pos").alias("active"), F.max("ts").alias("ts"))
+    return rv.retrain_triggers(b, "batch_id", "ts", "active")
 
 
 @query(
