@@ -27,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,7 @@ from flowguard.llm.components import connected_components
 SAMPLE = 10_000
 MOST_FREQUENT = 500_000
 #: Rows of up to this number (24 bytes each) are broadcast to pick texts; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-#: Segment values that several sets have: up to this number (16 bytes each) are broadcast to the rows that have them; more
-#: are joined by a shuffle of those rows.
-BROADCAST_VALUES = 2_000_000
+BROADCAST_ROWS = 200_000
 #: Sets to a block when those around a pivot are compared.
 BLOCK = 2048
 _SPAN = 4
@@ -162,11 +160,10 @@ def frequent_segments(docs: DataFrame, size: int, percent: int) -> tuple[np.ndar
     return key[order], count[order]
 
 
-def sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def sets(docs: DataFrame, size: int, percent: int, sent: Broadcast) -> DataFrame:
     """By row: __id, text_hash, node (null for an empty set), n, rank, bits, keys, and of_first, how many of these are
     those of the first band. Keys are in the common order. The rank has the segments that no one in the sample shares
-    above 48 bits of the node. A task gives rank, bits and keys of a node once."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_segments(docs, size, percent))
+    above 48 bits of the node. A task gives rank, bits and keys of a node once. ``sent`` has `frequent_segments`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(size), set()
@@ -218,8 +215,7 @@ def around_pivots(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = keys.withColumn("place", F.when(F.col("place") < F.col("of_first"), F.col("place")).otherwise(F.col("place") - F.col("of_first")))
     pivots = keys.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
     pivots = materialize(pivots, "ngram-values")  # only values that several sets have: few beside all values
-    known = F.broadcast(pivots) if pivots.count() <= BROADCAST_VALUES else pivots
-    found = keys.select("key", "rank", "place").join(known, "key").where("rank <> first").groupBy("first", "rank").agg(F.min("place").alias("place"))
+    found = keys.select("key", "rank", "place").join(pivots, "key").where("rank <> first").groupBy("first", "rank").agg(F.min("place").alias("place"))
     found = found.join(nodes.select("rank", "node"), "rank").join(nodes.select(F.col("rank").alias("first"), F.col("node").alias("pivot")), "first")
     return found.select("pivot", "node", "place")
 
@@ -240,19 +236,28 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, distance long")
 
 
+#: Bytes of sketches in a block, if that is less than `BLOCK` sets.
+BLOCK_BYTES = 16 << 20
+
+
 def _blocks(members: DataFrame, name: str) -> DataFrame:
-    """Rows around each pivot dealt into blocks of about BLOCK: (pivot, name)."""
-    dealt = members.join(members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "pivot")
+    """Rows around each pivot dealt into blocks of about BLOCK or BLOCK_BYTES: (pivot, block, blocks, name)."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("bits")) / BLOCK_BYTES))
+    dealt = members.join(members.groupBy("pivot").agg(size.alias("blocks")), "pivot")
     one = F.struct("node", "part", "home", "place", "n", "bits")
-    return dealt.groupBy("pivot", F.pmod(F.xxhash64("node"), "blocks").alias("block")).agg(F.collect_list(one).alias(name)).drop("block")
+    return dealt.groupBy("pivot", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")).agg(F.collect_list(one).alias(name))
 
 
 def near_around(around: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of sets around the same pivot the pairs (a, b) in different components that sizes, places and sketches don't rule
-    out. One of each pair is in another component than the pivot."""
+    out. One of each pair is in another component than the pivot. Blocks meet by pivot and number of the block, so those
+    around one pivot are compared in many tasks."""
     members = around.withColumn("home", F.col("part") == F.col("pivot_part")).join(nodes.select("node", "n", "bits"), "node")
     members = members.join(around.where("part <> pivot_part").select("pivot").distinct(), "pivot", "left_semi")
-    pairs = _blocks(members.where("not home"), "xs").join(_blocks(members, "ys"), "pivot").select("xs", "ys")
+    ys = materialize(_blocks(members, "ys"), "ngram-blocks")
+    xs = _blocks(members.where("not home"), "xs").select("pivot", "xs").join(ys.select("pivot", "blocks").distinct(), "pivot")
+    xs = xs.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "xs")
+    pairs = xs.join(ys.select("pivot", "block", "ys"), ["pivot", "block"]).select("xs", "ys")
 
     def columns(block: pa.Array) -> tuple[dict[str, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
         """The columns of a block, and by length of the sketches: their rows, and the sketches as words."""
@@ -350,7 +355,9 @@ def node_components(rows: DataFrame, docs: DataFrame, size: int, percent: int) -
 
 def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """By row of (__id, __text): __id, text_hash, n and part, the component of its set (null for an empty set)."""
-    rows = materialize(sets(bounded(docs), size, percent), "ngram-sets")
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_segments(bounded(docs), size, percent))
+    rows = materialize(sets(docs, size, percent, sent), "ngram-sets")
+    sent.destroy()
     return _with_part(rows.select("__id", "text_hash", "node", "n"), node_components(rows, docs, size, percent), "node", "part").drop("node")
 
 

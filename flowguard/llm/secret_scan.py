@@ -44,12 +44,15 @@ BASE = (
     # Runs of 24 or more are the matches of [0-9a-f]+ that have 24 or more characters: both take whole runs.
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: What parts the lines of a key: white space, also written as an escape, and marks of quotes and lists around it.
-_BREAK = r"""(?:\s|\\[nrt]|[>"',+])+"""
+#: What parts the lines of a key: white space, also written as an escape, and marks of quotes and lists around it. Taken
+#: whole (atomic), as all repeats below are, so that a text is read in linear time whatever it repeats.
+_BREAK = r"""(?>(?:\s|\\[nrt]|[>"',+])+)"""
+#: The same with a line break in it: only behind one a header starts, as its value may hold anything else.
+_LINE = r"""(?>(?:[^\S\r\n]|\\t|[>"',+])*(?:[\r\n]|\\[nr])(?:\s|\\[nrt]|[>"',+])*)"""
 #: A key without its END line: header lines, then base64 lines, then what a last shorter line and a checksum hold.
 _CUT_KEY = (
-    rf"(?:(?:{_BREAK}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\r\n\\]*)*(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})+"
-    rf"(?:{_BREAK}=?[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:[\r\n\\\"']|\Z))){{0,2}})?"
+    rf"(?:(?>(?:{_LINE}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\r\n\\]*+)*+)(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+    rf"(?:{_BREAK}=?[A-Za-z0-9+/]++={{0,2}}+(?=\s*(?:[\r\n\\\"']|\Z))){{0,2}})?"
 )
 MORE = (
     # From BEGIN to the END line of the same name, or to the end of the base64 lines if that is missing.
@@ -58,7 +61,7 @@ MORE = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+"),
     Rule("url_login", r"://[^\s:/@]*:[^\s:/@]{3,}@"),
 )
 RULES = BASE + MORE

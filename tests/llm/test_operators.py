@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,6 +150,18 @@ def test_whole_keys_and_long_logins_are_masked(spark):
     assert secret_scan.find_spans(["-----BEGIN RSA PRIVATE KEY----- " * 20_000])[0]  # no END: still in linear time
 
 
+def test_every_rule_reads_repeats_in_linear_time():
+    begin = "-----BEGIN PRIVATE KEY-----"
+    repeats = [begin + x * 10_000 + "!" for x in (" Comment: x", "\nComment: x", "\\nComment: x", "+>", "\n", "\nABCDEFGHIJKLMNOPQRST", "PRIVATE KEY", "=")]
+    repeats += [x * 20_000 for x in (begin, "-----BEGIN ", "eyJ", "eyJ.", "eyJaaaaaaaa.", "://", "://a:", "token ", "password\"", "ghp_", "xoxa-", "AKIA", "sk_live_", "AIza")] + ["password" + " " * 100_000]
+    for rule in secret_scan.RULES:
+        for text in repeats:
+            start = time.time()
+            for _ in re.finditer(rule.pattern, text):
+                pass
+            assert time.time() - start < 1, (rule.kind, text[:40])
+
+
 def test_secret_query(spark):
     check_secrets(queries.QUERIES["op2_secret_scan"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect())
 
@@ -254,10 +267,10 @@ def near_copies(seed, n_bases, copies):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent", "sample", "values"), [(4, 85, 10_000, 2_000_000), (5, 80, 10_000, 0), (2, 60, 10_000, 2_000_000), (4, 85, 1, 0)])
-def test_ngram_groups_equal_all_pairs(spark, monkeypatch, k, percent, sample, values):
+@pytest.mark.parametrize(("k", "percent", "sample", "block"), [(4, 85, 10_000, 2048), (5, 80, 10_000, 2), (2, 60, 10_000, 2048), (4, 85, 1, 2)])
+def test_ngram_groups_equal_all_pairs(spark, monkeypatch, k, percent, sample, block):
     monkeypatch.setattr(ngram_join, "SAMPLE", sample)
-    monkeypatch.setattr(ngram_join, "BROADCAST_VALUES", values)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     texts = near_copies(k, 30, 14) + [None, "", " ", "a", "A", "a b", "b a"]
     ids = [None if i % 97 == 5 else (i * 7919) % 1000 for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
