@@ -15,12 +15,14 @@ its rule). Such places cut a text into units, which are encoded and aligned once
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,11 @@ CHUNK = 32_768
 HEAD_MAX = 200_000
 #: Fragments that one step of the tree reduction composes.
 FAN = 16
-_KNOWN = 300_000
+_KNOWN = 400_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_LATIN = re.compile("[\n -~\u00a1-\u024f]*")
+#: How byte-level vocabularies split texts (a fixed value).
+_BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _UNIT = re.compile(r"\s*\S+(?:(?:\s{2,}|[^\S\n ])\S+)*(?:\s+\Z)?")
 
 
@@ -65,44 +70,89 @@ class Encoders:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.quick = None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 2)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in t)
+        spec = json.loads(self.a.to_str())
+        merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in spec["model"]["merges"]]
+        splits = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if splits and spec["normalizer"] is None and merged == list(range(256, 256 + len(merged))):
+            import tiktoken
+
+            ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i < 256 + len(merged)}
+            self.quick = tiktoken.Encoding("a", pat_str=_BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        # ids as text with what follows them: for A , or | and for B , or ;
+        self.words = [b"%d%s" % (i, end) for v, ends in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for end in ends for i in range(len(v))]
         texts = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         if any(re.search("[^▁]▁", p) or "\n" in p for p in texts) or self.b.encode("\nx", out_type=str)[0] != "▁":
             raise ValueError(f"pieces of {b_path} cross the cuts between units")
 
-    def encode(self, found: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and of B of units; those of B without the space mark that the model puts before a newline."""
-        a = [e.ids for e in self.a.encode_batch_fast(found, add_special_tokens=False)]
+    def encode(self, found: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and of B of units; those of B without the space mark that the model puts before a newline. A vocabulary
+        whose ids are the ranks of its merges encodes Latin text several times as fast as ranks."""
+        a: list = [None] * len(found)
+        if self.quick:
+            a = [self.quick.encode_ordinary(u) if _LATIN.fullmatch(u) else None for u in found]
+        left = [i for i, x in enumerate(a) if x is None]
+        for i, e in zip(left, self.a.encode_batch_fast([found[i] for i in left], add_special_tokens=False), strict=True):
+            a[i] = e.ids
         b = self.b.encode([u[1:] if u[0] == " " else u for u in found], num_threads=1)
-        return ((x, y if u[0] == " " else y[1:]) for u, x, y in zip(found, a, b, strict=True))
-
-    def align(self, unit: str, a: list[int], b: list[int]) -> tuple[bytes, int, list[int]] | None:
-        """(groups as text, their number, a pair code per link) of a unit's tokens; None if their bytes aren't the unit's."""
-        x, y, raw = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b], unit.encode()
-        if b"".join(x) != raw or b"".join(y) != raw:
-            return None
-        i = j = from_a = from_b = 0
-        a_end, b_end = len(x[0]), len(y[0])
-        pairs, groups = [], []
-        while True:
-            pairs.append(a[i] << 20 | b[j])
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups).encode(), len(groups), pairs
-                from_a, from_b = i, j
-                a_end, b_end = a_end + len(x[i]), b_end + len(y[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(x[i])
-            else:
-                j += 1
-                b_end += len(y[j])
+        return a, [y if u[0] == " " else y[1:] for u, y in zip(found, b, strict=True)]
+
+    def _whole(self, unit: str, a: list[int], b: list[int]) -> bool:
+        raw = unit.encode()
+        return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def align(self, found: list[str]) -> Aligned:
+        """The units' tokens, aligned all at once: one after the other they are one text, in which units end groups."""
+        a, b = self.encode(found)
+        one = "".join(found).encode()
+        size = np.array([len(u.encode()) for u in found], np.int64)
+        fits = np.ones(len(found), bool)
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(v), np.int64) for v in (a, b))
+        of_a, of_b = (np.repeat(np.arange(len(found)), [len(x) for x in v]) for v in (a, b))
+        equal = b"".join(map(self.a_bytes.__getitem__, flat_a.tolist())) == one == b"".join(map(self.b_bytes.__getitem__, flat_b.tolist()))
+        for flat, of, sizes in ((flat_a, of_a, self.a_size), (flat_b, of_b, self.b_size)):
+            equal = equal and (np.bincount(of, sizes[flat], len(found)) == size).all()
+        if not equal:  # some unit's tokens aren't its bytes: it is left out
+            fits = np.array([self._whole(*x) for x in zip(found, a, b, strict=True)])
+            flat_a, flat_b, of_a, of_b = flat_a[fits[of_a]], flat_b[fits[of_b]], of_a[fits[of_a]], of_b[fits[of_b]]
+        end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        ends = np.union1d(end_a, end_b)
+        to_a, to_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.empty(len(flat_a) + len(flat_b), np.int64)
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        order[np.arange(len(flat_a)) + np.searchsorted(group_b, group_a)] = flat_a + n_a * last_a
+        order[np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * n_a + flat_b + n_b * last_b
+        words = list(map(self.words.__getitem__, order.tolist()))
+        n = len(found)
+        count_a, count_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
+        stops = np.cumsum(count_a + count_b).tolist()
+        groups = [b"".join(words[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        link_of = of_a[to_a] if len(ends) else np.zeros(0, np.int64)
+        counts = np.stack([count_a, count_b, np.bincount(of_a[last_a], minlength=n), np.bincount(link_of, minlength=n)], axis=1)
+        return Aligned(groups, counts, flat_a[to_a] << 20 | flat_b[to_b], link_of, fits)
+
+
+@dataclass
+class Aligned:
+    """Of some units: groups as text; n_a, n_b, n_groups, n_links; the pair code of each link and its unit; and which
+    units' tokens are their bytes (the others have nothing)."""
+
+    groups: list[bytes]
+    counts: np.ndarray
+    pairs: np.ndarray
+    link_of: np.ndarray
+    fits: np.ndarray
 
 
 @lru_cache(maxsize=2)
@@ -111,41 +161,52 @@ def encoders(a_path: str, b_path: str) -> Encoders:
 
 
 class Units:
-    """Units met by a task, by number: text of groups, counts, pairs. Forgotten when there are too many of them."""
+    """Units met by a task, by number: text of groups, counts, pairs that the head doesn't have. Without a head their
+    pairs are kept instead. Forgotten when there are too many of them."""
 
     def __init__(self, encode: Encoders, head: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.by, self.head = encode, head
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.groups, self.pairs, self.rest, self.bad = {}, [], [], {}, set()
-        self.counts = np.zeros((1024, 6), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum
+        self.index, self.groups, self.links, self.rest, self.bad = {}, [], [], {}, set()
+        self.counts = np.zeros((1 << 16, 6), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum
+
+    def full(self) -> bool:
+        return len(self.index) > _KNOWN
 
-    def learn(self, found: list[str]) -> None:
-        if len(self.index) > _KNOWN:
+    def learn(self, found: Iterable[str]) -> None:
+        if self.full():
             self.clear()
         fresh = [u for u in set(found) if u not in self.index]
-        for unit, (a, b) in zip(fresh, self.by.encode(fresh) if fresh else (), strict=True):
-            at = self.index[unit] = len(self.groups)
-            if at == len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            made = self.by.align(unit, a, b)
-            if made is None:
-                self.bad.add(at)
-            groups, n_groups, pairs = made or (b"", 0, [])
-            self.groups.append(groups)
-            self.pairs.append(pairs)
-            best = total = 0
-            if self.head is not None and pairs:
-                key, count, is_best = self.head
-                code, known = np.array(pairs, np.int64), np.zeros(len(pairs), bool)
-                if len(key):
-                    to = np.minimum(np.searchsorted(key, code), len(key) - 1)
-                    known = key[to] == code
-                    best, total = int(is_best[to[known]].sum()), int(count[to[known]].sum())
-                if not known.all():
-                    self.rest[at] = code[~known].tolist()
-            self.counts[at] = len(a), len(b), n_groups, len(pairs), best, total
+        if not fresh:
+            return
+        start, made = len(self.groups), self.by.align(fresh)
+        self.index.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        self.groups += made.groups
+        while start + len(fresh) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        rows = self.counts[start : start + len(fresh)]
+        rows[:, :4] = made.counts
+        self.bad.update((start + np.flatnonzero(~made.fits)).tolist())
+        if self.head is None:
+            self.links.append((made.pairs, made.link_of + start))
+            return
+        key, count, is_best = self.head
+        known = np.zeros(len(made.pairs), bool)
+        if len(key):
+            to = np.minimum(np.searchsorted(key, made.pairs), len(key) - 1)
+            known = key[to] == made.pairs
+            for column, values in ((4, is_best), (5, count)):
+                np.add.at(rows[:, column], made.link_of[known], values[to[known]].astype(np.int64))
+        for at, pair in zip((made.link_of[~known] + start).tolist(), made.pairs[~known].tolist(), strict=True):
+            self.rest.setdefault(at, []).append(pair)
+
+    def pair_sums(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs and how many links hold them, if units were seen so often."""
+        pairs, of = (np.concatenate([x[i] for x in self.links]) if self.links else np.zeros(0, np.int64) for i in (0, 1))
+        code, at = np.unique(pairs, return_inverse=True)
+        return code, np.bincount(at, seen[of], len(code)).astype(np.int64)
 
 
 # --- the monoid ------------------------------------------------------------------------------------------------------
@@ -172,6 +233,10 @@ def close(text: str, known: Units) -> Closed:
         return Closed()
     found = units(text)
     known.learn(found)
+    return _closed(found, known)
+
+
+def _closed(found: list[str], known: Units) -> Closed:
     at = list(map(known.index.__getitem__, found))
     rest = Counter()
     if known.rest and not known.rest.keys().isdisjoint(at):
@@ -261,29 +326,30 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     more. The pair code is a << 20 | b. Texts whose tokens differ from their bytes hold none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Units(encoders(a_path, b_path)), Counter()
+        known, seen = Units(encoders(a_path, b_path)), np.zeros(1 << 16)
 
         def flush() -> pa.RecordBatch:
-            code = Counter()
-            for unit, n in seen.items():
-                for p in known.pairs[known.index[unit]]:
-                    code[p] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(code), pa.int64()), pa.array(list(code.values()), pa.int64())], names=["pair", "n"])
+            code, n = known.pair_sums(seen)
+            known.clear()
+            seen[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(code[n > 0]), pa.array(n[n > 0])], names=["pair", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                if not (text := value.as_py()):
-                    continue
-                text = " " + text
-                found = units(text) if len(text) <= CHUNK else Counter(m.group() for m in _UNIT.finditer(text)) or [text]
-                if len(known.index) > _KNOWN // 2:
+            for at in range(0, batch.num_rows, 256):
+                texts = [" " + t for t in batch.column(0).slice(at, 256).to_pylist() if t]
+                # a long text as its distinct units and how often it has them
+                many = [units(t) if len(t) <= CHUNK else Counter(m.group() for m in _UNIT.finditer(t)) or [t] for t in texts]
+                if known.full():
                     yield flush()
-                    known.clear()
-                known.learn(found)
-                if known.bad and any(known.index[u] in known.bad for u in found):
-                    continue
-                seen.update(found)
+                known.learn(chain.from_iterable(many))
+                if len(known.groups) > len(seen):
+                    seen = np.concatenate([seen, np.zeros(len(known.groups))])
+                for found in many:
+                    of = np.fromiter(map(known.index.__getitem__, found), np.int64, len(found))
+                    if known.bad and not known.bad.isdisjoint(of.tolist()):
+                        continue
+                    n = np.fromiter(found.values(), np.int64, len(found)) if isinstance(found, Counter) else 1
+                    np.add.at(seen, of, n)
         yield flush()
 
     counted = docs.select("__text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
@@ -383,7 +449,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [close(" " + t, known) if t else Closed() for t in part.column(2).to_pylist()]
+                found = [units(" " + t) if t else [] for t in part.column(2).to_pylist()]
+                known.learn(chain.from_iterable(found))
+                made = [_closed(f, known) if f else Closed() for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_results(made, keep_groups)], names=["__row", "__id", *_RESULTS])
 
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "__id", "__text")

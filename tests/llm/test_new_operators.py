@@ -74,6 +74,15 @@ def test_alignment_equals_whole_texts_in_the_libraries(spark, chunk, head_max):
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in out.where("groups <> ''").collect())
 
 
+def test_quick_ids_equal_the_tokenizer_file():
+    enc = token_alignment.encoders(A, B)
+    r = random.Random(3)
+    letters = [chr(c) for c in (10, *range(32, 127), *range(0xA1, 0x250))] + [" "] * 60 + ["'s", "'ll", "12", "\n\n", "the"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 40))) for _ in range(3000)]
+    assert enc.quick and all(token_alignment._LATIN.fullmatch(t) for t in texts)
+    assert [enc.quick.encode_ordinary(t) for t in texts] == [e.ids for e in enc.a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_fragments_compose_associatively():
     r, known = random.Random(4), token_alignment.Units(token_alignment.encoders(A, B))
     for text in [" " + t for t in ODD_TEXTS if t] + [" " + prose(60, 6)]:
