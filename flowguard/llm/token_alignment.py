@@ -110,8 +110,9 @@ class Encoders:
         raw = unit.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
 
-    def align(self, found: list[str]) -> Aligned:
-        """The units' tokens, aligned all at once: one after the other they are one text, in which units end groups."""
+    def align(self, found: list[str], texts: bool = True) -> Aligned:
+        """The units' tokens, aligned all at once: one after the other they are one text, in which units end groups. Without
+        `texts` the groups aren't written out."""
         a, b = self.encode(found)
         one = "".join(found).encode()
         size = np.array([len(u.encode()) for u in found], np.int64)
@@ -125,24 +126,30 @@ class Encoders:
             fits = np.array([self._whole(*x) for x in zip(found, a, b, strict=True)])
             flat_a, flat_b, of_a, of_b = flat_a[fits[of_a]], flat_b[fits[of_b]], of_a[fits[of_a]], of_b[fits[of_b]]
         end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        ends = np.union1d(end_a, end_b)
+        last_a, last_b = _among(end_a, end_b), _among(end_b, end_a)
+        ends = np.sort(np.concatenate([end_a, end_b[~last_b]]), kind="stable")  # merges two sorted runs
         to_a, to_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
-        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-        order = np.empty(len(flat_a) + len(flat_b), np.int64)
-        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
-        order[np.arange(len(flat_a)) + np.searchsorted(group_b, group_a)] = flat_a + n_a * last_a
-        order[np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * n_a + flat_b + n_b * last_b
-        words = list(map(self.words.__getitem__, order.tolist()))
         n = len(found)
         count_a, count_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
-        stops = np.cumsum(count_a + count_b).tolist()
-        groups = [b"".join(words[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        groups = [b""] * n
+        if texts:
+            group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+            order = np.empty(len(flat_a) + len(flat_b), np.int64)
+            n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+            order[np.arange(len(flat_a)) + np.searchsorted(group_b, group_a)] = flat_a + n_a * last_a
+            order[np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * n_a + flat_b + n_b * last_b
+            words, stops = list(map(self.words.__getitem__, order.tolist())), np.cumsum(count_a + count_b).tolist()
+            groups = [b"".join(words[i:j])[:-1] for i, j in zip([0, *stops], stops)]
         link_of = of_a[to_a] if len(ends) else np.zeros(0, np.int64)
         counts = np.stack([count_a, count_b, np.bincount(of_a[last_a], minlength=n), np.bincount(link_of, minlength=n)], axis=1)
         return Aligned(groups, counts, flat_a[to_a] << 20 | flat_b[to_b], link_of, fits)
 
 
+def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the sorted numbers x are among the sorted numbers `of`."""
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+
+
 @dataclass
 class Aligned:
     """Of some units: groups as text; n_a, n_b, n_groups, n_links; the pair code of each link and its unit; and which
@@ -181,7 +188,7 @@ class Units:
         fresh = [u for u in set(found) if u not in self.index]
         if not fresh:
             return
-        start, made = len(self.groups), self.by.align(fresh)
+        start, made = len(self.groups), self.by.align(fresh, texts=self.head is not None)
         self.index.update(zip(fresh, range(start, start + len(fresh)), strict=True))
         self.groups += made.groups
         while start + len(fresh) > len(self.counts):
@@ -198,7 +205,7 @@ class Units:
             to = np.minimum(np.searchsorted(key, made.pairs), len(key) - 1)
             known = key[to] == made.pairs
             for column, values in ((4, is_best), (5, count)):
-                np.add.at(rows[:, column], made.link_of[known], values[to[known]].astype(np.int64))
+                rows[:, column] = np.bincount(made.link_of[known], values[to[known]], len(fresh)).astype(np.int64)
         for at, pair in zip((made.link_of[~known] + start).tolist(), made.pairs[~known].tolist(), strict=True):
             self.rest.setdefault(at, []).append(pair)
 

@@ -84,7 +84,7 @@ def test_quick_ids_equal_the_tokenizer_file():
 
 
 def test_fragments_compose_associatively():
-    r, known = random.Random(4), token_alignment.Units(token_alignment.encoders(A, B))
+    r, known = random.Random(4), token_alignment.Units(token_alignment.encoders(A, B), (np.zeros(0, np.int64),) * 3)
     for text in [" " + t for t in ODD_TEXTS if t] + [" " + prose(60, 6)]:
         want = token_alignment.whole(token_alignment.fragment(text, known), known)
         for _ in range(15):
