@@ -4,9 +4,10 @@ table (one row per column or pair) reaches the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,31 +20,30 @@ PCA_VARIANCE = 0.95
 PCA_TOP = 20
 
 
-def _stack(wide: DataFrame, names: Sequence[str], fields: Sequence[str], prefix: Sequence[str], out_names: Sequence[str]) -> DataFrame:
-    parts = []
-    for i, c in enumerate(names):
-        vals = ", ".join(f"`{p}{i}`" for p in prefix)
-        parts.append(f"'{c}', {vals}")
-    cols = ", ".join(out_names)
-    return wide.selectExpr(f"stack({len(names)}, {', '.join(parts)}) as ({cols})")
+def _values(df: DataFrame, columns: Sequence[str], *keep: Column) -> DataFrame:
+    """``(_i, _x)``: each value of each row with its column's place; nulls included."""
+    wide = F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
+    return df.select(F.posexplode(wide).alias("_i", "_x"), *keep)
+
+
+def _per_column(columns: Sequence[str], table: DataFrame) -> DataFrame:
+    """``table`` (one row per column place) with a row for every column."""
+    names = table.sparkSession.createDataFrame(list(enumerate(columns)), "_i int, feature string")
+    return names.join(F.broadcast(table), "_i", "left")
 
 
 # F1 / F2 ---------------------------------------------------------------------
 def variance_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sample variance, non-null count, min, max and mean of every column
-    (one pass; the means also centre the correlation sums and fill nulls)."""
-    cols = list(columns)
-    outs = []
-    for lo in range(0, len(cols), 25):
-        chunk = cols[lo : lo + 25]
-        exprs = []
-        for i, c in enumerate(chunk):
-            x = F.col(c).cast("double")
-            exprs += [F.var_samp(x).alias(f"v{i}"), F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
-                      F.avg(x).alias(f"m{i}")]
-        wide = df.agg(*exprs)
-        outs.append(_stack(wide, chunk, [], ["v", "n", "a", "b", "m"], ["feature", "variance", "n", "min_value", "max_value", "mean"]))
-    return reduce(DataFrame.unionByName, outs)
+    """Sample variance, non-null count, min, max and mean of every column,
+    from one scan for any number of columns: values are added up by column in
+    each task, and one row per task and column is shuffled. The means also
+    centre the correlation sums and fill nulls. A column without values (or
+    any column of an empty table) has n = 0 and nulls."""
+    sums = _values(df, columns).groupBy("_i").agg(
+        F.var_samp("_x").alias("variance"), F.count("_x").alias("n"), F.min("_x").alias("min_value"),
+        F.max("_x").alias("max_value"), F.avg("_x").alias("mean"))
+    return _per_column(columns, sums).select("feature", "variance", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+                                             "min_value", "max_value", "mean")
 
 
 def zero_variance(df: DataFrame, columns: Sequence[str], table: DataFrame | None = None) -> DataFrame:
@@ -61,63 +61,14 @@ def zero_variance(df: DataFrame, columns: Sequence[str], table: DataFrame | None
 
 
 # F3 / F4 ---------------------------------------------------------------------
-def _pair_corr(a: Column, b: Column) -> Column:
-    """Pearson r over rows where both are present, NULL when undefined (one
-    moment aggregate per term; used for ad-hoc expressions)."""
-    both = a.isNotNull() & b.isNotNull()
-    aa, bb = F.when(both, a), F.when(both, b)
-    return safe_div(F.covar_samp(aa, bb), F.stddev_samp(aa) * F.stddev_samp(bb))
-
-
-def _centres(df: DataFrame, exprs: dict[str, Column]) -> dict[str, float]:
-    row = df.agg(*[F.avg(e).alias(k) for k, e in exprs.items()]).first()
-    return {k: (row[k] if row[k] is not None else 0.0) for k in exprs}
-
-
-def _pearson_sums(pairs: list[tuple[str, Column, Column]], centre: dict[str, float], names: dict[int, str]) -> list[Column]:
-    """Per pair, six plain sums over pairwise-complete rows of values shifted
-    by fixed centres (codegen-friendly; the shift only limits cancellation)."""
-    out = []
-    for tag, a, b in pairs:
-        both = a.isNotNull() & b.isNotNull()
-        x = F.when(both, a - F.lit(centre[names[id(a)]]))
-        y = F.when(both, b - F.lit(centre[names[id(b)]]))
-        out += [F.count(x).alias(f"{tag}_n"), F.sum(x).alias(f"{tag}_sx"), F.sum(y).alias(f"{tag}_sy"),
-                F.sum(x * x).alias(f"{tag}_sxx"), F.sum(y * y).alias(f"{tag}_syy"), F.sum(x * y).alias(f"{tag}_sxy")]
-    return out
-
-
-def _pearson_from(tag: str) -> Column:
-    n, sx, sy = F.col(f"{tag}_n").cast("double"), F.col(f"{tag}_sx"), F.col(f"{tag}_sy")
-    cxy = F.col(f"{tag}_sxy") - sx * sy / n
-    cxx = F.col(f"{tag}_sxx") - sx * sx / n
-    cyy = F.col(f"{tag}_syy") - sy * sy / n
-    ok = (n >= 2) & (cxx > 0) & (cyy > 0)
-    return F.when(ok, cxy / F.sqrt(cxx * cyy))
-
-
-def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, threshold: float = RELEVANCE_MIN,
-                       centres: dict[str, float] | None = None) -> DataFrame:
-    """|r(column, target)|, pairwise complete; below ``threshold`` → drop;
-    undefined (NULL) → keep. Plain sums over centred values (the centres
-    are computed in one pass unless given)."""
-    cols = list(columns)
-    y = target.cast("double")
-    xs = {c: F.col(c).cast("double") for c in cols}
-    if centres is None:
-        centre = _centres(df, {**xs, "__y": y})
-    else:
-        centre = {c: (centres.get(c) if centres.get(c) is not None else 0.0) for c in cols}
-        centre["__y"] = 0.5  # a 0/1 target: any fixed centre keeps the sums exact
-    names = {id(e): c for c, e in xs.items()}
-    names[id(y)] = "__y"
-    outs = []
-    for lo in range(0, len(cols), 16):
-        chunk = cols[lo : lo + 16]
-        wide = df.agg(*_pearson_sums([(f"p{i}", xs[c], y) for i, c in enumerate(chunk)], centre, names))
-        wide = wide.select(*[F.abs(_pearson_from(f"p{i}")).alias(f"r{i}") for i in range(len(chunk))])
-        outs.append(_stack(wide, chunk, [], ["r"], ["feature", "abs_corr"]))
-    t = reduce(DataFrame.unionByName, outs)
+def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, threshold: float = RELEVANCE_MIN) -> DataFrame:
+    """|r(column, target)| over rows where both are present (NaN is missing);
+    below ``threshold`` → drop; undefined (NULL: fewer than two rows, a
+    constant, an infinite value) → keep. One scan for any number of columns."""
+    both = _values(df, columns, target.cast("double").alias("_y")).where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)")
+    sums = both.groupBy("_i").agg(F.covar_pop("_x", "_y").alias("cov"), F.stddev_pop("_x").alias("sx"), F.stddev_pop("_y").alias("sy"))
+    r = safe_div(F.col("cov"), F.col("sx") * F.col("sy"))
+    t = _per_column(columns, sums).select("feature", F.when(~F.isnan(r), F.abs(r)).alias("abs_corr"))
     low = F.coalesce(F.col("abs_corr") < F.lit(threshold), F.lit(False))
     return t.select(
         "feature",
@@ -128,33 +79,67 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: Column, th
 
 
 # F5 / F6 ---------------------------------------------------------------------
-def pairwise_correlation(df: DataFrame, columns: Sequence[str], chunk: int = 20, centres: dict[str, float] | None = None) -> DataFrame:
+_PAIR = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double, wild double"
+_CELLS = 1 << 20  # values that are multiplied at once
+
+
+def _products(centre: Sequence[float]):
+    """A task's sums for all pairs i < j of columns: cross products of the
+    centred values and of the masks that say where a value is present."""
+    mid = np.array(centre)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = len(mid)
+        n, s, ss, xy, wild = (np.zeros((p, p)) for _ in range(5))
+        rows = max(1, _CELLS // p)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(lo, rows).columns])
+                present = ~np.isnan(x)
+                infinite = np.isinf(x)
+                x = np.where(present & ~infinite, x - mid, 0.0)
+                m = present.astype(np.float64)
+                n += m.T @ m
+                s += x.T @ m  # sum of the row's column where the other one is present
+                ss += (x * x).T @ m
+                xy += x.T @ x
+                wild += infinite.astype(np.float64).T @ m
+        i, j = np.triu_indices(p, 1)
+        columns = [i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], xy[i, j], wild[i, j] + wild[j, i]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in _PAIR.split(", ")])
+
+    return run
+
+
+def pairwise_correlation(df: DataFrame, columns: Sequence[str], centres: dict[str, float] | None = None) -> DataFrame:
     """Long form ``(i, j, feature_i, feature_j, abs_corr, distance)`` for
-    i < j in the given order: column means once, then plain sums per pair in
-    chunks of aggregates over the same (materialised) input."""
+    i < j in the given order, over rows where both are present (NaN is
+    missing); NULL where undefined: fewer than two rows, a constant, an
+    infinite value.
+
+    One scan for any number of columns: each task adds up matrices of cross
+    products (memory: five times the square of the columns, plus a bounded
+    block of rows) and sends one row per pair, added up by pair. Values are
+    shifted by ``centres`` (computed by one more scan unless given), which
+    only limits cancellation."""
     cols = list(columns)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, feature_i string, feature_j string, abs_corr double, distance double")
-    xs = {c: F.col(c).cast("double") for c in cols}
-    centre = _centres(df, xs) if centres is None else {c: (centres.get(c) if centres.get(c) is not None else 0.0) for c in cols}
-    names = {id(e): c for c, e in xs.items()}
-    outs = []
-    for lo in range(0, len(pairs), chunk):
-        part = pairs[lo : lo + chunk]
-        wide = df.agg(*_pearson_sums([(f"p{k}", xs[cols[i]], xs[cols[j]]) for k, (i, j) in enumerate(part)], centre, names))
-        wide = wide.select(*[F.abs(_pearson_from(f"p{k}")).alias(f"r{k}") for k in range(len(part))])
-        spec = ", ".join(f"{i}, {j}, '{cols[i]}', '{cols[j]}', r{k}" for k, (i, j) in enumerate(part))
-        outs.append(wide.selectExpr(f"stack({len(part)}, {spec}) as (i, j, feature_i, feature_j, abs_corr)"))
-    t = reduce(DataFrame.unionByName, outs)
-    return t.select(
-        F.col("i").cast("int").alias("i"),
-        F.col("j").cast("int").alias("j"),
-        "feature_i",
-        "feature_j",
-        F.col("abs_corr").cast("double").alias("abs_corr"),
-        (F.lit(1.0) - F.col("abs_corr")).alias("distance"),
-    )
+    if centres is None:
+        centres = {r["feature"]: r["mean"] for r in variance_table(df, cols).collect()}
+    centre = [v if (v := centres.get(c)) is not None and np.isfinite(v) else 0.0 for c in cols]
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy", "wild"]
+    sums = wide.mapInArrow(_products(centre), _PAIR).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    cxx, cyy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
+    defined = (n >= 2) & (F.col("wild") == 0)
+    r = F.when(defined, F.when((cxx > 0) & (cyy > 0), F.abs((F.col("sxy") - sx * sy / n) / F.sqrt(cxx * cyy))))
+    # every pair has a row, also when there are no rows to add up
+    pairs = df.sparkSession.createDataFrame([(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))],
+                                            "i int, j int, feature_i string, feature_j string")
+    t = pairs.join(sums.select("i", "j", r.alias("abs_corr")), ["i", "j"], "left")
+    return t.withColumn("distance", F.lit(1.0) - F.col("abs_corr"))
 
 
 def redundant(corr: DataFrame, columns: Sequence[str], limit: float = REDUNDANCY_MAX) -> DataFrame:

@@ -186,7 +186,7 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
     dropped_zero = [r["feature"] for r in zv.collect() if r["decision"] == "drop"]
     num1 = [c for c in num if c not in dropped_zero]
 
-    tc = _small(features.target_correlation(train, num1, clean.binary_target(label, normal), relevance, centres=means))
+    tc = _small(features.target_correlation(train, num1, clean.binary_target(label, normal), relevance))
     dropped_low = [r["feature"] for r in tc.collect() if r["decision"] == "drop"]
     num2 = [c for c in num1 if c not in dropped_low]
 
