@@ -109,3 +109,15 @@ def running_sums(
     res = x.join(F.broadcast(carry), on=["_bkt", *keys], how="left")
     res = res.withColumns({f"{out_prefix}{v}": F.col(f"{out_prefix}{v}") + F.coalesce(F.col(f"_o_{v}"), F.lit(0.0)) for v in vals})
     return res.drop("_bkt", *[f"_o_{v}" for v in vals])
+
+
+def last_before(df: DataFrame, value: str, order_by: Sequence[str], out: str, num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = the last non-null ``value`` of earlier rows in
+    ``order_by`` order (null without one): within a range partition by a
+    window, before it from a table of one row per partition."""
+    x = ranged(df, list(order_by), _num_partitions(df, num_partitions))
+    here = F.last(value, True).over(Window.partitionBy("_bkt").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    ends = x.groupBy("_bkt").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_place"))).alias("_end"))
+    earlier = F.last("_end", True).over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1))
+    res = x.withColumn(out, here).join(F.broadcast(ends.select("_bkt", earlier.alias("_carry"))), "_bkt")
+    return res.withColumn(out, F.coalesce(out, "_carry")).drop("_bkt", "_place", "_carry")

@@ -1,12 +1,16 @@
 """Model registry as tables (R11–R15, E17, L3, O7, O8): versions with
-metrics, an append-only activation audit, and views over both."""
+metrics, an audit log of activations (``sources/table_log``), and views over
+both."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import table_log
 from . import evaluation as ev
+from .joins import small
+from .ordering import last_before
 
 VERSION_PREFIX = "RF_v"
 
@@ -40,25 +44,58 @@ def list_models(reg: DataFrame) -> DataFrame:
     return reg.withColumn("ordinal", version_number().cast("long"))
 
 
-def activation_audit(reg: DataFrame) -> DataFrame:
-    """Activation attempts in version order: success when the version has its
-    metrics, failed otherwise; then an attempt for the next (not yet existing)
-    version, which fails."""
-    tries = reg.select(version_number().alias("seq"), F.col("version").alias("new_model"),
-                       F.when(F.col("f1_macro").isNull(), "failed").otherwise("success").alias("status"))
-    nxt = next_version(reg).select((version_number("next_version")).alias("seq"), F.col("next_version").alias("new_model"), F.lit("failed").alias("status"))
-    a = tries.unionByName(nxt)
-    return a.withColumn("previous_model", F.lag("new_model").over(Window.orderBy("seq")))
+AUDIT = "seq long, previous_model string, new_model string, status string, detail string"
+
+
+def select_versions(requests: DataFrame, reg: DataFrame, base: str) -> int:
+    """Carries out selection requests ``(seq, version)`` in the order of
+    ``seq`` and appends one event each to the audit log at ``base``, as one
+    commit, whose number it returns. A version of the registry becomes active
+    (success), any other one, null included, does not (failed);
+    ``previous_model`` is the version that was active just before. Requests
+    are joined to the registry, whatever their number; if another writer
+    commits meanwhile the events are made again from its state."""
+    spark = requests.sparkSession
+    known = reg.select("version", F.lit(True).alias("_known")).distinct()
+    asked = requests.select("seq", "version").join(small(known), "version", "left").select("seq", "version", F.coalesce("_known", F.lit(False)).alias("_known"))
+    ordered = last_before(asked.withColumn("_ok", F.when(F.col("_known"), F.col("version"))), "_ok", ["seq", "version"], "_previous")
+    while True:
+        at = table_log.version(spark, base)
+        active = active_version(audit(spark, base, at)).first()["version"]
+        events = ordered.select(
+            "seq", F.coalesce("_previous", F.lit(active)).alias("previous_model"), F.col("version").alias("new_model"),
+            F.when(F.col("_known"), "success").otherwise("failed").alias("status"),
+            F.when(F.col("_known"), F.concat(F.lit("active version is now "), "version"))
+            .otherwise(F.concat(F.lit("no such version: "), F.coalesce("version", F.lit("none")))).alias("detail"))
+        try:
+            return table_log.append(events, base, expected=at)
+        except table_log.Conflict:
+            continue
+
+
+def record(spark: SparkSession, base: str, previous: str | None, version: str | None, status: str, detail: str | None) -> int:
+    """Appends one event, such as a retraining run's outcome, to the audit
+    log; returns its commit."""
+    event = spark.createDataFrame([(None, previous, version, status, detail)], AUDIT)
+    return table_log.append(event.coalesce(1), base)
+
+
+def audit(spark: SparkSession, base: str, at: int | None = None) -> DataFrame:
+    """Events of the audit log, with the number of their ``commit``, which is
+    also the ``seq`` of an event without one; they happened in the order of
+    (commit, seq)."""
+    events = table_log.read(spark, base, AUDIT, at, number_out="commit")
+    return events.withColumn("seq", F.coalesce("seq", "commit"))
 
 
 def active_version(audit: DataFrame) -> DataFrame:
-    return audit.filter(F.col("status") == "success").agg(F.max_by("new_model", F.col("seq")).alias("version"))
+    return audit.filter(F.col("status") == "success").agg(F.max_by("new_model", F.struct("commit", "seq")).alias("version"))
 
 
 def history(audit: DataFrame, n: int = 20) -> DataFrame:
     if not 1 <= n <= 500:
         raise ValueError("limit must be in 1..500")
-    return audit.orderBy(F.col("seq").desc()).limit(n)
+    return audit.orderBy(F.col("commit").desc(), F.col("seq").desc()).limit(n)
 
 
 def summary(reg: DataFrame, audit: DataFrame) -> DataFrame:
@@ -66,11 +103,10 @@ def summary(reg: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def last_status_flags(audit: DataFrame) -> DataFrame:
-    last = audit.agg(F.max_by("status", F.col("seq")).alias("s"))
+    last = audit.agg(F.max_by("status", F.struct("commit", "seq")).alias("s"))
     return last.select(*[(F.col("s") == st).cast("int").alias(st) for st in ("success", "skipped", "failed")])
 
 
 def active_flags(reg: DataFrame, audit: DataFrame) -> DataFrame:
-    act = active_version(audit).select(F.col("version").alias("_active"), F.lit(1).alias("_k"))
-    return reg.withColumn("_k", F.lit(1)).join(act, "_k", "left").select(
-        "version", F.when(F.col("version") == F.col("_active"), 1).otherwise(0).alias("active"))
+    active = active_version(audit).first()["version"]
+    return reg.select("version", F.coalesce((F.col("version") == F.lit(active)).cast("int"), F.lit(0)).alias("active"))

@@ -1,9 +1,9 @@
 """Retraining run (R16): gate → merge → train → register → activate →
 archive, composed from the review and registry operators. Every dataset
 written is a new versioned folder (no in-place rewrite, so no rollback copy
-is needed). The registry and the activation audit are append-only JSON-lines
-tables under the base folder: one registry row per trained version, one audit
-row per run, whether it succeeded, was skipped or failed."""
+is needed). The registry and the audit are tables of numbered commits under
+the base folder: one registry row per trained version, one audit row per run,
+whether it succeeded, was skipped or failed."""
 
 from __future__ import annotations
 
@@ -12,46 +12,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import table_log
 from . import evaluation as ev
 from . import models as md
+from . import registry as rg
 from . import review as rv
 
 SCHEMA = ("status string, version string, previous_version string, approved long, train_rows long, merged_rows long, "
           "accuracy double, precision_macro double, recall_macro double, f1_macro double, f1_weighted double, "
           "archived long, remaining long, message string")
 REGISTRY = "version string, model string, params string, accuracy double, precision_macro double, recall_macro double, f1_macro double, f1_weighted double"
-AUDIT = "seq long, previous_model string, new_model string, status string, message string"
-
-
-def _append(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(path)
-
-
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An append-only table; empty before its first row."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
 
 
 def registry(spark: SparkSession, base_path: str) -> DataFrame:
-    return _table(spark, f"{base_path}/registry", REGISTRY)
+    return table_log.read(spark, f"{base_path}/registry", REGISTRY)
 
 
 def audit(spark: SparkSession, base_path: str) -> DataFrame:
-    return _table(spark, f"{base_path}/audit", AUDIT)
+    return rg.audit(spark, f"{base_path}/audit")
 
 
 def active_version(spark: SparkSession, base_path: str) -> str | None:
     """The version of the last successful activation."""
-    return audit(spark, base_path).filter(F.col("status") == "success").agg(F.max_by("new_model", "seq")).first()[0]
-
-
-def _log(spark: SparkSession, base_path: str, previous: str | None, version: str | None, status: str, message: str | None) -> None:
-    seq = audit(spark, base_path).agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
-    _append(spark, f"{base_path}/audit", AUDIT, (seq, previous, version, status, message))
+    return rg.active_version(audit(spark, base_path)).first()["version"]
 
 
 def run(spark: SparkSession, train: DataFrame, test: DataFrame, features: Sequence[str], validated: DataFrame,
@@ -65,7 +48,7 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, features: Sequen
     n_appr = appr.count()
 
     def outcome(status: str, message: str | None, **values) -> DataFrame:
-        _log(spark, base_path, previous, next_version if status != "skipped" else None, status, message)
+        rg.record(spark, f"{base_path}/audit", previous, next_version if status != "skipped" else None, status, message)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         values |= dict(status=status, version=next_version if status != "skipped" else None, previous_version=previous, approved=n_appr, message=message)
         return spark.createDataFrame([tuple(values.get(n) for n in names)], SCHEMA)
@@ -87,7 +70,7 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, features: Sequen
         metrics = {k: float(rep[k]) for k in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted")}
         params = model.stages[-1].extractParamMap()
         shown = ", ".join(sorted(f"{p.name}={v}" for p, v in params.items()))
-        _append(spark, f"{base_path}/registry", REGISTRY, (next_version, model_name, shown, *metrics.values()))
+        table_log.append(spark.createDataFrame([(next_version, model_name, shown, *metrics.values())], REGISTRY).coalesce(1), f"{base_path}/registry")
         # archive: processed records leave the validated table (new snapshot)
         remaining = rv.archive(validated, appr)
         remaining.write.mode("errorifexists").json(f"{base_path}/validated/{next_version}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import review as rv
 from ..session import scratch_path
 from ..sources import fixtures
-from ..sources import io as fio
+from ..sources import io as fio, table_log
 from ..sources.fixtures import with_views
 from .registry import query
 
@@ -29,13 +29,13 @@ def q_read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("append_jsonl", group="A", oracle=with_views("select sample_id, seq, review_status from review_queue", *_Q))
 def q_append_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two appends (even and odd batches) to one append-only folder; a reader
+    """Two appends (even and odd batches) to one table of commits; a reader
     sees the union."""
     path = scratch_path(spark, "queue-append")
     q = fixtures.review_queue(spark, sf_dir)
-    fio.append(q.filter((F.col("batch_id") / 4) % 2 == 0), path)
-    fio.append(q.filter((F.col("batch_id") / 4) % 2 == 1), path)
-    return fio.read_jsonl(spark, path, QUEUE_SCHEMA).select("sample_id", "seq", "review_status")
+    table_log.append(q.filter((F.col("batch_id") / 4) % 2 == 0), path)
+    table_log.append(q.filter((F.col("batch_id") / 4) % 2 == 1), path)
+    return table_log.read(spark, path, QUEUE_SCHEMA).select("sample_id", "seq", "review_status")
 
 
 @query(
@@ -48,15 +48,14 @@ def q_append_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def q_rewrite_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The validated table minus processed records written as a NEW snapshot
-    (v000002) next to the original (v000001); readers switch to the latest."""
-    base = scratch_path(spark, "validated-snapshots")
+    """The validated table minus processed records replaces it as the next
+    commit; the rows being read stay where they are."""
+    base = scratch_path(spark, "validated")
     v = fixtures.validated(spark, sf_dir)
-    fio.rewrite_snapshot(v, base, 1, fmt="json")
-    current = spark.read.schema(v.schema).json(fio.latest_snapshot(spark, base))
-    kept = rv.archive(current, rv.approved(current, input_col="duration"))
-    fio.rewrite_snapshot(kept, base, 2, fmt="json")
-    return spark.read.schema(v.schema).json(fio.latest_snapshot(spark, base)).select("sample_id", "seq")
+    at = table_log.append(v, base)
+    current = table_log.read(spark, base, v.schema)
+    table_log.replace(rv.archive(current, rv.approved(current, input_col="duration")), base, expected=at)
+    return table_log.read(spark, base, v.schema).select("sample_id", "seq")
 
 
 @query(

@@ -502,25 +502,48 @@ def q_list_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.list_models(_registry(spark, sf_dir)).select("version", "ordinal")
 
 
-_AUDIT = """audit as (select seq, lag(new_model) over (order by seq) as previous_model, new_model, status from (
-  select vnum as seq, version as new_model, case when f1_macro is null then 'failed' else 'success' end as status from reg
-  union all select (select max(vnum) + 1 from reg), 'RF_v' || cast((select max(vnum) + 1 from reg) as varchar), 'failed') u),
+_AUDIT = """asked as (select seq, 'RF_v' || cast(1 + source_id % 12 as varchar) as version from requests),
+known as (select seq, asked.version, reg.version is not null as ok from asked left join reg on reg.version = asked.version),
+audit as (select seq, last_value(case when ok then version end ignore nulls) over (order by seq rows between unbounded preceding and 1 preceding) as previous_model,
+  version as new_model, case when ok then 'success' else 'failed' end as status from known),
 active as (select arg_max(new_model, seq) as version from audit where status = 'success')"""
 
 
+def _auditsql(body: str) -> str:
+    return with_views(_regsql(body, _AUDIT), "requests")
+
+
+def _written_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry, evaluated once: one row per version."""
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "registry")
+    _registry(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log after the selection requests came in two batches. A
+    request names a version (stand-in: one of twelve by the request's source)."""
     from ..operators import registry as rg
+    from ..session import scratch_path
 
-    return rg.activation_audit(_registry(spark, sf_dir))
+    base = scratch_path(spark, "model-audit")
+    asked = fixtures.requests(spark, sf_dir).select("seq", F.concat(F.lit("RF_v"), (F.col("source_id") % 12 + 1).cast("string")).alias("version"))
+    half = asked.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
+    reg = _written_registry(spark, sf_dir)
+    for batch in (F.col("seq") <= F.lit(half), F.col("seq") > F.lit(half)):
+        rg.select_versions(asked.where(batch), reg, base)
+    return rg.audit(spark, base)
 
 
-@query("select_model", group="R", oracle=_regsql("select seq::bigint as seq, previous_model, new_model, status from audit", _AUDIT))
+@query("select_model", group="R", oracle=_auditsql("select seq::bigint as seq, previous_model, new_model, status from audit"))
 def q_select_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _audit(spark, sf_dir)
     return a.select(F.col("seq").cast("long").alias("seq"), "previous_model", "new_model", "status")
 
 
-@query("model_history", group="R", oracle=_regsql("select seq::bigint as seq, new_model, status from audit order by seq desc limit 20", _AUDIT))
+@query("model_history", group="R", oracle=_auditsql("select seq::bigint as seq, new_model, status from audit order by seq desc limit 20"))
 def q_model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import registry as rg
 
@@ -530,9 +553,8 @@ def q_model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "model_summary",
     group="R",
-    oracle=_regsql(
+    oracle=_auditsql(
         "select reg.version, round(accuracy, 6) as accuracy, round(f1_macro, 6) as f1_macro, round(f1_weighted, 6) as f1_weighted from reg join active using (version)",
-        _AUDIT,
     ),
 )
 def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,10 +567,9 @@ def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "latest_retrain_status",
     group="O",
-    oracle=_regsql(
+    oracle=_auditsql(
         """select (status = 'success')::int as success, (status = 'skipped')::int as skipped, (status = 'failed')::int as failed
 from audit where seq = (select max(seq) from audit)""",
-        _AUDIT,
     ),
 )
 def q_latest_retrain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -560,7 +581,7 @@ def q_latest_retrain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "active_model_flag",
     group="O",
-    oracle=_regsql("select reg.version, case when reg.version = active.version then 1 else 0 end as active from reg left join active on true", _AUDIT),
+    oracle=_auditsql("select reg.version, case when reg.version = active.version then 1 else 0 end as active from reg left join active on true"),
 )
 def q_active_model_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import registry as rg

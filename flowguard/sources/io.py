@@ -64,27 +64,3 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, last:
     if last is not None and order_col:
         df = df.orderBy(F.col(order_col).desc()).limit(int(last))
     return df
-
-
-def append(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append-only sink: each call adds new files, readers see whole files."""
-    df.write.mode("append").format(fmt).save(path)
-
-
-def rewrite_snapshot(df: DataFrame, base: str, version: int, fmt: str = "parquet") -> str:
-    """Write a filtered table as a NEW snapshot folder and return its path;
-    the table that is being read is never overwritten in place."""
-    path = f"{base.rstrip('/')}/v{version:06d}"
-    df.write.mode("errorifexists").format(fmt).save(path)
-    return path
-
-
-def latest_snapshot(spark: SparkSession, base: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("v"))
-    return f"{base.rstrip('/')}/{names[-1]}" if names else None
