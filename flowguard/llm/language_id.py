@@ -23,8 +23,8 @@ from flowguard.llm.common import bounded
 #: Buckets of trigrams: with the number of languages the bound of the model's size (4 bytes each).
 BUCKETS = 1 << 17
 _ROUNDS = 12
-#: Documents, and code points, to a block of arrays at most (a longer text is a block of its own).
-_DOCS, _POINTS = 256, 1 << 20
+#: Documents, and code points times languages, to a block of arrays at most (a longer text is a block of its own).
+_DOCS, _CELLS = 256, 1 << 22
 UNKNOWN = "und"
 
 
@@ -33,11 +33,11 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str], languages: int = 4) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are handled together."""
     start = points = 0
     for i, t in enumerate(texts):
-        if i > start and (i - start >= _DOCS or points + len(t) > _POINTS):
+        if i > start and (i - start >= _DOCS or (points + len(t)) * languages > _CELLS):
             yield start, i
             start, points = i, 0
         points += len(t)
@@ -106,65 +106,113 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
                     yield from flush()
         yield from flush()
 
+    def weigh(group: pa.Table) -> pa.Table:
+        n = np.full(BUCKETS, smooth)
+        n[group["bucket"].to_numpy()] += group["n"].to_numpy()
+        return pa.table({"lang": group["lang"].slice(0, 1), "log_p": pa.array([np.log(n / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
     rows = bounded(docs).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = tuple(sorted(set(counts["lang"].to_pylist())))
-    n = np.zeros((BUCKETS, len(langs)))
-    if langs:
-        at = {x: i for i, x in enumerate(langs)}
-        n[counts["bucket"].to_numpy(), [at[x] for x in counts["lang"].to_pylist()]] = counts["n"].to_numpy()
-    n += smooth
-    return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32))
-
-
-def _em(p: np.ndarray, top: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares by document and language and the log likelihoods. p: likelihoods by word, divided by the word's largest,
-    whose logarithms are `top`; first: the first word of each document; allowed: languages by document."""
-    words = np.diff(np.append(first, len(p)))
-    of = np.repeat(np.arange(len(first)), words)
-    share = allowed / allowed.sum(axis=1, keepdims=True)
+    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sorted(counts.groupBy("lang").applyInArrow(weigh, "lang string, log_p binary").collect(), key=lambda r: r["lang"])
+    log_p = np.empty((BUCKETS, len(found)), np.float32)
+    for i, r in enumerate(found):
+        log_p[:, i] = np.frombuffer(r["log_p"], np.float32)
+    return Model(tuple(r["lang"] for r in found), log_p)
+
+
+def _words(grams: np.ndarray, first: np.ndarray, text: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text, by text: the text, how often the word stands in it, and its log likelihoods by
+    language. Words of one text with the same trigrams (a 64-bit sum of their hashes) are one."""
+    h = (grams.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    key = np.add.reduceat(h ^ (h >> np.uint64(32)), first)
+    order = np.lexsort((key, text))
+    new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(text[order]) != 0))
+    at = np.flatnonzero(new)
+    pick, times = order[at], np.diff(np.append(at, order.size))
+    length = np.diff(np.append(first, grams.size))[pick]
+    likely = np.empty((pick.size, log_p.shape[1]), np.float32)
+    ends = np.append(0, np.cumsum(length))
+    step = max(1, _CELLS // log_p.shape[1])
+    lo = 0
+    while lo < pick.size:  # so many words at once that the gathered trigrams stay bounded
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + step, "right")) - 1)
+        n = length[lo:hi]
+        start = np.append(0, np.cumsum(n)[:-1])
+        where = np.repeat(first[pick[lo:hi]] - start, n) + np.arange(n.sum())
+        likely[lo:hi] = np.add.reduceat(log_p[grams[where]], start, axis=0)
+        lo = hi
+    return text[pick], times, likely
+
+
+def _em(p: np.ndarray, top: np.ndarray, times: np.ndarray, of: np.ndarray, docs: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares by document and language, from equal ones, and the log likelihoods. By distinct word: p, the likelihoods
+    divided by the word's largest, whose logarithms are `top`; how often it stands in its document `of` (ascending,
+    from 0). Words are taken in parts of bounded size."""
+    step = max(1, _CELLS // p.shape[1])
+    parts = [slice(lo, min(lo + step, len(p))) for lo in range(0, len(p), step)]
+    starts = [np.flatnonzero(np.append(True, np.diff(of[x]) != 0)) for x in parts]
+    total = np.bincount(of, times, docs)[:, None]
+    share = np.full((docs, p.shape[1]), 1.0 / p.shape[1])
     for _ in range(rounds):
-        joint = p * share[of]
-        joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-30)
-        share = np.add.reduceat(joint, first, axis=0) / words[:, None]
-    mixed = np.log(np.maximum((p * share[of]).sum(axis=1), 1e-30)) + top
-    return share, np.add.reduceat(mixed, first)
+        sums = np.zeros_like(share)
+        for x, at in zip(parts, starts):
+            joint = p[x] * share[of[x]]
+            joint *= (times[x] / np.maximum(joint.sum(axis=1), 1e-30))[:, None]
+            sums[of[x][at]] += np.add.reduceat(joint, at, axis=0)
+        share = sums / total
+    mixed = np.zeros(docs)
+    for x, at in zip(parts, starts):
+        each = (np.log(np.maximum((p[x] * share[of[x]]).sum(axis=1), 1e-30)) + top[x]) * times[x]
+        mixed[of[x][at]] += np.add.reduceat(each, at)
+    return share, mixed
 
 
 def infer(texts: list[str], model: Model, penalty: float) -> list[dict[str, float]]:
-    """For each text its languages with their shares, most first; empty without letters (or languages to choose)."""
+    """For each text its languages with their shares, most first; empty without letters (or languages to choose).
+
+    A set of k languages is tried over k columns, however many languages the model has."""
     found: list[dict[str, float]] = [{} for _ in texts]
     grams, first, text = trigrams(texts)
     n_langs = len(model.languages)
     if not first.size or not n_langs:
         return found
-    log_p = np.add.reduceat(model.log_p[grams], first, axis=0)
+    text, times, log_p = _words(grams, first, text, model.log_p)
     top = log_p.max(axis=1)
-    p = np.exp(log_p - top[:, None], dtype=np.float32)
-    docs, at = np.unique(text, return_index=True)
-    words = np.diff(np.append(at, len(p)))
-    alone = np.add.reduceat(log_p.astype(np.float64), at, axis=0)
-    rows = np.arange(len(docs))
-    allowed = np.zeros((len(docs), n_langs), np.float32)
-    allowed[rows, alone.argmax(axis=1)] = 1
-    likely, share = alone.max(axis=1), allowed.copy()
-    full, most = _em(p, top, at, np.ones_like(allowed), _ROUNDS)
-    price = penalty + 0.5 * np.log(np.maximum(words, 2))
+    docs, of = np.unique(text, return_inverse=True)
+    alone = np.zeros((docs.size, n_langs))
+    starts = np.flatnonzero(np.append(True, np.diff(of) != 0))
+    for lang in range(n_langs):
+        alone[:, lang] = np.add.reduceat(log_p[:, lang] * times, starts)
+    p = np.exp(np.subtract(log_p, top[:, None], out=log_p), out=log_p)
+    sets = alone.argmax(axis=1)[:, None]  # languages of each document, in the order in which they came
+    size = np.ones(docs.size, np.int64)
+    likely = alone.max(axis=1)
+    shares: list[np.ndarray] = [np.ones(1)] * docs.size
+    full, most = _em(p, top, times, of, docs.size, _ROUNDS)
+    price = penalty + 0.5 * np.log(np.maximum(np.bincount(of, times, docs.size), 2))
     left = np.flatnonzero(most - likely > price)  # no set can gain more than the full mixture
-    for _ in range(n_langs - 1):
+    for k in range(1, n_langs):
         if not left.size:
             break
-        trial = allowed[left]
-        trial[np.arange(left.size), np.where(trial > 0, -1, full[left]).argmax(axis=1)] = 1
-        pick = np.isin(np.repeat(rows, words), left)
-        new, gained = _em(p[pick], top[pick], np.append(0, np.cumsum(words[left])[:-1]), trial, 2 * _ROUNDS)
+        open_ = full[left].copy()
+        np.put_along_axis(open_, sets[left, :k], -1, axis=1)
+        trial = np.concatenate([sets[left, :k], open_.argmax(axis=1)[:, None]], axis=1)
+        pick = np.isin(of, left)
+        local = np.searchsorted(left, of[pick])
+        part = p[np.flatnonzero(pick)[:, None], trial[local]]
+        new, gained = _em(part, top[pick], times[pick], local, left.size, 2 * _ROUNDS)
         better = gained - likely[left] > price[left]
-        left = left[better]
-        allowed[left], share[left], likely[left] = trial[better], new[better], gained[better]
+        if sets.shape[1] <= k:
+            sets = np.concatenate([sets, np.zeros_like(sets[:, :1])], axis=1)
+        left, trial, new, gained = left[better], trial[better], new[better], gained[better]
+        sets[left, : k + 1], size[left], likely[left] = trial, k + 1, gained
+        for d, share in zip(left, new):
+            shares[d] = share
         left = left[most[left] - likely[left] > price[left]]
     for i, d in enumerate(docs):
-        order = [j for j in np.argsort(-share[i], kind="stable") if allowed[i, j]]
-        found[d] = {model.languages[j]: float(share[i, j]) for j in order}
+        chosen = sorted(zip(-shares[i], sets[i, : size[i]]))
+        found[d] = {model.languages[j]: float(-v) for v, j in chosen}
     return found
 
 
@@ -181,7 +229,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, max(len(sent.value.languages), 4)):
                 rows = [[{"lang": k, "share": min(max(v, 0.0), 1.0)} for k, v in x.items()] for x in infer(texts[a:b], sent.value, penalty)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, struct)], names=[id_col, "languages"])
 
