@@ -117,11 +117,15 @@ def q_train_gaussian_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("train_mlp", group="M")
 def q_train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 128-64-32 network under Adam: batches of 2,048, at most 25 epochs,
+    stopped by the macro F1 of the validation rows."""
     return _metrics(spark, sf_dir, "mlp")
 
 
 @query("train_deep_mlp", group="M")
 def q_train_deep_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 256-128-64 network with normalisation by batch statistics, dropout
+    0.25 and balanced weights: batches of 4,096, at most 14 epochs."""
     return _metrics(spark, sf_dir, "deep_mlp")
 
 
@@ -153,6 +157,17 @@ def q_train_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.select("round", "split", "rows", r6("log_loss").alias("log_loss"))
 
 
+@query("network_history", group="M")
+def q_network_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and macro F1 of both networks per epoch: of the training rows as
+    the batches saw them, and of the validation rows after the epoch."""
+    rows = []
+    for name in md.NETWORKS:
+        model, _, _ = fitted(spark, sf_dir, name)
+        rows += [(name, epoch, split, round(loss, 6), round(f1, 6), epoch == model.best_epoch) for epoch, split, loss, f1 in model.history]
+    return spark.createDataFrame(rows, "model string, epoch int, split string, loss double, f1 double, best boolean")
+
+
 @query("model_loop", group="M")
 def q_model_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates; fits made earlier in the application are used again."""
