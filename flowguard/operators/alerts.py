@@ -5,18 +5,16 @@
 * ``cooldown``: greedy per-key cooldown ("send if at least C seconds since the
   last *sent* event"), exact and distributed:
 
-  1. events are reduced to distinct whole seconds per key (pre-aggregation);
-  2. seconds are cut into buckets of C seconds — at most one send per bucket —
-     and buckets into chunks of K buckets;
-  3. per (key, chunk), for every possible entry state (the send in the bucket
-     before the chunk, or none) the chunk is replayed once, vectorised, giving
-     a transfer table entry → exit (at most C+1 rows);
-  4. per key, the transfer tables are composed in chunk order (one row per
-     chunk and entry state, bounded by the key's time span / (C·K));
-  5. per (key, chunk), the chunk is replayed from its true entry state and the
-     sends are emitted.
-
-  No step holds more than one chunk (≤ K·C distinct seconds) of one key.
+  1. events are reduced to distinct whole seconds per key, written once;
+  2. a key of at most ``SINGLE_ROWS`` seconds is replayed in one group;
+  3. a larger key is cut into chunks of time no shorter than the cooldown, so
+     that a chunk depends on the ones before only by the second from which on
+     it may send. A chunk is a step function of that second, and step functions
+     compose: groups of ``FAN`` are composed in a tree, the seconds handed down
+     it, and each chunk is replayed from its own.
+
+  No task holds more than one chunk of a key, or ``FAN`` functions of at most
+  ``cooldown`` + 1 steps each.
 * ``active`` / ``recent`` / ``counts`` / ``message`` / ``channels``: columns and
   aggregates over the alert history.
 """
@@ -31,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import nearest_rank
+from ..session import scratch_path
+from .joins import small
 from .windows import trailing
 
 # Fixed values (defaults of the reference service).
@@ -98,103 +98,121 @@ def alert_actions(windows: DataFrame, ts: str = "ts", order: str = "seq") -> Dat
 # ---------------------------------------------------------------------------
 
 
-def _replay(bucket_events: list[np.ndarray], bucket_ids: list[int], entry, first_bucket: int, last_bucket: int, C: int,
-            emit: bool):
-    """Replay buckets [first_bucket, last_bucket] from ``entry`` (send time in
-    bucket first_bucket-1, or None). Returns (exit send in last_bucket or
-    None, sends)."""
-    s = entry
-    prev_b = first_bucket - 1
-    sends = []
-    for b, ev in zip(bucket_ids, bucket_events):
-        if b != prev_b + 1:
-            s = None  # an empty bucket in between: no send there
-        if s is None:
-            s = int(ev[0])
-        else:
-            i = int(np.searchsorted(ev, s + C, side="left"))
-            s = int(ev[i]) if i < len(ev) else None
-        if s is not None and emit:
-            sends.append(s)
-        prev_b = b
-    if prev_b != last_bucket:
-        return None, sends
-    return s, sends
-
-
-def _chunk_groups(pdf: pd.DataFrame):
-    home = pdf[~pdf["_ctx"]]
-    ctx = np.sort(pdf.loc[pdf["_ctx"], "t"].to_numpy())
-    g = home.sort_values("t").groupby("_b", sort=True)["t"]
-    ids = [int(b) for b in g.groups.keys()]
-    evs = [np.asarray(v.to_numpy(), dtype=np.int64) for _, v in g]
-    return ctx, ids, evs
-
-
-def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECONDS, chunk_buckets: int = 256) -> DataFrame:
+SINGLE_ROWS = 65_536  # distinct seconds of a key that one task replays at once
+CHUNK_SECONDS = 65_536
+FAN = 32  # functions that one step of the tree composes
+_EVER = -(2**62)  # before any second: nothing was sent
+
+
+def _sent(seconds: np.ndarray, since: int, cooldown: int) -> np.ndarray:
+    """The sent ones of sorted seconds, if sending is possible from ``since`` on."""
+    after = np.searchsorted(seconds, seconds + cooldown)
+    out, i = [], int(np.searchsorted(seconds, since))
+    while i < len(seconds):
+        out.append(i)
+        i = int(after[i])
+    return seconds[out]
+
+
+def _steps(bounds: np.ndarray, outs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same function without steps between equal values."""
+    real = outs[1:] != outs[:-1]
+    return bounds[real], np.append(outs[:-1][real], outs[-1])
+
+
+def _function(seconds: np.ndarray, upto: int, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """From when a chunk may send, to when what follows may: value i holds
+    above bound i - 1 and up to bound i. ``upto``: the highest argument."""
+    ends = np.searchsorted(seconds, seconds + cooldown)
+    ends = np.where(ends == len(seconds), np.arange(len(seconds)), ends)
+    while True:  # each send to the last one of its chain
+        further = ends[ends]
+        if (further == ends).all():
+            break
+        ends = further
+    n = min(len(seconds), int(np.searchsorted(seconds, upto)) + 1)
+    return _steps(seconds[:n], np.append(seconds[ends[:n]] + cooldown, _EVER))
+
+
+def _apply(bounds: np.ndarray, outs: np.ndarray, since):
+    return outs[np.searchsorted(bounds, since)]
+
+
+def _tree(chunks: DataFrame, key_type: str, n_part: int) -> DataFrame:
+    """(k, node, since): from when each chunk may send, from the chunks'
+    functions (k, node, bounds, outs)."""
+    spark, levels, schema = chunks.sparkSession, [chunks], chunks.schema
+    up = F.floor(F.col("node") / FAN).cast("long")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        bounds, outs = np.asarray(pdf["bounds"].iloc[0], np.int64), np.asarray(pdf["outs"].iloc[0], np.int64)
+        for b, o in zip(pdf["bounds"].iloc[1:], pdf["outs"].iloc[1:]):
+            bounds, outs = _steps(bounds, _apply(np.asarray(b, np.int64), np.asarray(o, np.int64), outs))
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "node": [int(pdf["node"].iloc[0]) // FAN], "bounds": [bounds], "outs": [outs]})
+
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        since = [int(pdf["since"].iloc[0])]
+        for b, o in zip(pdf["bounds"], pdf["outs"]):
+            since.append(int(_apply(np.asarray(b, np.int64), np.asarray(o, np.int64), since[-1])))
+        return pd.DataFrame({"k": pdf["k"], "node": pdf["node"], "since": since[:-1]})
+
+    while (levels[-1].groupBy("k").count().agg(F.max("count")).first()[0] or 0) > FAN:
+        path = scratch_path(spark, "cooldown-functions")
+        levels[-1].withColumn("_up", up).repartition(n_part, "k", "_up").groupBy("k", "_up").applyInPandas(compose, schema).write.parquet(path)
+        levels.append(spark.read.schema(schema).parquet(path))
+    out_schema = f"k {key_type}, node long, since long"
+    out = levels[-1].withColumn("since", F.lit(_EVER)).repartition(n_part, "k").groupBy("k").applyInPandas(hand_down, out_schema)
+    for level in reversed(levels[:-1]):
+        of = out.select(F.col("k").alias("_k"), F.col("node").alias("_up"), "since")
+        joined = level.withColumn("_at", up).join(of, F.col("k").eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_up")))
+        out = joined.repartition(n_part, "k", "_up").groupBy("k", "_up").applyInPandas(hand_down, out_schema)
+    return out
+
+
+def cooldown(events: DataFrame, key: str, ts: str, seconds: int = COOLDOWN_SECONDS, chunk_buckets: int | None = None, single_rows: int = SINGLE_ROWS) -> DataFrame:
     """Sends of a greedy per-key cooldown on whole seconds: (key, t) where t
-    is a Unix second. Exact; see the module docstring for the plan."""
-    C, K = int(seconds), int(chunk_buckets)
+    is a Unix second. Exact; see the module docstring for the plan. A null
+    time is no event, a null key is a key; ``chunk_buckets`` is the length of
+    a chunk in cooldowns."""
+    C = int(seconds)
+    length = C * chunk_buckets if chunk_buckets else max(C, CHUNK_SECONDS)
+    spark = events.sparkSession
     e = events.select(F.col(key).alias("k"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("t")).filter(F.col("t").isNotNull()).distinct()
-    e = e.withColumn("_b", F.floor(F.col("t") / C).cast("long")).withColumn("_chunk", F.floor(F.col("_b") / K).cast("long"))
-    # the last bucket of a chunk is also context (possible entry states) of the next chunk
-    copies = F.when(F.col("_b") % K == K - 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    x = e.withColumn("_ctx", F.explode(copies)).withColumn("_chunk", F.col("_chunk") + F.col("_ctx").cast("long"))
-    kt = dict(x.dtypes)["k"]
-
-    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, c = pdf["k"].iloc[0], int(pdf["_chunk"].iloc[0])
-        ctx, ids, evs = _chunk_groups(pdf)
-        first, last = c * K, c * K + K - 1
-        entries = [None] + [int(v) for v in ctx]
-        if not ids:
-            entries = []
-        outs = [_replay(evs, ids, en, first, last, C, emit=False)[0] for en in entries]
-        return pd.DataFrame({
-            "k": pd.Series([k] * len(entries), dtype=pdf["k"].dtype),
-            "_chunk": pd.Series([c] * len(entries), dtype="int64"),
-            "entry": pd.Series(entries, dtype="Int64"),
-            "exit": pd.Series(outs, dtype="Int64"),
-        })
-
+    path, schema = scratch_path(spark, "cooldown-seconds"), e.schema
+    e.write.parquet(path)
+    e = spark.read.schema(schema).parquet(path)
+    kt = dict(e.dtypes)["k"]
     # explicit partition counts: the Python stages stay spread over all tasks
     # (AQE would merge small shuffles into one task); grouping reuses them
-    n_part = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tschema = f"k {kt}, _chunk long, entry long, exit long"
-    trans = x.repartition(n_part, "k", "_chunk").groupBy("k", "_chunk").applyInPandas(transfer, schema=tschema)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        table: dict[int, dict] = {}
-        for c, en, ex in zip(pdf["_chunk"], pdf["entry"], pdf["exit"]):
-            table.setdefault(int(c), {})[None if pd.isna(en) else int(en)] = None if pd.isna(ex) else int(ex)
-        out, prev_c, state = [], None, None
-        for c in sorted(table):
-            entry = state if prev_c is not None and c == prev_c + 1 else None
-            if entry not in table[c]:
-                entry = None
-            out.append((c, entry))
-            state, prev_c = table[c].get(entry), c
-        return pd.DataFrame({
-            "k": pd.Series([pdf["k"].iloc[0]] * len(out), dtype=pdf["k"].dtype),
-            "_chunk": pd.Series([c for c, _ in out], dtype="int64"),
-            "entry": pd.Series([e for _, e in out], dtype="Int64"),
-        })
-
-    entries = trans.repartition(n_part, "k").groupBy("k").applyInPandas(compose, schema=f"k {kt}, _chunk long, entry long")
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, c = pdf["k"].iloc[0], int(pdf["_chunk"].iloc[0])
-        en = pdf["entry"].iloc[0]
-        ctx, ids, evs = _chunk_groups(pdf)
-        sends = []
-        if ids:
-            _, sends = _replay(evs, ids, None if pd.isna(en) else int(en), c * K, c * K + K - 1, C, emit=True)
-        return pd.DataFrame({"k": pd.Series([k] * len(sends), dtype=pdf["k"].dtype), "t": pd.Series(sends, dtype="int64")})
-
-    joined = x.join(entries, ["k", "_chunk"], "left")
-    sends = joined.repartition(n_part, "k", "_chunk").groupBy("k", "_chunk").applyInPandas(emit, schema=f"k {kt}, t long")
-    return sends.withColumnRenamed("k", key)
+    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = _sent(np.sort(pdf["t"].to_numpy(np.int64)), int(pdf["since"].iloc[0]), C)
+        return pd.DataFrame({"k": pd.Series([pdf["k"].iloc[0]] * len(t), dtype=pdf["k"].dtype), "t": t})
+
+    large = e.groupBy("k").count().filter(F.col("count") > single_rows).select(F.col("k").alias("_k"))
+    same = F.col("k").eqNullSafe(F.col("_k"))
+    out_schema = f"k {kt}, t long"
+    few = small(large)
+    alone = e.join(few, same, "left_anti").withColumn("since", F.lit(_EVER))
+    sends = alone.repartition(n_part, "k").groupBy("k").applyInPandas(replay, out_schema)
+    if large.isEmpty():
+        return sends.withColumnRenamed("k", key)
+    rows = e.join(few, same, "left_semi").withColumn("node", F.floor(F.col("t") / length).cast("long"))
+
+    def function(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = int(pdf["node"].iloc[0])
+        bounds, outs = _function(np.sort(pdf["t"].to_numpy(np.int64)), node * length + C, C)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "node": [node], "bounds": [bounds], "outs": [outs]})
+
+    path, schema = scratch_path(spark, "cooldown-functions"), f"k {kt}, node long, bounds array<bigint>, outs array<bigint>"
+    rows.repartition(n_part, "k", "node").groupBy("k", "node").applyInPandas(function, schema).write.parquet(path)
+    since = _tree(spark.read.schema(schema).parquet(path), kt, n_part).select(F.col("k").alias("_k"), F.col("node").alias("_node"), "since")
+    joined = rows.join(since, same & (F.col("node") == F.col("_node")))
+    many = joined.repartition(n_part, "k", "node").groupBy("k", "node").applyInPandas(replay, out_schema)
+    return sends.unionByName(many).withColumnRenamed("k", key)
 
 
 # ---------------------------------------------------------------------------

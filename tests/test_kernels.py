@@ -178,6 +178,33 @@ def test_cooldown_equals_sequential_scan(spark):
         assert sorted(res[k]) == exp
 
 
+@pytest.mark.parametrize("seconds,buckets", [(300, 1), (300, 7), (5_000, 1), (7, 3)])
+def test_cooldown_of_large_keys_through_the_tree(spark, seconds, buckets, monkeypatch):
+    monkeypatch.setattr(alerts, "FAN", 3)  # several levels
+    rnd = random.Random(seconds)
+    rows = []
+    for k in ("hot", None, "few"):
+        t = -20_000 if k == "hot" else 1_700_000_000
+        for _ in range(3000 if k != "few" else 20):
+            t += rnd.choice([0, 1, 1, 3, 30, 299, 300, 301, 4_999, 20_000] if rnd.random() < 0.2 else [1, 2])
+            rows.append((k, t))
+    df = spark.createDataFrame([*rows, ("hot", None)], "k string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    res = {}
+    for r in alerts.cooldown(df, "k", "ts", seconds=seconds, chunk_buckets=buckets, single_rows=50).collect():
+        res.setdefault(r["k"], []).append(r["t"])
+    assert res.keys() == {"hot", None, "few"}
+    for k in res:
+        assert sorted(res[k]) == _greedy([t for kk, t in rows if kk == k], seconds)
+
+
+def test_cooldown_of_ten_years_is_many_tasks_and_odd_rows(spark):
+    day = 86_400
+    df = spark.range(0, 3650 * 20).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 4_320 + F.pmod(F.xxhash64("id"), F.lit(4_000))).alias("ts"))
+    got = sorted(r["t"] for r in alerts.cooldown(df, "k", "ts", seconds=day).collect())
+    assert got == _greedy([r[0] for r in df.select(F.unix_seconds("ts")).collect()], day)
+    assert alerts.cooldown(df.limit(0), "k", "ts").collect() == []
+
+
 def test_drift_score_null_is_in_range_and_thresholds(spark):
     df = spark.createDataFrame([(0.5, None), (2.0, 0.5), (-1.0, 3.0)], "a double, b double")
     s = df.select(drift.score_expr(["a", "b"], {"a": 0.0, "b": 0.0}, {"a": 1.0, "b": 1.0}).alias("s")).collect()
