@@ -637,6 +637,34 @@ def q_request_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ast.rate_stream(spark, fixtures.requests(spark, sf_dir))
 
 
+ARRIVALS = 4  # parts in which the stand-in stream below arrives, each with rows of all times
+LATE_SECONDS = 600
+
+
+@query(
+    "request_rate_late_stream",
+    group="O",
+    oracle=with_views(
+        """select epoch(time_bucket(interval 1 minute, ts))::bigint as window_start, endpoint, count(*)::bigint as n, count(*) / 60.0::double as rate_per_second
+from requests where endpoint not in ('/metrics', '/health') group by all""",
+        "requests",
+    ),
+)
+def q_request_rate_late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per minute on a stream whose rows come out of order, with a
+    watermark of ten minutes: rows in time and late rows added up."""
+    from ..session import scratch_path
+    from ..streaming import late_rows as late
+    from ..streaming.sources import write_batches
+
+    src, requests = scratch_path(spark, "late-src"), fixtures.requests(spark, sf_dir)
+    for part in range(ARRIVALS):
+        schema = write_batches(requests.filter(F.pmod(F.xxhash64("seq"), F.lit(ARRIVALS)) == part), src, mode="append")
+    counted = late.late_rates(spark, src, schema, LATE_SECONDS).counted()
+    n = F.col("on_time") + F.col("late")
+    return counted.select("window_start", "endpoint", n.alias("n"), (n / 60.0).alias("rate_per_second"))
+
+
 @query("retrain_run", group="R")
 def q_retrain_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate → merge → train → register → archive over the validated labels

@@ -12,12 +12,12 @@ from ..session import scratch_path
 BATCH_SIZE = 4
 
 
-def write_batches(requests: DataFrame, path: str, batch_size: int = BATCH_SIZE) -> T.StructType:
+def write_batches(requests: DataFrame, path: str, batch_size: int = BATCH_SIZE, mode: str = "overwrite") -> T.StructType:
     """Group requests into batches of ``batch_size`` consecutive sequence
     numbers (the list per batch is bounded by ``batch_size``)."""
     b = requests.withColumn("batch_id", F.col("seq") - F.col("seq") % batch_size)
     g = b.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in requests.columns]))).alias("records"))
-    g.write.mode("overwrite").json(path)
+    g.write.mode(mode).json(path)
     return g.schema
 
 
