@@ -621,6 +621,28 @@ def q_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ast.alert_stream(spark, fixtures.requests(spark, sf_dir))
 
 
+@query(
+    "active_alerts_stream",
+    group="L",
+    oracle=with_views(
+        """with r as (select * from requests where endpoint not in ('/metrics', '/health')),
+w as (select seq, source_id, count(*) over w as window_n, sum(case when http_status >= 400 then 1 else 0 end) over w as errors,
+  list_sort(list(duration) over w) as durs from r window w as (partition by source_id order by seq rows between 49 preceding and current row)),
+l as (select *, durs[cast(round_even((window_n - 1) * 0.95, 0) as integer) + 1] as p95 from w
+  where window_n >= 10 qualify row_number() over (partition by source_id order by seq desc) = 1)
+select 'error_rate' as alert, source_id, seq from l where errors::double / window_n >= 0.30
+union all select 'latency', source_id, seq from l where p95 >= 3.0""",
+        "requests",
+    ),
+)
+def q_active_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts that are active when the stream of all requests has been read."""
+    from ..streaming import alert_stream as ast
+
+    _, state = ast.run(spark, fixtures.requests(spark, sf_dir))
+    return ast.active_alerts(spark, state).select("alert", "source_id", "seq")
+
+
 @query(
     "request_rate_stream",
     group="O",

@@ -3,7 +3,8 @@ requests, the same compiled score expression as batch, and per source the
 mean of the last N scores in ``foreachBatch``. A micro-batch is put in order
 block-parallel behind the last N-1 rows of each source, which are kept beside
 the checkpoint (``carry``), so a source with most rows is many tasks, and a
-restart continues from them. ``_monitor`` is the same rule one row after the
+restart continues from them. A row whose ``reset`` is true is no sample: it
+empties the windows and counters of all sources. ``_monitor`` is the same rule one row after the
 other, against which the stream is tested."""
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState
 from ..operators import drift as dr
 from ..operators.windows import trailing
 from ..session import scratch_path
-from .carry import with_carry
+from .carry import with_carry, with_epochs
 
 OUT_SCHEMA = "service string, sample_id string, pos long, rolling_score double, window_observations long"
 
@@ -45,9 +46,12 @@ def batch_writer(sink: str, ckpt: str, size: int, block: int | None = None):
     to the same folders."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = with_carry(batch, number, f"{ckpt}/carried", "service", ["ts", "sample_id"], size - 1)
+        is_reset = F.col("reset") if "reset" in batch.columns else F.lit(False)
+        batch, epoch = with_epochs(batch, number, f"{ckpt}/epoch", is_reset, ["ts", "sample_id"])
+        rows = batch.withColumn("_window", F.concat_ws(":", F.col("epoch").cast("string"), "service"))
+        rows = with_carry(rows, number, f"{ckpt}/carried", "_window", ["ts", "sample_id"], size - 1, F.col("epoch") == epoch)
         rolled = trailing(rows, ["pos"], size, lambda w: [F.avg("score").over(w).alias("rolling_score"), F.count(F.lit(1)).over(w).alias("window_observations")],
-                          partition_by=["service"], with_positions=False, block=block)
+                          partition_by=["_window"], with_positions=False, block=block)
         rolled.filter("_new").select("service", "sample_id", "pos", "rolling_score", "window_observations").write.mode("overwrite").parquet(f"{sink}/batch-{number}")
 
     return write
@@ -61,7 +65,8 @@ def run(spark: SparkSession, source: DataFrame, ref: dr.Reference, key: str = "s
     source.write.mode("overwrite").json(src_dir)
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     stream = spark.readStream.schema(source.schema).json(src_dir)
-    scored = dr.row_scores(stream, ref).select(F.col(key).alias("service"), "sample_id", "ts", "score")
+    more = ["reset"] if "reset" in source.columns else []
+    scored = dr.row_scores(stream, ref).select(F.col(key).alias("service"), "sample_id", "ts", "score", *more)
     q = scored.writeStream.foreachBatch(batch_writer(sink, ckpt, ref.window_size)).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(OUT_SCHEMA).option("recursiveFileLookup", "true").parquet(sink)

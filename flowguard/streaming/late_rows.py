@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.alerts import INTERNAL_ENDPOINTS
 from ..session import scratch_path
-from .carry import earlier, written
+from .carry import earlier, numbers, written
 from .sources import read_batches
 
 WINDOW_SECONDS = 60
@@ -77,22 +77,15 @@ def run(stream: DataFrame, sink: str, ckpt: str, delay: int, window: int = WINDO
     q = stream.writeStream.foreachBatch(batch_writer(sink, ckpt, delay, window)).option("checkpointLocation", f"{ckpt}/query").trigger(availableNow=True).start()
     q.awaitTermination()
     late_schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, window_start long"
-    numbers = _numbers(spark, f"{ckpt}/open")
-    if not numbers:  # no file came
+    found = numbers(spark, f"{ckpt}/open")
+    if not found:  # no file came
         empty = spark.createDataFrame([], COUNTS)
         return Rates(empty, empty, spark.createDataFrame([], late_schema))
-    nested, last = spark.read.option("recursiveFileLookup", "true"), max(numbers)
+    nested, last = spark.read.option("recursiveFileLookup", "true"), max(found)
     return Rates(nested.schema(COUNTS).parquet(f"{sink}/closed"), spark.read.schema(COUNTS).parquet(f"{ckpt}/open/batch-{last}"),
                  nested.schema(late_schema).parquet(f"{sink}/late"))
 
 
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the micro-batches that have a folder under ``path``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [int(s.getPath().getName().rsplit("-", 1)[1]) for s in fs.listStatus(p)] if fs.exists(p) else []
-
-
 def late_rates(spark: SparkSession, source: str, schema, delay: int, files_per_trigger: int = 1) -> Rates:
     """Rates of request batches that arrive as JSON files under ``source``."""
     rows = read_batches(spark, source, schema, max_files=files_per_trigger).filter(~F.col("endpoint").isin(*INTERNAL_ENDPOINTS))
