@@ -258,6 +258,8 @@ def archive(validated: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def progress(queue: DataFrame, validated: DataFrame, minimum: int = RETRAIN_MIN_LABELS, input_col: str = "duration") -> DataFrame:
+    """Pending reviews, validated samples, how many a retraining run needs, and
+    the share of them that is there, in per cent (above 100 with more)."""
     pc = pending_count(queue, validated).withColumn("_k", F.lit(1))
     ap = approved(validated, input_col).agg(F.count(F.lit(1)).cast("long").alias("validated")).withColumn("_k", F.lit(1))
-    return pc.join(ap, "_k").select("pending", "validated", F.lit(minimum).alias("minimum"))
+    return pc.join(ap, "_k").select("pending", "validated", F.lit(minimum).alias("minimum"), (F.col("validated") * 100.0 / minimum).alias("progress_percent"))

@@ -438,9 +438,10 @@ def q_archive_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     "review_progress",
     group="O",
     oracle=with_views(
-        """select (select count(*) from review_queue q where not exists (select 1 from validated v where v.sample_id = q.sample_id))::bigint as pending,
+        """select *, validated * 100.0::double / minimum as progress_percent from (
+  select (select count(*) from review_queue q where not exists (select 1 from validated v where v.sample_id = q.sample_id))::bigint as pending,
   (select count(*) from validated where review_status = 'approved' and validated_label <> '' and duration is not null)::bigint as validated,
-  50 as minimum""",
+  50 as minimum) x""",
         *_Q,
     ),
 )
