@@ -37,7 +37,7 @@ def ranged(df: DataFrame, sort_cols: Sequence[str], n_partitions: int) -> DataFr
     cols = [F.col(c) for c in sort_cols]
     x = df.repartitionByRange(max(1, n_partitions), *cols).sortWithinPartitions(*cols)
     path = scratch_path(df.sparkSession, "ranged")
-    x.withColumn("_mid", F.monotonically_increasing_id()).write.parquet(path)
+    x.withColumn("_mid", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(x.withColumn("_mid", F.lit(0).cast("long")).schema).parquet(path)
     mask = F.lit((1 << _PLACE_BITS) - 1)
     return back.withColumns({"_bkt": F.shiftright("_mid", _PLACE_BITS).cast("int"), "_place": F.col("_mid").bitwiseAND(mask)}).drop("_mid")

@@ -169,7 +169,7 @@ def fit_preparation(df: DataFrame, label: str = "class3", normal: str = "normal"
         from ..session import scratch_path
 
         path = scratch_path(df.sparkSession, "typed")
-        typed_df.write.mode("overwrite").partitionBy(split_col).parquet(path)
+        typed_df.write.mode("overwrite").option("compression", "zstd").partitionBy(split_col).parquet(path)
         back = df.sparkSession.read.parquet(path)
         typed_df = back.select(*typed_df.columns)
     train = typed_df.filter(F.col(split_col) == "train")

@@ -50,7 +50,8 @@ def reference_rows(fin: DataFrame) -> DataFrame:
 def stream(spark: SparkSession, sf_dir: str, with_flags: bool = False) -> tuple[DataFrame, dr.Reference]:
     prep, fin, ref = reference(spark, sf_dir)
     s = fin.filter(F.col("split") == "test")
-    return dr.row_scores(s, ref, with_flags=with_flags), ref
+    # windows order, write and copy whole rows: the features end with the scores and flags made of them
+    return dr.row_scores(s, ref, with_flags=with_flags).drop(*ref.features), ref
 
 
 def rolled(spark: SparkSession, sf_dir: str, keyed: bool = False, with_flags: bool = False):
