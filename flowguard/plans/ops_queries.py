@@ -348,8 +348,12 @@ select submit_seq, sample_id, case
     ),
 )
 def q_apply_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = fixtures.flows(spark, sf_dir).select(F.col("class1").alias("label")).distinct()
-    v = rv.apply_labels(fixtures.submissions(spark, sf_dir), fixtures.review_queue(spark, sf_dir), fixtures.validated(spark, sf_dir), classes)
+    from ..session import scratch_path
+
+    # the classes are read twice (their number, then the join): found once, one row per class
+    path = scratch_path(spark, "classes")
+    fixtures.flow_labels(spark, sf_dir).select(F.col("class1").alias("label")).distinct().write.parquet(path)
+    v = rv.apply_labels(fixtures.submissions(spark, sf_dir), fixtures.review_queue(spark, sf_dir), fixtures.validated(spark, sf_dir), spark.read.parquet(path))
     return v.select("submit_seq", "sample_id", "verdict", "label")
 
 

@@ -144,6 +144,16 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _memo[key]
 
 
+def flow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """class1, class2 and class3 of every row of ``flows``. They come from the
+    lines alone, so where the table isn't written yet the joined lines are
+    read in the few columns needed, and neither split nor written."""
+    prepare(spark)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "flows")
+    df = _memo[key] if key in _memo else _flows_unsplit(_flows_joined(spark, sf_dir))
+    return df.select("class1", "class2", "class3")
+
+
 # ---------------------------------------------------------------------------
 # request log and derived review tables
 # ---------------------------------------------------------------------------

@@ -48,3 +48,17 @@ def test_tables_by_split_are_written_without_a_sort(spark, tmp_path):
     rows = [(i, ("train", "val", "test")[i % 3]) for i in range(30)]
     spark.createDataFrame(rows, "i long, split string").write.partitionBy("split").parquet(path)
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("i", "split").collect()) == rows
+
+
+def test_labels_come_from_the_lines_without_a_written_table(spark, tmp_path):
+    _tables(spark, tmp_path)
+    key = (spark.sparkContext.applicationId, str(tmp_path), "flows")
+    got = fixtures.flow_labels(spark, str(tmp_path))
+    assert key not in fixtures._memo
+    read = got._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in read and "o_totalprice" not in read  # keys and flags only
+    want = sorted(tuple(r) for r in fixtures.build_flows(spark, str(tmp_path)).select("class1", "class2", "class3").collect())
+    assert len(want) == 9 and sorted(tuple(r) for r in got.collect()) == want
+    flows = fixtures.flows(spark, str(tmp_path))
+    again = fixtures.flow_labels(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in again.collect()) == want and again.inputFiles() and set(again.inputFiles()) == set(flows.inputFiles())
