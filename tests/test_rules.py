@@ -99,3 +99,18 @@ def test_reset_of_alert_state(spark):
     sent = spark.createDataFrame([], "key string, t long")
     assert {r["key"] for r in al.active_alerts(acts, sent).collect()} == {"a", "b"}
     assert {r["key"] for r in al.active_alerts(acts, sent, reset_at=at + dt.timedelta(hours=1)).collect()} == {"b"}
+
+
+def test_cuts_found_in_several_steps_are_those_of_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "NEAR_CUT", 2)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    df = spark.createDataFrame([(f"k{i}", None if i % 5 == 0 else "ab"[i % 2]) for i in range(3000)], "sid string, s string")
+    ranks = spark.createDataFrame([("a", "x", 1), ("a", "y", 700), ("a", "z", 700), ("b", "x", 1200), (None, "x", 600)], "s string, cut string, rank long")
+    ends = sampling.cut_points(df, "sid", "s", ranks.withColumnRenamed("s", "stratum"), 42)
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan  # ranked once, not again by each reader
+    order = {}
+    for r in df.select("s", sampling.hash_order("sid", 42).alias("h"), "sid").collect():
+        order.setdefault(r["s"], []).append((r["h"], r["sid"]))
+    want = {(r["s"], r["cut"]): sorted(order[r["s"]])[r["rank"] - 1] for r in ranks.collect()}
+    assert {(r["stratum"], r["cut"]): (r["_h"], r["_key"]) for r in ends.collect()} == want
