@@ -66,11 +66,9 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, features: Sequen
         scored = md.score(model, test, features, classes).withColumn("_g", F.lit(1))
         rep = ev.macro_weighted(ev.per_class_report(scored, ["_g"], label, "pred_type"), ["_g"]).first().asDict()
         rep["accuracy"] = ev.accuracy(scored, ["_g"], {"accuracy": (label, "pred_type")}).first()["accuracy"]
-        model.write().save(f"{base_path}/models/{next_version}")
+        md.save(model, spark, f"{base_path}/models/{next_version}")
         metrics = {k: float(rep[k]) for k in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted")}
-        params = model.stages[-1].extractParamMap()
-        shown = ", ".join(sorted(f"{p.name}={v}" for p, v in params.items()))
-        table_log.append(spark.createDataFrame([(next_version, model_name, shown, *metrics.values())], REGISTRY).coalesce(1), f"{base_path}/registry")
+        table_log.append(spark.createDataFrame([(next_version, model_name, md.params(model), *metrics.values())], REGISTRY).coalesce(1), f"{base_path}/registry")
         # archive: processed records leave the validated table (new snapshot)
         remaining = rv.archive(validated, appr)
         remaining.write.mode("errorifexists").json(f"{base_path}/validated/{next_version}")

@@ -527,16 +527,17 @@ def _written_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _audit(spark: SparkSession, sf_dir: str, reg: DataFrame | None = None) -> DataFrame:
     """The audit log after the selection requests came in two batches. A
-    request names a version (stand-in: one of twelve by the request's source)."""
+    request names a version (stand-in: one of twelve by the request's source).
+    ``reg`` is the written registry of a caller that reads it too."""
     from ..operators import registry as rg
     from ..session import scratch_path
 
     base = scratch_path(spark, "model-audit")
     asked = fixtures.requests(spark, sf_dir).select("seq", F.concat(F.lit("RF_v"), (F.col("source_id") % 12 + 1).cast("string")).alias("version"))
     half = asked.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
-    reg = _written_registry(spark, sf_dir)
+    reg = _written_registry(spark, sf_dir) if reg is None else reg
     for batch in (F.col("seq") <= F.lit(half), F.col("seq") > F.lit(half)):
         rg.select_versions(asked.where(batch), reg, base)
     return rg.audit(spark, base)
@@ -565,7 +566,8 @@ def q_model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import registry as rg
 
-    s = rg.summary(_registry(spark, sf_dir), _audit(spark, sf_dir))
+    reg = _written_registry(spark, sf_dir)
+    s = rg.summary(reg, _audit(spark, sf_dir, reg))
     return s.select("version", r6("accuracy").alias("accuracy"), r6("f1_macro").alias("f1_macro"), r6("f1_weighted").alias("f1_weighted"))
 
 
@@ -591,7 +593,8 @@ def q_latest_retrain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_active_model_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import registry as rg
 
-    return rg.active_flags(_registry(spark, sf_dir), _audit(spark, sf_dir))
+    reg = _written_registry(spark, sf_dir)
+    return rg.active_flags(reg, _audit(spark, sf_dir, reg))
 
 
 # ---------------------------------------------------------------------------
